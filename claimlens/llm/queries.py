@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimlens.llm.chat_windows import chat_windows, read_back
+from claimlens.llm.decontaminate import benchmark_hits
+from claimlens.llm.embedding_neardup import embedding_neardup
+from claimlens.llm.html_lines import html_lines
+from claimlens.llm.mix_sources import mix_sources
 from claimlens.llm.ngram_join import ngram_join
+from claimlens.llm.pii_bootstrap import pii_spans
+from claimlens.llm.quality_classifier import quality_classifier
+from claimlens.llm.token_histogram import token_histogram
+from claimlens.llm.url_filter import rule_table, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +24,97 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_ngram_join": op1_ngram_join,
-}
-ORACLE: dict[str, str] = {}
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(_table(spark, sf_dir, "documents")).drop("items")
+
+
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(chat_windows(turns.unionByName(own)))
+
+
+def op5_html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lines(_table(spark, sf_dir, "pages"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_histogram(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_bootstrap, op3_embedding_neardup, op4_chat_windows, op5_html_lines, op6_decontaminate, op7_token_histogram, op8_quality_classifier, op9_url_filter, op10_mix_sources)}
+
+_OP1 = """
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(lower(text), '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), x -> x <> '') as w from documents),
+grams as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then ['']
+    else [array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)] end)) as g from words),
+sizes as (select doc_id, count(*) as n from grams group by 1),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c
+  from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from pairs join sizes s on x = s.doc_id join sizes t on y = t.doc_id
+  where 5 * c >= 4 * (s.n + t.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, b.y from reach r join edges b on r.y = b.x),
+classes as (select x as doc_id, min(y) as class_id from reach group by 1),
+degree as (select x as doc_id, count(*) as n_links from edges group by 1)
+select doc_id, class_id, coalesce(n_links, 0) as n_links, doc_id = class_id as kept
+from classes left join degree using (doc_id)
+"""
+
+_OP3 = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings),
+u as (
+  select vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) as n from v
+  where label is not null and e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id < b.vec_id
+  where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+edges as (select x, y from links union all select y, x from links),
+reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, b.y from reach r join edges b on r.y = b.x),
+classes as (select x as vec_id, min(y) as component_id from reach group by 1),
+degree as (select x as vec_id, count(*) as n_links from edges group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from classes left join degree using (vec_id)
+"""
+
+_OP9 = r"""
+with p as (
+  select page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+rules(verdict, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+best as (
+  select host, path, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict
+  from (select distinct host, path from p) q join rules r on (host = h or ends_with(host, '.' || h)) and starts_with(path, r.p)
+  group by 1, 2)
+select page_id, p.host, p.path, rule, coalesce(verdict, 'allow') as verdict
+from p left join best on p.host = best.host and p.path = best.path
+"""
+ORACLE: dict[str, str] = {"op1_ngram_join": _OP1, "op3_embedding_neardup": _OP3, "op9_url_filter": _OP9}
