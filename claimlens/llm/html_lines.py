@@ -68,7 +68,7 @@ class _Lines(HTMLParser):
             self.drops -= drops
             self.named -= named
             self.links -= name == "a"
-            if drops and not self.drops:
+            if drops and not self.drops and name in BLOCKS:
                 self.gap()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -89,7 +89,7 @@ class _Lines(HTMLParser):
         drops = not self.drops and (tag in DROPPED or (tag == "header" and not self.named) or self.unwanted(tag, attrs))
         if tag in BLOCKS and not self.drops:
             self.line()
-        if drops:
+        if drops and tag in BLOCKS:
             self.gap()
         self.stack.append((tag, drops, tag in NAMED))
         self.drops += drops

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.shared import cut, pick
+from claimlens.llm.shared import cut, numbered, pick
 
 KINDS = ("email", "ip", "card", "phone", "other")
 ROUNDS = 3
@@ -221,7 +221,7 @@ def mask(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with each span of pii_spans() replaced by its kind in brackets, overlapping ones
     by the first. Rows without spans stay as they are, null ids and texts too. A doc_id's
     rows must have one text; docs must have doc_id and text, and keep all their columns."""
-    some = spans.where((F.size("items") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "items").dropDuplicates(["doc_id"])
-    some = some.withColumnRenamed("items", "_items")
-    text = F.when(F.col("_items").isNotNull() & F.col("text").isNotNull(), F.pandas_udf(_masked, "string")("text", "_items")).otherwise(F.col("text"))
-    return docs.join(some, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+    plain, at = numbered(docs)
+    some = spans.where((F.size("items") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(at("doc_id")), "items").dropDuplicates([at("doc_id")])
+    masked = F.when(F.col("items").isNotNull(), F.pandas_udf(_masked, "string")(at("text"), "items")).otherwise(F.col(at("text")))
+    return plain.join(some, at("doc_id"), "left").withColumn(at("text"), masked).select(*plain.columns).toDF(*docs.columns)

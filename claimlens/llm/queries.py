@@ -67,7 +67,7 @@ QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_bootstrap, op3_embedd
 
 _OP1 = """
 with recursive words as (
-  select doc_id, list_filter(string_split_regex(lower(text), '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), x -> x <> '') as w from documents),
+  select doc_id, list_filter(string_split_regex(lower(text), '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '') as w from documents),
 grams as (
   select doc_id, unnest(list_distinct(case when len(w) = 0 then ['']
     else [array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)] end)) as g from words),
@@ -88,10 +88,10 @@ from classes left join degree using (doc_id)
 
 _OP3 = """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings),
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
 u as (
-  select vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) as n from v
-  where label is not null and e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v
+  where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
 links as (
   select a.vec_id as x, b.vec_id as y from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id < b.vec_id
   where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),

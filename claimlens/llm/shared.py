@@ -20,6 +20,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*[F.col(f"_{have.index(n)}").alias(n) for n in names])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """df with its columns named by position, and the function from old names to new ones:
+    for joins that keep all columns whatever they are called. toDF() names them back."""
+    have = df.columns
+    return df.toDF(*[f"_{i}" for i in range(len(have))]), lambda name: f"_{have.index(name)}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)

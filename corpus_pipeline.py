@@ -1,21 +1,61 @@
-"""A training-corpus pipeline: each stage applies one operator to what its predecessor kept."""
+"""A training-corpus pipeline: each stage applies one operator to what its predecessor kept.
+
+Stages take (spark, docs, sf_dir) and return all columns of docs, whatever they are called;
+the last adds which copy of a document a row is. Rows of a null doc_id are kept by every
+filter that goes by id. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from claimlens.llm.decontaminate import benchmark_hits
+from claimlens.llm.mix_sources import mix_sources
 from claimlens.llm.ngram_join import ngram_join
-from claimlens.llm.shared import cut
+from claimlens.llm.pii_bootstrap import mask, pii_spans
+from claimlens.llm.quality_classifier import fit, score
+from claimlens.llm.shared import cut, numbered
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in `dropped`."""
+    plain, at = numbered(docs)
+    return plain.join(dropped.select(F.col("doc_id").alias(at("doc_id"))), at("doc_id"), "left_anti").select(*plain.columns).toDF(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. Rows that repeat an id with another text go together."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, score(docs, model).where("predicted = 0").select("doc_id").distinct())
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one of the smallest doc_id."""
-    dropped = ngram_join(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, ngram_join(docs).where("not kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    return _without(docs, benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; no document goes."""
+    return mask(docs, pii_spans(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document that it takes n times has n rows, numbered in the column `copy`."""
+    plain, at = numbered(docs)
+    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = plain.join(taken, plain[at("doc_id")].eqNullSafe(taken["doc_id"])).drop("doc_id")
+    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*plain.columns, "_copy").toDF(*docs.columns, "copy")
 
 
-STAGES = [("dedup", dedup)]
-#: No SQL expresses the learned score of the first stage; the tests hold each stage against brute force.
+STAGES = [("quality", quality), ("dedup", dedup), ("decontaminate", decontaminate), ("pii", pii), ("mix", mix)]
+#: No SQL expresses the learned score of the first stage; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
