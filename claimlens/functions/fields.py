@@ -12,6 +12,7 @@ EXCERPT_PATTERNS = ("oa:exact", "oa#exact", "excerpt", "supporting_text")
 REFERENCE_PATTERNS = ("dcterms:references", "dc/terms/references", "dcterms:source", "dc/terms/source", "authoritative_reference")
 REFERENCE_TOKENS = ("reference", "references")
 TITLE_PATTERNS = ("dcterms:title", "dc/terms/title")
+PREFIXES = {"oa": "http://www.w3.org/ns/oa#", "dcterms": "http://purl.org/dc/terms/"}
 FALLBACK_NAMES = {"excerpt": ("supporting_text",), "reference": ("reference", "reference_id"), "title": ("title",)}
 
 
@@ -51,7 +52,7 @@ def expand_curie(uri: Column, prefixes: Column) -> Column:
 def slot_role(implements: Column, slot_uri: Column, name: Column, prefixes: Mapping[str, str] | None = None) -> Column:
     """excerpt, reference, title or null: by any URI that the slot implements, then its own
     URI, each as it is and expanded, then by name."""
-    table = F.create_map(*[F.lit(x) for kv in (prefixes or {"linkml": "https://w3id.org/linkml/"}).items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in (prefixes or PREFIXES).items() for x in kv])
     role = None
     for test in (lambda t: F.exists(F.coalesce(implements, F.array().cast("array<string>")), lambda u: t(u) | t(expand_curie(u, table))), lambda t: t(slot_uri) | t(expand_curie(slot_uri, table))):
         for kind, uri_test in (("excerpt", is_excerpt_uri), ("reference", is_reference_uri), ("title", is_title_uri)):

@@ -304,7 +304,7 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.evidence_rows(c.groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("evidence")), "evidence")
 
 
-_SLOTS = (("c", "quote", 1, ("linkml:excerpt",), None, "excerpt"), ("c", "supporting_text", 0, (), None, "excerpt"), ("c", "cited", 2, (), "dcterms:references", "reference"), ("c", "liked", 3, (), "ex:user_preference", None), ("c", "seen", 4, (), "ex:hasReference", "reference"), ("d", "name", 0, (), "dcterms:title", "title"), ("d", "title", 1, (), None, "title"), ("d", "exact", 2, ("oa:exact",), "dcterms:title", "excerpt"))
+_SLOTS = (("c", "quote", 1, ("ex:excerpt",), None, "excerpt"), ("c", "supporting_text", 0, (), None, "excerpt"), ("c", "cited", 2, (), "dcterms:references", "reference"), ("c", "liked", 3, (), "ex:user_preference", None), ("c", "seen", 4, (), "ex:hasReference", "reference"), ("d", "name", 0, (), "dcterms:title", "title"), ("d", "title", 1, (), None, "title"), ("d", "exact", 2, ("oa:exact",), "dcterms:title", "excerpt"))
 
 
 @query("with t(class, role, names) as (values ('c', 'excerpt', 'quote,supporting_text'), ('c', 'reference', 'cited,seen'), ('d', 'title', 'name,title'), ('d', 'excerpt', 'exact')) select * from t")
