@@ -29,7 +29,7 @@ TREES = 20
 LONGEST = 8
 TARGET_RECALL = 0.995
 #: Rows of a signature block and of a verification block; two of them meet in a group.
-SIGNATURE_BLOCK = 1024
+SIGNATURE_BLOCK = 256
 VERIFY_BLOCK = 48
 VERIFY_SHINGLES = 2_000_000
 #: Signature agreement that keeps a pair together: below the threshold by three standard errors.
@@ -134,7 +134,7 @@ def _candidates(sigs: DataFrame, trees: int, depth: int, longest: int, agree: fl
     # A path's values are four bytes each in the signature; substring counts from 1.
     paths = F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * longest, 4 * depth)).alias("bucket")) for t in range(trees)])
     leaves = sigs.where("size > 0").select("node", F.explode(paths).alias("p")).select("node", "p.bucket")
-    crowded = leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    crowded = cut(leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     met = cut(leaves.join(crowded, "bucket"))
     placed = in_block_pairs(met, "bucket", "node", F.ceil(F.col("members") / SIGNATURE_BLOCK)).select("bucket", "i", "j", "node")
     placed = placed.join(sigs.select("node", "sig"), "node")
@@ -172,7 +172,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int,
     """(node, root, links) for each node and group: its smallest partner in reach there, and
     the rows it is linked to by pairs of that group."""
     members = groups.join(nodes, F.col("id") == F.col("node")).select("node", "rows", "size", "root")
-    sums = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    members = cut(members)
+    sums = cut(members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")))
     members = members.join(sums, "root")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
