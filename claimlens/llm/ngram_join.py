@@ -6,8 +6,8 @@ A node's MinHash values, cut into `trees` paths, are its leaves in as many prefi
 sorting by (tree, path) lays each trie out, and a prefix of a path names an inner node.
 Matched prefixes are shortened from `longest` values down to the first depth at which a pair
 of the threshold's similarity meets in some tree with the target probability. Deeper matches
-lie within shallower ones, so the trie is cut once, at that depth. Nodes that share a prefix
-and whose signatures agree well enough form candidate groups; within those, every pair is
+lie within shallower ones, so the trie is cut once, at that depth, and values beyond it are
+not computed. Nodes that share a prefix and whose signatures agree well enough form candidate groups; within those, every pair is
 verified exactly on its shingle sets.
 """
 
@@ -129,10 +129,10 @@ def _near(sig: np.ndarray, agree: float, near: float) -> tuple[np.ndarray, np.nd
     return np.concatenate(a), np.concatenate(b)
 
 
-def _candidates(sigs: DataFrame, trees: int, depth: int, longest: int, agree: float) -> DataFrame:
+def _candidates(sigs: DataFrame, trees: int, depth: int, agree: float) -> DataFrame:
     """Links (a, b) between nodes that share a prefix of `depth` values in some tree."""
     # A path's values are four bytes each in the signature; substring counts from 1.
-    paths = F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * longest, 4 * depth)).alias("bucket")) for t in range(trees)])
+    paths = F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * depth, 4 * depth)).alias("bucket")) for t in range(trees)])
     leaves = sigs.where("size > 0").select("node", F.explode(paths).alias("p")).select("node", "p.bucket")
     crowded = cut(leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     met = cut(leaves.join(crowded, "bucket"))
@@ -220,12 +220,12 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     doc_id. An empty table gives an empty result; further columns are ignored."""
     docs = pick(docs, "doc_id", "text")
     depth = depth_for(threshold, trees, longest, target_recall)
-    features = cut(_features(docs.where("doc_id is not null"), words, trees * longest))
+    features = cut(_features(docs.where("doc_id is not null"), words, trees * depth))
     named = features.groupBy("doc_id").agg(F.min("fp").alias("fp"))
     nodes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
     sized = features.select(F.col("doc_id").alias("node"), "fp", "size", "sig").join(nodes, ["node", "fp"]).dropDuplicates(["node"])
     sigs = cut(sized.select("node", "rows", "size", "sig"))
-    groups = components(_candidates(sigs, trees, depth, longest, AGREE + (threshold - THRESHOLD)))
+    groups = components(_candidates(sigs, trees, depth, AGREE + (threshold - THRESHOLD)))
     checked = cut(_verified(docs, sigs.select("node", "rows", "size"), groups, words, threshold))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("root").alias("a"), F.col("node").alias("b")))
