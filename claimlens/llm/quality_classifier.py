@@ -1,15 +1,18 @@
 """Operator 8. Quality by compression: zstandard dictionaries built from good and bad text.
 
 A text is cut into short spans that are compressed on their own with either dictionary, so
-that a dictionary's help isn't drowned by what a long text teaches about itself. The
-difference of the two compressed sizes per byte, good text being the shorter with the good
-dictionary, becomes a probability by a logistic curve fitted to labelled rows that neither
-dictionary has seen.
+that a dictionary's help isn't drowned by what a long text teaches about itself. So is the
+text's shape, in which runs of letters and digits are one character each: it tells layouts
+apart whatever the words are. Lines that occur in both classes teach neither dictionary. The
+two differences of compressed sizes per byte (good text is shorter with the good dictionary)
+become a probability by a logistic curve, which also knows how short a text is, as a few
+words are weak evidence. The curve is fitted to rows that its dictionaries haven't seen.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,30 +24,60 @@ from pyspark.sql import functions as F
 from claimlens.llm.shared import pick
 
 #: Labelled rows of each class that the fit uses at most, and the characters it uses of each:
-#: half build the dictionaries, half the curve. Everything that is scored is scored whole.
+#: the curve is fitted to rows that `CROSS` further pairs of dictionaries haven't seen. Everything that is scored is scored whole.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 4096
+CROSS = 3
 DICTIONARY_BYTES = 65536
 SPAN = 256
+#: Bytes over which a text's shortness fades.
+SHORT = 200.0
+#: Inverse variances of the prior on the standardised differences, on shortness and on the offset.
+PRIOR = (1e-2, 1e-2, 1 / 9, 1e-3)
 LEVEL = 3
 FOLDS = 5
 REJECT_BELOW = 0.3
 
 
+class _Shapes(dict):
+    """Code points to their kind: a letter, a capital, a digit, or themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
+        return self[code]
+
+
+_shapes = _Shapes()
+
+
+def shape(text: str) -> str:
+    """A text's layout: runs of letters, of capitals and of digits are one character each."""
+    kinds = text.translate(_shapes)
+    for run, one in (("a+", "a"), ("A+", "A"), ("0+", "0")):
+        kinds = re.sub(run, one, kinds)
+    return kinds
+
+
+Pair = tuple[bytes, bytes]
+
+
 @dataclass(frozen=True)
 class QualityModel:
-    """Dictionaries and curve. Without both classes, `good` and `bad` are empty and the score is constant."""
+    """Dictionaries (good, bad) of texts and of shapes, and the weights of the curve. Without
+    text of both classes there are none, and the score is constant."""
 
-    good: bytes
-    bad: bytes
-    slope: float
-    offset: float
+    pairs: tuple[Pair, Pair] | None
+    weights: tuple[float, ...]  # of the two differences, of shortness, and the offset
 
     def scorer(self):
-        if not self.good:
-            return lambda texts: np.full(len(texts), 1 / (1 + math.exp(-self.offset)))
-        compress = [_compressor(d) for d in (self.good, self.bad)]
-        return lambda texts: 1 / (1 + np.exp(-np.clip(self.slope * np.array([difference(t, *compress) for t in texts]) + self.offset, -500, 500)))
+        compress = _compressors(self.pairs) if self.pairs else None
+
+        def scored(texts: list[str | None]) -> np.ndarray:
+            x = features(texts, compress) if compress else np.zeros((len(texts), len(self.weights) - 1))
+            return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights[:-1]) + self.weights[-1], -500, 500)))
+
+        return scored
 
 
 def _compressor(content: bytes):
@@ -55,42 +88,64 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
-def difference(text: str | None, good, bad) -> float:
+def _compressors(pairs: tuple[Pair, Pair]) -> list[tuple]:
+    return [tuple(map(_compressor, pair)) for pair in pairs]
+
+
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def difference(text: str, good, bad) -> float:
     """How many bytes per byte the good dictionary saves over the bad one; empty: 0."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    if not raw:
-        return 0.0
-    saved = 0
+    raw, saved = _raw(text), 0
     for at in range(0, len(raw), SPAN):
         piece = raw[at : at + SPAN]
         saved += len(bad(piece)) - len(good(piece))
-    return saved / len(raw)
+    return saved / max(1, len(raw))
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def features(texts: list[str | None], compress: list[tuple]) -> np.ndarray:
+    """Per text: the difference, that of its shape, and its shortness from 1 (empty) to 0."""
+    return np.array([[difference(t, *compress[0]), difference(shape(t), *compress[1]), math.exp(-len(_raw(t)) / SHORT)] for t in (x or "" for x in texts)]).reshape(len(texts), 3)
+
+
+def _dictionary(texts: list[str], shared: set[str]) -> bytes:
     import zstandard
 
-    spans = [raw[at : at + SPAN] for t in texts for raw in [t.encode("utf-8", "surrogatepass")] for at in range(0, len(raw), SPAN)]
+    own = ["\n".join(line for line in t.split("\n") if line not in shared) for t in texts]
+    spans = [raw[at : at + SPAN] for raw in map(_raw, own) for at in range(0, len(raw), SPAN)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, spans).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
         return b"".join(spans)[-DICTIONARY_BYTES:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps on the log loss with a weak prior against infinite slopes."""
-    scale = float(np.std(x)) or 1.0
-    design = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+def _dictionaries(rows: list) -> tuple[Pair, Pair] | None:
+    """Both pairs from rows (rank, id, label, text); None if a class has no text of its own."""
+    texts = {q: [r[3] for r in rows if r[2] == q] for q in (0, 1)}
+    lines = {q: {line for t in texts[q] for line in t.split("\n")} for q in (0, 1)}
+    words = tuple(_dictionary(texts[q], lines[0] & lines[1]) for q in (1, 0))
+    shapes = tuple(_dictionary([shape(t) for t in texts[q]], set()) for q in (1, 0))
+    return (words, shapes) if all((*words, *shapes)) else None
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights and offset by Newton steps on the log loss. Priors keep them finite and, with
+    few rows, keep shortness from deciding alone."""
+    scale = np.r_[x[:, :2].std(axis=0), 1.0]
+    scale[scale == 0] = 1
+    design = np.c_[x / scale, np.ones(len(x))]
+    w, prior = np.zeros(design.shape[1]), np.array(PRIOR)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
-        grad = design.T @ (p - y) + 1e-3 * w
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        grad = design.T @ (p - y) + prior * w
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(prior)
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return (*(float(v) for v in w[:-1] / scale), float(w[-1]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -111,16 +166,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Q
     # 2 * sample_rows ids at most: a bound that doesn't grow.
     found = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", span.alias("text"), rank.alias("rank")).where("text <> ''")
     rows = sorted({(r["rank"], r["doc_id"], r["quality"], r["text"]) for r in found.collect()})
-    build, curve = rows[::2], rows[1::2]
-    texts = {q: [r[3] for r in build if r[2] == q] for q in (0, 1)}
-    y = np.array([r[2] for r in curve], dtype=float)
+    y = np.array([r[2] for r in rows], dtype=float)
+    # The classes are sampled at different rates; the offset undoes that.
+    total = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    rates = [max(1.0, total.get(q, 0) / sample_rows) for q in (0, 1)]
+    shift = math.log(rates[1] / rates[0])
     share = (y.sum() + 1) / (len(y) + 2)
-    if not texts[0] or not texts[1] or y.min(initial=1) == y.max(initial=0):
-        return QualityModel(b"", b"", 0.0, math.log(share / (1 - share)))
-    good, bad = _dictionary(texts[1]), _dictionary(texts[0])
-    compress = _compressor(good), _compressor(bad)
-    slope, offset = _logistic(np.array([difference(r[3], *compress) for r in curve]), y)
-    return QualityModel(good, bad, slope, offset)
+    constant = QualityModel(None, (0.0, 0.0, 0.0, math.log(share / (1 - share)) + shift))
+    pairs = _dictionaries(rows)
+    if pairs is None:
+        return constant
+    x, unseen = np.empty((len(rows), 3)), np.zeros(len(rows), dtype=bool)
+    for k in range(CROSS):
+        others = _dictionaries([r for n, r in enumerate(rows) if n % CROSS != k])
+        if others is not None and rows[k::CROSS]:
+            x[k::CROSS] = features([r[3] for r in rows[k::CROSS]], _compressors(others))
+            unseen[k::CROSS] = True
+    if len(set(y[unseen])) < 2:
+        return constant
+    *weights, offset = _logistic(x[unseen], y[unseen])
+    return QualityModel(pairs, (*weights, offset + shift))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
