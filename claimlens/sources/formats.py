@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -124,6 +125,26 @@ def decoded(content: bytes, content_type: str | None = None) -> str:
         return content.decode("utf-8", "replace")
 
 
+#: Text by format, from bytes; further formats and PDF backends are added here.
+EXTRACTORS = {
+    "pdf": lambda raw: pdf_text(raw),
+    "html": lambda raw: html_text(decoded(raw)),
+    "xml": lambda raw: xml_text(decoded(raw)),
+}
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Landed bytes of (name, content) as files in a folder that all executors share."""
+
+    def write(rows: Iterator) -> None:
+        from pathlib import Path
+
+        for r in rows:
+            Path(path, r["name"]).write_bytes(bytes(r["content"]))
+
+    files.select("name", "content").foreachPartition(write)
+
+
 def extracted_text(content: Column, kind: Column) -> Column:
     """Text of bytes of a known format, in an Arrow UDF; null where there is none."""
 
@@ -131,7 +152,7 @@ def extracted_text(content: Column, kind: Column) -> Column:
         def one(raw, k):
             if raw is None:
                 return None
-            return pdf_text(bytes(raw)) if k == "pdf" else html_text(decoded(bytes(raw))) if k == "html" else xml_text(decoded(bytes(raw))) if k == "xml" else decoded(bytes(raw))
+            return EXTRACTORS.get(k, decoded)(bytes(raw))
 
         return pd.Series([one(a, b) for a, b in zip(data, kinds, strict=True)], dtype=object)
 

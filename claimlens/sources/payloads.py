@@ -6,7 +6,7 @@ JSON is read with JVM expressions; only repeated structures go through from_json
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -263,3 +263,33 @@ def from_urls(pages: DataFrame) -> DataFrame:
     text = F.when(kind == "pdf", extracted_text(F.col("content"), F.lit("pdf"))).otherwise(F.decode("content", "UTF-8"))
     df = pages.withColumn("value", text).withColumn("reference_id", F.concat(F.lit("url:"), F.col("url")))
     return _record(df, title=html_title(F.col("value"), F.col("url")), content=F.col("value"), content_type=F.lit("url"))
+
+
+#: Parsers by source; register() adds others. Each takes payloads and returns REFERENCE rows.
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "PMID": parse_pubmed,
+    "crossref": parse_crossref,
+    "datacite": parse_datacite,
+    "PPR": parse_ppr,
+    "GEO": parse_summary,
+    "BIOPROJECT": parse_summary,
+    "BIOSAMPLE": parse_summary,
+    "clinicaltrials": parse_trials,
+}
+
+
+def register(source: str, parser: Callable[[DataFrame], DataFrame]) -> None:
+    PARSERS[source] = parser
+
+
+def parse(payloads: DataFrame, sources: Mapping[str, Mapping] | None = None, extra: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """References from payloads of all registered sources, of config-declared ones, and with
+    extra fields; of several answers for an id the first source's counts, in that order."""
+    order = [*PARSERS, *(sources or {})]
+    rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
+    parts = [parser(payloads.where(F.col("source") == s)).withColumn("_rank", F.lit(k)) for k, (s, parser) in enumerate(PARSERS.items())]
+    if sources:
+        ranks = payloads.select(F.col("reference_id"), rank.alias("_rank")).where(F.col("_rank") > len(PARSERS)).distinct()
+        parts.append(parse_json_api(payloads, sources).join(ranks, "reference_id"))
+    refs = _first_by(reduce(lambda a, b: a.unionByName(b), parts), "_rank")
+    return with_extra_fields(refs, payloads, extra) if extra else refs

@@ -93,6 +93,15 @@ def test_payloads(spark):
     assert (extra.content, extra.content_type, extra.metadata["extra_fields_captured"]) == ("\n\n### A\n\nv w", "summary", "A")
 
 
+def test_parse_all_sources(spark, tmp_path):
+    every = body(spark, "crossref", {"message": {"title": ["T"]}}, "DOI:1").unionByName(body(spark, "datacite", {"data": {"attributes": {"titles": [{"title": "D"}]}}}, "DOI:1"))
+    every = every.unionByName(body(spark, "GEO", {"title": "G", "summary": "S"}, "GEO:1")).unionByName(body(spark, "my", {"t": "M"}, "my:1"))
+    got = {r.reference_id: (r.title, r.content) for r in payloads.parse(every, {"my": {"fields": {"title": "$.t"}}}, {"GEO": {"T": "$.title"}}).collect()}
+    assert got == {"DOI:1": ("T", None), "GEO:1": ("G", "S\n\n### T\n\nG"), "my:1": ("M", None)}
+    formats.write_files(spark.createDataFrame([("a.pdf", bytearray(b"%PDF"))], "name string, content binary"), str(tmp_path))
+    assert (tmp_path / "a.pdf").read_bytes() == b"%PDF"
+
+
 def test_custom_sources(tmp_path):
     (tmp_path / "a.yaml").write_text("sources:\n- {prefix: X, fields: {title: $.t}}\n- {prefix: Y}\n")
     (tmp_path / "b.yaml").write_text("X: {fields: {title: $.u}}\n")
