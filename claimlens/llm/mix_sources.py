@@ -19,7 +19,8 @@ from claimlens.llm.shared import cut, pick
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
-BINS = 4096
+#: Hex digits of a document's hash that name its range.
+BIN_DIGITS = 3
 SEED = 17
 
 
@@ -63,10 +64,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: flo
     repeated doc_ids are rows like others, ties in the hash order go by doc_id and size.
     An empty table gives an empty result; further columns are ignored.
 
-    Prefix sums run within one of `BINS` hash ranges of a source, whose own totals are summed
+    Prefix sums run within one of 4,096 hash ranges of a source, whose own totals are summed
     before, so that a source of any size is dealt over many tasks."""
     sized = pick(docs, "doc_id", "text", "source").select("doc_id", "source", words(F.col("text")).alias("size"))
-    sized = cut(sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bin", F.pmod(F.shiftright("_h", 40), F.lit(BINS)).cast("int")))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    sized = cut(sized.withColumn("_h", order).withColumn("bin", F.conv(F.substring(order, 1, BIN_DIGITS), 16, 10).cast("int")))
     bins = cut(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
     targets = water_fill(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, epochs, share)
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -117,4 +117,69 @@ best as (
 select page_id, p.host, p.path, rule, coalesce(verdict, 'allow') as verdict
 from p left join best on p.host = best.host and p.path = best.path
 """
-ORACLE: dict[str, str] = {"op1_ngram_join": _OP1, "op3_embedding_neardup": _OP3, "op9_url_filter": _OP9}
+
+_OP4 = r"""
+with own as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marks as (
+  select *, length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g'), chr(10), '\n'))
+    + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g')) + 6 as chars from own),
+turns as (
+  select *, ceil(chars / 4)::bigint as tokens, row_number() over w as pos, sum(ceil(chars / 4)::bigint) over w as fin,
+    first_value(case when lower(role) = 'system' then chars end) over w as sys_chars
+  from marks window w as (partition by conv_id order by turn nulls first, role, text rows unbounded preceding)),
+cells as (
+  select *, fin - tokens as start, greatest(1, 1024 - 192 - coalesce(ceil(sys_chars / 4), 0))::bigint as room from turns),
+placed as (
+  select *, start // room as cell, min(start) over (partition by conv_id, start // room) as first_start,
+    lag(chars, 1) over w as chars1, lag(tokens, 1) over w as tokens1, lag(chars, 2) over w as chars2, lag(tokens, 2) over w as tokens2
+  from cells window w as (partition by conv_id order by pos)),
+parts as (
+  select *, fin > (cell + 1) * room and fin - first_start > room and start > first_start as alone from placed),
+wins as (
+  select conv_id, cell, alone, min(pos) as first_pos, sum(tokens) as tokens, sum(chars) as chars, max(sys_chars) as sys_chars,
+    first(chars1 order by pos) as chars1, first(tokens1 order by pos) as tokens1, first(chars2 order by pos) as chars2, first(tokens2 order by pos) as tokens2
+  from parts group by all),
+room_left as (
+  select *, sys_chars is not null and first_pos > 1 as has_system,
+    least(192, 1024 - tokens - case when sys_chars is not null and first_pos > 1 then ceil(sys_chars / 4) else 0 end) as room_left from wins),
+nearest as (
+  select *, chars1 is not null and not (has_system and first_pos = 2) and tokens1 <= room_left as fits1 from room_left),
+both_fit as (
+  select *, fits1 and chars2 is not null and not (has_system and first_pos = 3) and tokens1 + tokens2 <= room_left as fits2 from nearest),
+lengths as (
+  select conv_id, sum(chars + case when has_system then sys_chars else 0 end + case when fits1 then chars1 else 0 end + case when fits2 then chars2 else 0 end)::bigint as formatted_chars
+  from both_fit group by 1),
+whole as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+    coalesce(string_agg(case when lower(role) = 'assistant' then text end, '' order by pos), '') as loss from turns group by 1)
+select w.conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from whole w join lengths l on w.conv_id is not distinct from l.conv_id
+"""
+
+_OP10 = r"""
+with sized as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint as size,
+    md5('17:' || coalesce(doc_id::varchar, '')) as h from documents),
+sources as (
+  select source, sum(size)::double as n, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as w from sized group by 1),
+levels as (
+  select *, coalesce(sum(3.0::double * n) over (o rows between unbounded preceding and 1 preceding), 0.0) as capped,
+    sum(w) over (o rows between current row and unbounded following) as open_weight
+  from sources window o as (order by 3.0::double * n / w, source nulls last)),
+level as (
+  select arg_min(open_weight, 3.0::double * n / w) filter (3.0::double * n / w >= ((select sum(n) from sources) - capped) / open_weight) as weight,
+    arg_min((select sum(n) from sources) - capped, 3.0::double * n / w) filter (3.0::double * n / w >= ((select sum(n) from sources) - capped) / open_weight) as left_over
+  from levels),
+targets as (
+  select source, n::bigint as source_size, n, case when weight is null or 3.0::double * n <= w * (left_over / weight) then 3.0::double * n else w * (left_over / weight) end as target
+  from sources, level),
+placed as (
+  select doc_id, size, source_size, target, target / n as rate, n,
+    sum(size) over (partition by s.source order by h, doc_id, size rows unbounded preceding) - size + size / 2 as middle
+  from sized s join targets t on s.source is not distinct from t.source)
+select doc_id, size, source_size, target, copies * size as taken, copies from (
+  select *, (case when n > 0 then floor(rate) + case when rate > floor(rate) and middle <= (rate - floor(rate)) * n then 1 else 0 end else 0 end)::bigint as copies from placed)
+"""
+ORACLE: dict[str, str] = {"op1_ngram_join": _OP1, "op3_embedding_neardup": _OP3, "op4_chat_windows": _OP4, "op9_url_filter": _OP9, "op10_mix_sources": _OP10}
