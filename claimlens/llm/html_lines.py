@@ -34,6 +34,8 @@ UNWANTED = frozenset(
     "donate feedback footer gdpr hidden login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion "
     "recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget widgets".split()
 )
+#: Words that make such a name one of a layout, as in "with-sidebar".
+LAYOUT = frozenset("has with without no layout".split())
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -116,7 +118,7 @@ class _Lines(HTMLParser):
                 return True
             if name in ("class", "id", "role", "aria-label") and value:
                 words = {w.lower() for w in _NAME.findall(value)}
-                if words & UNWANTED and not (name == "class" and {"content", "article"} & words and tag == "section"):
+                if words & UNWANTED and not words & LAYOUT:
                     return True
         return False
 

@@ -251,6 +251,7 @@ def test_chat_round_trip(spark):
         ("<article><p>x</p><section id=comments><p>hm</p></section></article><footer>f</footer>", "x"),
         ("<div class=sidebar><p>never closed<article><p>kept</p></article>", "kept"),
         ("<nav>menu</nav><div><h1>Head of it</h1><p>" + "long text " * 20 + "</p><p>end.</p></div><footer>f</footer>", "Head of it\n\n" + ("long text " * 20).strip() + "\n\nend."),
+        ("<div class='page with-sidebar'><p>" + "text here " * 9 + "</p><div class=adSlot>" + "buy " * 40 + "</div></div>", ("text here " * 9).strip()),
         ("<article><pre> a\n  b </pre><ul><li>1<li>2</ul></article>", "a b\n\n1\n\n2"),
     ],
 )
