@@ -29,8 +29,8 @@ from claimlens.llm.shared import components, cut, in_block_pairs, map_groups, pi
 THRESHOLD = 0.98
 TARGET_RECALL = 0.999
 SIGMAS = 4.0
-CODE_BLOCK = 512
-VERIFY_BLOCK = 128
+CODE_BLOCK = 96
+VERIFY_BLOCK = 64
 
 
 def tables_for(rows: int, threshold: float, target: float) -> tuple[int, int]:
@@ -110,7 +110,7 @@ def _candidates(nodes: DataFrame, bits: int, tables: int, threshold: float, sigm
     width = -(-bits // 8)
     keys = F.array(*[F.xxhash64("label", "dim", F.lit(t), F.substring("code", 1 + t * width, width)) for t in range(tables)])
     leaves = nodes.select("node", F.explode(keys).alias("bucket"))
-    crowded = leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    crowded = cut(leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     met = cut(leaves.join(crowded, "bucket"))
     placed = in_block_pairs(met, "bucket", "node", F.ceil(F.col("members") / CODE_BLOCK)).select("bucket", "i", "j", "node")
     placed = placed.join(nodes.select("node", "code", "factor", "unit"), "node")
@@ -130,7 +130,7 @@ def _candidates(nodes: DataFrame, bits: int, tables: int, threshold: float, sigm
 
 def _verified(nodes: DataFrame, groups: DataFrame, bits: int, threshold: float, sigmas: float) -> DataFrame:
     members = groups.join(nodes, F.col("id") == F.col("node")).select("node", "rows", "label", "dim", "code", "factor", "unit", "root")
-    members = members.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root")
+    members = members.join(cut(groups.groupBy("root").agg(F.count("*").alias("n"))), "root")
     placed = in_block_pairs(members, "root", "node", F.ceil(F.col("n") / VERIFY_BLOCK))
     turn: dict[int, np.ndarray] = {}
 
