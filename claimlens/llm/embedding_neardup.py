@@ -29,7 +29,7 @@ from claimlens.llm.shared import components, cut, in_block_pairs, map_groups, pi
 THRESHOLD = 0.98
 TARGET_RECALL = 0.999
 SIGMAS = 4.0
-CODE_BLOCK = 96
+CODE_BLOCK = 256
 VERIFY_BLOCK = 64
 
 
