@@ -20,7 +20,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's authors split text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bins of one range of lengths are summed in one task.
-RANGE = 4096
+RANGE = 64
 #: Code points encoded at a time; see pieces().
 CHUNK = 1 << 16
 _loaded: dict = {}
