@@ -165,10 +165,11 @@ def pattern_scores(marks: DataFrame, rounds: int = ROUNDS, min_support: int = MI
     so that copies of a text prove nothing more. Both joins are equi-joins whose frequent
     keys the planner splits; sums are partial before each shuffle."""
     edges = marks.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+    edges = cut(edges)
+    wide = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support))
     edges = cut(edges.join(wide, "pattern").select("pattern", "instance", "seed", "n"))
     # A value that is a seed somewhere is one everywhere.
-    worth = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("worth"))
+    worth = cut(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("worth")))
     for k in range(rounds):
         scored = edges.join(worth, "instance").groupBy("pattern").agg((F.sum("worth") / (F.max("n") + DOUBT)).alias("confidence"))
         scored = cut(scored)
