@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm.shared import pick
+from claimlens.llm.shared import cut, pick
 
 #: Hex digits of the digest that the join compares.
 PREFIX = 8
@@ -76,5 +76,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     asked = named.withColumn("asked", _digest(F.col("host_end"), F.col("path_start"))).withColumn("short", F.substring("asked", 1, PREFIX))
     met = asked.join(rules.select("short", "full", "verdict", "rule", "long"), "short").where("asked = full")
     best = met.groupBy("host", "path").agg(F.min(F.struct((-F.col("long")).alias("long"), (F.col("verdict") != "block").alias("mild"), "rule", "verdict")).alias("best"))
+    # Written first: joined to a table instead of to an aggregate of its own stage, a frequent URL's rows can be split.
+    best = cut(best)
     judged = pages.join(best, ["host", "path"], "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
