@@ -58,7 +58,12 @@ def _unit(v: list | None) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def _codes(vectors: DataFrame, bits: int) -> DataFrame:
+def table_keys(signs: np.ndarray, bits: int, tables: int) -> bytes:
+    """The sign bits of each table, `bits` of them and no more, padded to whole bytes."""
+    return np.packbits(signs[: bits * tables].reshape(tables, bits), axis=1).tobytes()
+
+
+def _codes(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -69,14 +74,15 @@ def _codes(vectors: DataFrame, bits: int) -> DataFrame:
                     continue
                 d = len(u)
                 if d not in turn:
-                    turn[d] = rotations(d, bits)
+                    turn[d] = rotations(d, bits * tables)
                 y = turn[d] @ u
+                signs = y.ravel() >= 0
                 fp = hashlib.blake2b(f"{label}:".encode() + np.asarray(v, dtype=np.float64).tobytes(), digest_size=16).digest()
-                rows.append((vec_id, fp, label, d, np.packbits(y.ravel() >= 0).tobytes(), (np.abs(y).sum(axis=1) / math.sqrt(d)).tobytes(), u.tobytes()))
+                rows.append((vec_id, fp, label, d, table_keys(signs, bits, tables), np.packbits(signs).tobytes(), (np.abs(y).sum(axis=1) / math.sqrt(d)).tobytes(), u.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip((("vec_id", pa.int64()), ("fp", pa.binary()), ("label", pa.int64()), ("dim", pa.int32()), ("code", pa.binary()), ("factor", pa.binary()), ("unit", pa.binary())), zip(*rows, strict=True), strict=True)})
+                yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip((("vec_id", pa.int64()), ("fp", pa.binary()), ("label", pa.int64()), ("dim", pa.int32()), ("keys", pa.binary()), ("code", pa.binary()), ("factor", pa.binary()), ("unit", pa.binary())), zip(*rows, strict=True), strict=True)})
 
-    return vectors.mapInArrow(run, "vec_id long, fp binary, label long, dim int, code binary, factor binary, unit binary")
+    return vectors.mapInArrow(run, "vec_id long, fp binary, label long, dim int, keys binary, code binary, factor binary, unit binary")
 
 
 class _Block:
@@ -106,9 +112,9 @@ class _Block:
 
 
 def _candidates(nodes: DataFrame, bits: int, tables: int, threshold: float, sigmas: float) -> DataFrame:
-    # Table t takes the sign bits from t * bits on; conv() of hex digits would be slower than whole bytes, so bits are rounded up to bytes.
+    # Table t takes the sign bits from t * bits on; its key fills whole bytes, which substring() cuts out.
     width = -(-bits // 8)
-    keys = F.array(*[F.xxhash64("label", "dim", F.lit(t), F.substring("code", 1 + t * width, width)) for t in range(tables)])
+    keys = F.array(*[F.xxhash64("label", "dim", F.lit(t), F.substring("keys", 1 + t * width, width)) for t in range(tables)])
     leaves = nodes.select("node", F.explode(keys).alias("bucket"))
     crowded = cut(leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     met = cut(leaves.join(crowded, "bucket"))
@@ -119,7 +125,7 @@ def _candidates(nodes: DataFrame, bits: int, tables: int, threshold: float, sigm
     def link(table: pa.Table) -> dict | None:
         if table.num_rows < 2:
             return None
-        block = _Block(table, width * 8 * tables, turn)
+        block = _Block(table, bits * tables, turn)
         a, b = np.nonzero(np.triu(block.upper(sigmas) >= threshold, 1))
         root = roots(a, b, len(block.ids))
         tied = np.flatnonzero(root != np.arange(len(root)))
@@ -165,13 +171,12 @@ def embedding_neardup(vectors: DataFrame, threshold: float = THRESHOLD, target_r
     they differ). An empty table gives an empty result; further columns are ignored."""
     vectors = pick(vectors, "vec_id", "embedding", "label")
     bits, tables = tables_for(vectors.count(), threshold, target_recall)
-    code_bits = -(-bits // 8) * 8 * tables
-    coded = cut(_codes(vectors.where("vec_id is not null"), code_bits))
+    coded = cut(_codes(vectors.where("vec_id is not null"), bits, tables))
     named = coded.groupBy("vec_id").agg(F.min("fp").alias("fp"))
     groups_of = cut(named.groupBy("fp").agg(F.min("vec_id").alias("node"), F.count("*").alias("rows")))
     nodes = cut(coded.withColumnRenamed("vec_id", "node").join(groups_of, ["node", "fp"]).dropDuplicates(["node"]).drop("fp"))
     groups = components(_candidates(nodes, bits, tables, threshold, sigmas))
-    checked = cut(_verified(nodes, groups, code_bits, threshold, sigmas))
+    checked = cut(_verified(nodes, groups, bits * tables, threshold, sigmas))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("root").alias("a"), F.col("node").alias("b"))).withColumnRenamed("id", "node")
     judged = groups_of.join(links, "node", "left").join(classes, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))

@@ -187,6 +187,33 @@ def test_embedding_neardup_equals_brute_force(spark):
     assert emb.embedding_neardup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [100, 65536, 65537, 10**6, 2**24 + 1])
+def test_keys_hold_the_bits_that_tables_are_counted_for(rows):
+    bits, tables = emb.tables_for(rows, 0.98, 0.999)
+    assert 1 - (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables >= 0.999
+    signs = np.random.default_rng(5).random(bits * tables + 9) < 0.5
+    width = -(-bits // 8)
+    keys = emb.table_keys(signs, bits, tables)
+    assert len(keys) == tables * width
+    for k in range(len(signs)):  # a sign is in the key of its own table alone
+        signs[k] ^= True
+        other = emb.table_keys(signs, bits, tables)
+        assert [t for t in range(tables) if keys[t * width : (t + 1) * width] != other[t * width : (t + 1) * width]] == [k // bits] * (k < bits * tables)
+        signs[k] ^= True
+
+
+def test_recall_holds_above_65536_rows(spark):
+    rng, n = np.random.default_rng(8), 3000
+    u, w = rng.standard_normal((2, n, 32))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= np.einsum("ij,ij->i", u, w)[:, None] * u
+    v = 0.9801 * u + np.sqrt(1 - 0.9801**2) * w / np.linalg.norm(w, axis=1)[:, None]
+    pairs = spark.createDataFrame([(2 * k + side, x.tolist(), 1) for k in range(n) for side, x in ((0, u[k]), (1, v[k]))], "vec_id long, embedding array<double>, label int")
+    rest = spark.range(2 * n, 65537).selectExpr("id as vec_id", "cast(null as array<double>) as embedding", "1 as label")
+    found = emb.embedding_neardup(pairs.unionByName(rest)).where(f"vec_id < {2 * n} and n_links = 1 and component_id % 2 = 0").count() // 2
+    assert found >= n - 10  # 0.999 of them are expected
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     u = rng.standard_normal((400, 64))
