@@ -3,13 +3,16 @@
 Markup is stripped and every block element becomes a line. Elements that are never main text
 (scripts, menus, forms, adverts, comments and the like) leave empty lines, as do anchors for
 the measure. Sums of text lengths over a sliding window of lines surge where the main text
-starts and dive where it ends; the lines between are kept. Inside <article> or <main>, the
+starts and dive where it ends; the lines between are kept, and so are the lines elsewhere in
+the blocks that hold them, as an advert or a list of links within a text doesn't end it. On
+pages without a surge the highest windows count as one. Inside <article> or <main>, the
 page itself has named its main text, and lines elsewhere measure 0.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from claimlens.llm.shared import pick
 
 WINDOW = 3
-#: A window surges at this many characters where no element names the main text.
+#: A window surges at this many characters, or at the page's highest sum if that is less, where no element names the main text.
 SURGE = 50
 
 # Elements of HTML by what they mean here.
@@ -27,6 +30,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend map menu nav noscript object option script select style svg template textarea title video".split())
 NAMED = frozenset("article main".split())
+#: Blocks that divide a page; the others are parts of a text.
+CONTAINERS = frozenset("article body center div html main section td th".split())
 ENDS_P = BLOCKS - {"html", "head", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Words in class, id, role or aria-label of what isn't main text.
 UNWANTED = frozenset(
@@ -41,12 +46,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, length without anchors, whether in a named element) for each line."""
+    """Collects (text, length without anchors, whether in a named element, innermost block) for each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # name, drops, named
+        self.lines: list[tuple[str, int, bool, int]] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # name, drops, named, block around
+        self.blocks: list[tuple[str, int]] = [("html", 0)]  # name, block around; the page itself is 0
+        self.block = 0
         self.text: list[str] = []
         self.anchor = 0
         self.drops = self.named = self.links = 0
@@ -54,19 +61,20 @@ class _Lines(HTMLParser):
     def line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, max(0, len(text) - self.anchor), self.named > 0))
+            self.lines.append((text, max(0, len(text) - self.anchor), self.named > 0, self.block))
         self.text, self.anchor = [], 0
 
     def gap(self) -> None:
         self.line()
         if self.lines and self.lines[-1][0]:
-            self.lines += [("", 0, False)] * WINDOW
+            self.lines += [("", 0, self.named > 0, self.block)] * WINDOW
 
     def pop(self, upto: int) -> None:
         while len(self.stack) > upto:
-            name, drops, named = self.stack.pop()
+            name, drops, named, around = self.stack.pop()
             if name in BLOCKS and not self.drops:
                 self.line()
+            self.block = around
             self.drops -= drops
             self.named -= named
             self.links -= name == "a"
@@ -93,7 +101,10 @@ class _Lines(HTMLParser):
             self.line()
         if drops and tag in BLOCKS:
             self.gap()
-        self.stack.append((tag, drops, tag in NAMED))
+        self.stack.append((tag, drops, tag in NAMED, self.block))
+        if tag in BLOCKS:
+            self.blocks.append((tag, self.block))
+            self.block = len(self.blocks) - 1
         self.drops += drops
         self.named += tag in NAMED
         self.links += tag == "a"
@@ -139,6 +150,33 @@ class _Lines(HTMLParser):
                 self.anchor += len(_SPACE.sub(" ", data))
 
 
+def _whole(lines: list[tuple[str, int, bool, int]], size: list[int], kept: list[bool], blocks: list[tuple[str, int]]) -> list[bool]:
+    """`kept`, and the other lines of the containers whose text is kept: those with a size, and
+    between the first and the last of these those without. Of the body only its own text counts,
+    not the containers in it."""
+    home, named = [0], [0]  # by block: the nearest container (0 for the body) and named element
+    for k, (name, around) in enumerate(blocks[1:], 1):
+        home.append(0 if name in ("html", "body") else k if name in CONTAINERS else home[around])
+        named.append(k if name in NAMED else named[around])
+    homes = {home[line[3]] for line, k in zip(lines, kept, strict=True) if k}
+    # Containers that share one are paragraphs of one text.
+    shared = Counter(home[blocks[h][1]] for h in homes if h and blocks[h][0] not in NAMED)
+    homes |= {h for h, n in shared.items() if n > 1 and h} | {named[h] for h in homes if named[h]}
+    near: list[int] = []  # by block: the nearest of the homes, or -1
+    for k, (_, around) in enumerate(blocks):
+        if k in homes or not home[k]:
+            near.append(k if k and k in homes else 0 if 0 in homes else -1)
+        else:
+            near.append(near[around] or -1)
+    own = [near[line[3]] for line in lines]
+    kept = [k or bool(line[0]) and n > 0 and o >= 0 for k, line, n, o in zip(kept, lines, size, own, strict=True)]
+    span: dict[int, tuple[int, int]] = {}
+    for k, o in enumerate(own):
+        if kept[k] and size[k] and o >= 0:
+            span[o] = (span.get(o, (k, k))[0], k)
+    return [kept[k] or bool(lines[k][0]) and o in span and span[o][0] < k < span[o][1] for k, o in enumerate(own)]
+
+
 def main_text(html: str | None) -> str:
     """The blocks between surge and dive, white space made one space, joined by two newlines."""
     if not html:
@@ -149,22 +187,20 @@ def main_text(html: str | None) -> str:
     parser.pop(0)
     parser.line()
     lines = parser.lines
-    named = any(n for _, _, n in lines)
-    size = [(len(t) if n else 0) if named else s for t, s, n in lines]
-    floor = 1 if named else SURGE
-    total, sums = 0, []
-    for k in range(len(size)):  # sums[k]: of the window of lines that starts at k
-        total = sum(size[k : k + WINDOW])
-        sums.append(total)
+    named = any(line[2] for line in lines)
+    size = [(len(t) if n else 0) if named else s for t, s, n, _ in lines]
+    sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]  # of the window of lines that starts at k
+    floor = min(1 if named else SURGE, max(sums, default=0)) or 1
     kept, inside = [], False
-    for k, (text, _, _) in enumerate(lines):
+    for k, (text, *_) in enumerate(lines):
         if not inside and sums[k] >= floor and size[k]:
             inside = True  # surge
         elif inside and not sums[k]:
             inside = False  # dive
-        if inside and text and (size[k] or not named):
-            kept.append(text)
-    return "\n\n".join(kept)
+        kept.append(inside and bool(text) and (size[k] > 0 or not named))
+    if not named:
+        kept = _whole(lines, size, kept, parser.blocks)
+    return "\n\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
 
 
 def html_lines(pages: DataFrame) -> DataFrame:

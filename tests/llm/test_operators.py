@@ -286,6 +286,25 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = ("text of two hundred characters " * 7).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><nav>menu</nav><p>A short note.</p></body>", "A short note."),
+        ("<div><p>One.</p><p>Two.</p><div class=ad>buy</div><p>Three.</p></div>", "One.\n\nTwo.\n\nThree."),
+        (f"<div><p>{LONG}</p><div class=ad>buy</div><p>The end, thanks for reading.</p></div>", f"{LONG}\n\nThe end, thanks for reading."),
+        (f"<body><p>{LONG}</p><div class=ad>buy</div><p>The end, thanks for reading.</p><div>Imprint</div></body>", f"{LONG}\n\nThe end, thanks for reading."),
+        (f"<div><div>{LONG}</div><div>{LONG}</div><form>x</form><div>The end.</div></div>", f"{LONG}\n\n{LONG}\n\nThe end."),
+        (f"<div><p>{LONG}</p><p><a>x</a></p><p><a>y</a></p><p><a>z</a></p><p>The end.</p><p><a>more</a></p></div>", f"{LONG}\n\nx\n\ny\n\nz\n\nThe end."),
+        (f"<div><p>Lead.</p><div class=share>s</div><h2>Part</h2><p>{LONG}</p></div>", f"Lead.\n\nPart\n\n{LONG}"),
+    ],
+)
+def test_main_text_is_whole_without_named_elements(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_lines(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", 0), (None, None, None, 0)], "page_id long, url string, html string, HTML2 int")
     assert sorted(tuple(r)[1:] for r in html.html_lines(df).collect() if r.page_id) == [("u", "é", 1)]
