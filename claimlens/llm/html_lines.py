@@ -5,8 +5,9 @@ Markup is stripped and every block element becomes a line. Elements that are nev
 the measure. Sums of text lengths over a sliding window of lines surge where the main text
 starts and dive where it ends; the lines between are kept, and so are the lines elsewhere in
 the blocks that hold them, as an advert or a list of links within a text doesn't end it. On
-pages without a surge the highest windows count as one. Inside <article> or <main>, the
-page itself has named its main text, and lines elsewhere measure 0.
+pages without a surge the highest windows count as one. Text in <article> or <main> weighs
+`NAMED_WEIGHT` times as much: it surges at any length and other text only at as many times
+the characters, unless a run of other text outweighs all of it; then no element counts as named.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 from claimlens.llm.shared import pick
 
 WINDOW = 3
-#: A window surges at this many characters, or at the page's highest sum if that is less, where no element names the main text.
+#: A window surges at this many characters, or at the page's highest sum if that is less, where no element names the main text; text outside a named element, at NAMED_WEIGHT times as many.
 SURGE = 50
+NAMED_WEIGHT = 4
 
 # Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -41,6 +43,8 @@ UNWANTED = frozenset(
 )
 #: Words that make such a name one of a layout, as in "with-sidebar".
 LAYOUT = frozenset("has with without no layout".split())
+#: Class names that file an article under something, as "category-advertising".
+_FILED = re.compile(r"(?<!\S)(?:category|tag|tax|type|status|format)[-_]\S*")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -48,8 +52,9 @@ _SPACE = re.compile(r"\s+")
 class _Lines(HTMLParser):
     """Collects (text, length without anchors, whether in a named element, innermost block) for each line."""
 
-    def __init__(self):
+    def __init__(self, articles: bool = False):
         super().__init__(convert_charrefs=True)
+        self.articles = articles  # whether they are wanted whatever they are called
         self.lines: list[tuple[str, int, bool, int]] = []
         self.stack: list[tuple[str, bool, bool, int]] = []  # name, drops, named, block around
         self.blocks: list[tuple[str, int]] = [("html", 0)]  # name, block around; the page itself is 0
@@ -92,11 +97,12 @@ class _Lines(HTMLParser):
             self.shut({"p"} if tag not in ("li", "dt", "dd") else {"p", "dt", "dd"} if tag != "li" else {"p", "li"}, BLOCKS)
         elif tag in ("td", "th", "tr"):
             self.shut({"td", "th"} if tag != "tr" else {"td", "th", "tr"}, {"table"})
-        if tag in NAMED and self.drops:  # an unclosed element before the main text doesn't swallow it
+        unwanted = self.unwanted(tag, attrs)
+        if tag in NAMED and self.drops and not unwanted:  # an unclosed element before the main text doesn't swallow it
             first = next(k for k, s in enumerate(self.stack) if s[1])
             if self.stack[first][0] not in ("script", "style"):
                 self.pop(first)
-        drops = not self.drops and (tag in DROPPED or (tag == "header" and not self.named) or self.unwanted(tag, attrs))
+        drops = not self.drops and (tag in DROPPED or (tag == "header" and not self.named) or unwanted)
         if tag in BLOCKS and not self.drops:
             self.line()
         if drops and tag in BLOCKS:
@@ -120,7 +126,7 @@ class _Lines(HTMLParser):
         self.pop(upto)
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "main") or tag == "article" and self.articles:
             return False
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -128,7 +134,7 @@ class _Lines(HTMLParser):
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
             if name in ("class", "id", "role", "aria-label") and value:
-                words = {w.lower() for w in _NAME.findall(value)}
+                words = {w.lower() for w in _NAME.findall(_FILED.sub("", value) if tag == "article" else value)}
                 if words & UNWANTED and not words & LAYOUT:
                     return True
         return False
@@ -177,30 +183,50 @@ def _whole(lines: list[tuple[str, int, bool, int]], size: list[int], kept: list[
     return [kept[k] or bool(lines[k][0]) and o in span and span[o][0] < k < span[o][1] for k, o in enumerate(own)]
 
 
-def main_text(html: str | None) -> str:
-    """The blocks between surge and dive, white space made one space, joined by two newlines."""
-    if not html:
-        return ""
-    parser = _Lines()
+def _named(lines: list[tuple[str, int, bool, int]]) -> bool:
+    """Whether the named elements hold the main text: weighed, no less than the heaviest run outside them."""
+    inside = sum(len(line[0]) for line in lines if line[2])
+    heaviest = run = empty = 0
+    for _, s, n, _ in lines:
+        empty = 0 if s and not n else empty + 1
+        run = 0 if n or empty >= WINDOW else run + s
+        heaviest = max(heaviest, run)
+    return 0 < inside and heaviest <= NAMED_WEIGHT * inside
+
+
+def _text(parser: _Lines, html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.pop(0)
     parser.line()
     lines = parser.lines
-    named = any(line[2] for line in lines)
-    size = [(len(t) if n else 0) if named else s for t, s, n, _ in lines]
-    sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]  # of the window of lines that starts at k
-    floor = min(1 if named else SURGE, max(sums, default=0)) or 1
+    named = _named(lines)
+    size = [NAMED_WEIGHT * len(t) if named and n else s for t, s, n, _ in lines]
+    sums = [0] * len(lines)  # of the window of lines that starts at k and doesn't enter or leave a named element
+    for k in range(len(lines)):
+        for m in range(k, min(k + WINDOW, len(lines))):
+            if named and lines[m][2] != lines[k][2]:
+                break
+            sums[k] += size[m]
+    floor = min(SURGE * (NAMED_WEIGHT if named else 1), max(sums, default=0)) or 1
     kept, inside = [], False
-    for k, (text, *_) in enumerate(lines):
-        if not inside and sums[k] >= floor and size[k]:
+    for k, (text, _, n, _) in enumerate(lines):
+        if named and k and n != lines[k - 1][2]:
+            inside = False
+        if not inside and sums[k] >= (1 if named and n else floor) and size[k]:
             inside = True  # surge
         elif inside and not sums[k]:
             inside = False  # dive
-        kept.append(inside and bool(text) and (size[k] > 0 or not named))
-    if not named:
-        kept = _whole(lines, size, kept, parser.blocks)
-    return "\n\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
+        kept.append(inside and bool(text))
+    return "\n\n".join(line[0] for line, k in zip(lines, _whole(lines, size, kept, parser.blocks), strict=True) if k)
+
+
+def main_text(html: str | None) -> str:
+    """The blocks between surge and dive, white space made one space, joined by two newlines.
+    Articles whose names are those of comments or teasers count only where nothing else has text."""
+    if not html:
+        return ""
+    return _text(_Lines(), html) or _text(_Lines(articles=True), html)
 
 
 def html_lines(pages: DataFrame) -> DataFrame:

@@ -305,6 +305,23 @@ def test_main_text_is_whole_without_named_elements(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><form>x</form><article><h3>Next</h3><p>A card.</p></article>", f"{LONG}\n\n{LONG}"),
+        (f"<div><p>{LONG}</p></div><article class=teaser><p>{LONG}</p></article>", LONG),
+        (f"<div><p>{LONG}</p></div><section id=comments><article class=comment-body><p>{LONG}</p></article></section>", LONG),
+        (f"<div><p>{LONG}</p></div><div class=ad>buy</div><article><p>{LONG}</p></article><div>Imprint</div>", f"{LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><div>Imprint and contact</div>", LONG),
+        (f"<article class='post category-advertising'><p>{LONG}</p></article>", LONG),
+        (f"<h1>Site</h1><nav>n</nav><article class='post tag-social'><p>{LONG}</p></article>", LONG),
+        (f"<article class='share'><p>{LONG}</p></article>", LONG),
+    ],
+)
+def test_named_elements_weigh_but_do_not_decide(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_lines(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", 0), (None, None, None, 0)], "page_id long, url string, html string, HTML2 int")
     assert sorted(tuple(r)[1:] for r in html.html_lines(df).collect() if r.page_id) == [("u", "é", 1)]
