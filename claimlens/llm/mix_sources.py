@@ -56,17 +56,19 @@ def water_fill(sources: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: f
         open_ = cut(open_.withColumn("capped", F.col("capped") | over))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED, share: float = 1.0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED, share: float = 1.0, key: str | None = None) -> DataFrame:
     """One row per row of (doc_id, text, source): doc_id, size, source_size, target, taken, copies.
 
     size counts words (null or empty text: 0), copies says how often the mix takes the
     document, taken = copies * size. A null source is a source of its own, the last; null and
     repeated doc_ids are rows like others, ties in the hash order go by doc_id and size.
-    An empty table gives an empty result; further columns are ignored.
+    An empty table gives an empty result; further columns are ignored, but
+    for `key`: the column of that name is the result's last, and decides ties before size.
 
     Prefix sums run within one of 4,096 hash ranges of a source, whose own totals are summed
     before, so that a source of any size is dealt over many tasks."""
-    sized = pick(docs, "doc_id", "text", "source").select("doc_id", "source", words(F.col("text")).alias("size"))
+    extra_key = [key] if key else []
+    sized = pick(docs, "doc_id", "text", "source", *extra_key).select("doc_id", "source", words(F.col("text")).alias("size"), *extra_key)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = cut(sized.withColumn("_h", order).withColumn("bin", F.conv(F.substring(order, 1, BIN_DIGITS), 16, 10).cast("int")))
     bins = cut(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
@@ -74,10 +76,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: flo
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).select("source", "bin", "bin_start")
     starts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("source"), "bin", "bin_start", "source_size", "target")
-    placed = sized.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bin") == F.col("s.bin"))).select("doc_id", "d.source", "size", "_h", "d.bin", "bin_start", "source_size", "target")
-    within = Window.partitionBy("source", "bin").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bin") == F.col("s.bin"))).select("doc_id", "d.source", "size", "_h", "d.bin", "bin_start", "source_size", "target", *extra_key)
+    within = Window.partitionBy("source", "bin").orderBy("_h", "doc_id", *extra_key, "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("bin_start") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     extra = middle <= (rate - F.floor(rate)) * F.col("source_size")
     copies = (F.floor(rate) + F.when(extra & (rate > F.floor(rate)), 1).otherwise(0)).cast("long")
-    return placed.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return placed.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *extra_key)

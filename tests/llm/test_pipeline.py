@@ -43,6 +43,32 @@ def test_stages(spark):
     assert max(r.copy for r in kept["mix"]) <= 3
 
 
+def test_stages_judge_rows_not_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    judged = score(docs, fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).join(docs, "doc_id").orderBy("doc_id").collect()
+    bad, good = (next(r.text for r in judged if r.predicted == p and len(r.text) > 300) for p in (0, 1))
+    leak = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    far, clean = 10**9, "one two three four five six seven eight nine ten"
+
+    def left(stage, *added):
+        rows = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in added], docs.schema)
+        return sorted((str(r.doc_id), r.text) for r in stage(spark, docs.unionByName(rows), DATA).where(f"doc_id is null or doc_id >= {far}").collect())
+
+    assert left(pipeline.quality, (None, bad, "a"), (far, bad, "a"), (far, good, "a")) == [(str(far), good)]
+    assert left(pipeline.decontaminate, (None, leak, "a"), (far, leak, "a"), (far, clean, "a")) == [(str(far), clean)]
+    assert left(pipeline.dedup, (far, clean, "a"), (far + 1, clean, "a"), (far + 1, clean[::-1], "a")) == [(str(far), clean), (str(far + 1), clean[::-1])]
+    masked = left(pipeline.pii, (None, "mail a@b.co", "a"), (far, "to c@d.org now", "a"), (far, clean, "a"))
+    assert masked == sorted([("None", "mail [email]"), (str(far), "to [email] now"), (str(far), clean)])
+
+
+def test_mix_takes_each_row_by_itself(spark):
+    rows = [(None if k % 2 else 5, f"w{k // 3} " * 9, "en", "ab"[k % 5 == 0], 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    want = pipeline.mix_sources(docs).groupBy("source_size").sum("copies").collect()
+    got = pipeline.mix(spark, docs, DATA)
+    assert sorted(r[1] for r in want) == sorted(r[1] for r in got.groupBy("source").count().collect())
+
+
 def test_stages_on_odd_rows(spark):
     odd = spark.createDataFrame([(None, None, "x", None, 1), (1, "", "x", None, 1), (1, "", "x", None, 1), (2, "write to a@b.co", "y", "s", 1)], "doc_id long, text string, copies string, source string, `Text` int")
     docs = odd
