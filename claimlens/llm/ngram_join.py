@@ -1,13 +1,13 @@
-"""Operator 1. N-gram Jaccard join by a MinHash LSH forest.
+"""Operator 1. N-gram Jaccard join by MinHash banding, in place of a descent in an LSH forest.
 
 Texts become sets of five-word shingles (lower case, words between white space; a text of
 fewer words is one shingle, an empty one the empty set). Rows with equal sets form a node.
-A node's MinHash values, cut into `trees` paths, are its leaves in as many prefix tries;
-sorting by (tree, path) lays each trie out, and a prefix of a path names an inner node.
-Matched prefixes are shortened from `longest` values down to the first depth at which a pair
-of the threshold's similarity meets in some tree with the target probability. Deeper matches
-lie within shallower ones, so the trie is cut once, at that depth, and values beyond it are
-not computed. Nodes that share a prefix and whose signatures agree well enough form candidate groups; within those, every pair is
+A node's MinHash values are cut into `trees` bands of one depth: from `longest` values down,
+the first at which a pair of the threshold's similarity meets in some band with the target
+probability, by a formula of the parameters and not of the data. A forest of prefix tries
+whose descent stops at that depth gives the same pairs, as those that share a longer prefix
+share this one; no trie is built, and values beyond the depth are not computed.
+Nodes that share a band and whose signatures agree well enough form candidate groups; within those, every pair is
 verified exactly on its shingle sets.
 """
 
