@@ -1,14 +1,19 @@
-"""Operator 1. N-gram Jaccard join by MinHash banding, in place of a descent in an LSH forest.
+"""Operator 1. N-gram Jaccard join by a MinHash LSH forest.
 
 Texts become sets of five-word shingles (lower case, words between white space; a text of
 fewer words is one shingle, an empty one the empty set). Rows with equal sets form a node.
-A node's MinHash values are cut into `trees` bands of one depth: from `longest` values down,
-the first at which a pair of the threshold's similarity meets in some band with the target
-probability, by a formula of the parameters and not of the data. A forest of prefix tries
-whose descent stops at that depth gives the same pairs, as those that share a longer prefix
-share this one; no trie is built, and values beyond the depth are not computed.
-Nodes that share a band and whose signatures agree well enough form candidate groups; within those, every pair is
-verified exactly on its shingle sets.
+A node's MinHash values make one path of `longest` values in each of `trees` prefix tries. A
+trie is kept as its sorted leaves: rows with the hashes of their path's prefixes, so that the
+leaves below any prefix are one run.
+
+The descent starts at the longest prefixes and shortens them value by value. At each length,
+nodes below one prefix whose signatures agree well enough are tied. Then each node is judged:
+pairs as alike as its weakest tie have met with a known probability, and once that is the
+target recall, the node is settled and another one of its group stands for it, so that
+shorter prefixes hold a node of each tight group instead of all. Nodes without ties or with
+weaker ones go on until a pair at the threshold is met with the target recall. Within the
+groups of all ties every pair is verified exactly on its shingle sets; members of a large
+group travel as their differences from the group's first node.
 """
 
 from __future__ import annotations
@@ -21,18 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.shared import components, cut, in_block_pairs, map_groups, parts, pick, roots
+from claimlens.llm.shared import components, cut, fits_broadcast, in_block_pairs, map_groups, pick, roots
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
 LONGEST = 8
 TARGET_RECALL = 0.995
-#: Rows of a signature block and of a verification block; two of them meet in a group.
+#: The recall, for pairs as alike as its weakest tie, at which a group needs no shorter prefixes.
+SETTLED_RECALL = 0.9999
+#: Rows of a signature block and of a verification block; two of them meet in a group. Groups
+#: of up to MANY small blocks keep those, so that their pairs are dealt out; larger ones fill large blocks.
 SIGNATURE_BLOCK = 256
 VERIFY_BLOCK = 48
-VERIFY_SHINGLES = 2_000_000
-#: Signature agreement that keeps a pair together: below the threshold by three standard errors.
+LARGE_BLOCK = 512
+MANY = 24
+VERIFY_SHINGLES = 1_000_000
+#: Signature agreement that keeps a pair together: below the threshold by several standard errors.
 AGREE = 0.6
 NEAR = 0.9
 
@@ -80,10 +90,15 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def met_with(similarity: float, depth: int, trees: int) -> float:
+    """Chance that a pair shares a prefix of `depth` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def depth_for(threshold: float, trees: int, longest: int, target: float) -> int:
-    """Shorten the prefix, value by value, until a pair at the threshold is met with the target recall."""
+    """The longest prefix by which a pair at the threshold is met with the target recall."""
     depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and met_with(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
@@ -95,29 +110,42 @@ def _signature(hashes: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndar
     return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _fingerprint(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _features(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """fp, size, sig (four bytes a value) and low (the last byte of each) of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240501)
         mult = rng.integers(1, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 1 << 63, width, dtype=np.uint64)
         for batch in batches:
-            out = {"doc_id": batch.column(0), "fp": [], "size": [], "sig": []}
+            out = {"doc_id": batch.column(0), "fp": [], "size": [], "sig": [], "low": []}
             for text in batch.column(1).to_pylist():
                 h = shingles(text, words)
-                out["fp"].append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                sig = _signature(h, mult, add)
+                out["fp"].append(_fingerprint(h))
                 out["size"].append(len(h))
-                out["sig"].append(_signature(h, mult, add).tobytes())
+                out["sig"].append(sig.tobytes())
+                out["low"].append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict({**out, "size": pa.array(out["size"], pa.int32())})
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, size int, sig binary")
+    return docs.mapInArrow(run, "doc_id long, fp binary, size int, sig binary, low binary")
 
 
-def _near(sig: np.ndarray, agree: float, near: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the rows whose signatures agree by `agree` or more.
+def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A matrix of equally long binaries, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _near(sig: np.ndarray, agree: float, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that span the rows whose signatures agree by `agree` or more, and their agreement.
 
     Leaders are taken in order; rows within `near` of one need not lead. Jaccard distance is
     a metric, so partners at the threshold share a leader within reach of `agree`."""
-    open_, a, b = np.ones(len(sig), dtype=bool), [], []
+    open_, a, b, how = np.ones(len(sig), dtype=bool), [], [], []
     for at in range(len(sig)):
         if not open_[at]:
             continue
@@ -126,30 +154,82 @@ def _near(sig: np.ndarray, agree: float, near: float) -> tuple[np.ndarray, np.nd
         met = np.flatnonzero(same >= agree)
         a.append(np.full(len(met), at))
         b.append(met)
-    return np.concatenate(a), np.concatenate(b)
+        how.append(same[met])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(how)
 
 
-def _candidates(sigs: DataFrame, trees: int, depth: int, agree: float) -> DataFrame:
-    """Links (a, b) between nodes that share a prefix of `depth` values in some tree."""
+def _leaves(sigs: DataFrame, trees: int, longest: int, shortest: int) -> DataFrame:
+    """The sorted leaves that share a shortest prefix with another node: node, p<shortest> .. p<longest>."""
     # A path's values are four bytes each in the signature; substring counts from 1.
-    paths = F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * depth, 4 * depth)).alias("bucket")) for t in range(trees)])
-    leaves = sigs.where("size > 0").select("node", F.explode(paths).alias("p")).select("node", "p.bucket")
-    crowded = cut(leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
-    met = cut(leaves.join(crowded, "bucket"))
-    placed = in_block_pairs(met, "bucket", "node", F.ceil(F.col("members") / SIGNATURE_BLOCK)).select("bucket", "i", "j", "node")
-    placed = placed.join(sigs.select("node", "sig"), "node")
+    prefix = lambda t, d: F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * longest, 4 * d)).alias(f"p{d}")
+    paths = F.array(*[F.struct(*[prefix(t, d) for d in range(shortest, longest + 1)]) for t in range(trees)])
+    top = F.array(*[F.struct(prefix(t, shortest)) for t in range(trees)])
+    tops = sigs.select(F.explode(top).alias("p")).groupBy(f"p.p{shortest}").agg(F.count("*").alias("members"))
+    shared = cut(tops.where("members > 1").select(f"p{shortest}"))
+    leaves = sigs.select("node", F.explode(paths).alias("p")).select("node", "p.*").join(shared, f"p{shortest}")
+    return leaves.sortWithinPartitions(*[f"p{d}" for d in range(shortest, longest + 1)])
+
+
+def _ties(live: DataFrame, sigs: DataFrame, prefix: str, agree: float) -> DataFrame:
+    """(a, b, alike) between nodes below one prefix that belong to different groups.
+
+    live: node, root, prefix. A crowded prefix is first held against its first node: those
+    as near to it as NEAR are done, as all their partners are tied to it too. The rest of the
+    rows, and those of smaller prefixes, meet pairwise in blocks."""
+    low = sigs.select("node", "low")
+    crowd = cut(live.groupBy(F.col(prefix).alias("bucket")).agg(F.count("*").alias("members"), F.min("node").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "members", "first"))
+    rows = live.select(F.col(prefix).alias("bucket"), "node").join(crowd, "bucket").join(low, "node")
+    rows = cut(rows)
+    large = F.col("members") > SIGNATURE_BLOCK
+    leaders = crowd.where(large).join(low.withColumnRenamed("node", "first"), "first").select("bucket", F.col("low").alias("lead"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_bytes(batch.column("low")) == _bytes(batch.column("lead"))).mean(axis=1)
+                yield pa.RecordBatch.from_pydict({"bucket": batch.column("bucket"), "first": batch.column("first"), "node": batch.column("node"), "alike": same})
+
+    starred = cut(rows.where(large).join(leaders, "bucket").select("bucket", "first", "node", "low", "lead").mapInArrow(compare, "bucket long, first long, node long, alike double"))
+    rest = starred.where((F.col("alike") < NEAR) & (F.col("first") != F.col("node"))).select("bucket", "node")
+    left = cut(rest.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    rest = rest.join(left, "bucket").join(low, "node").select("bucket", "members", "node", "low")
+    placed = rows.where(~large).select("bucket", "members", "node", "low").unionByName(rest)
+    placed = in_block_pairs(placed, "bucket", "node", F.ceil(F.col("members") / SIGNATURE_BLOCK)).select("bucket", "i", "j", "node", "low")
 
     def link(table: pa.Table) -> dict | None:
         if table.num_rows < 2:
             return None
         ids = table.column("node").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.int32).reshape(len(ids), -1)
-        a, b = _near(sig, agree, NEAR)
+        a, b, alike = _near(_bytes(table.column("low")), agree, NEAR)
         root = roots(a, b, len(ids))
+        weakest = np.ones(len(ids))
+        np.minimum.at(weakest, root[a], alike)
         tied = np.flatnonzero(root != np.arange(len(ids)))
-        return {"a": ids[root[tied]], "b": ids[tied]} if len(tied) else None
+        return {"a": ids[root[tied]], "b": ids[tied], "alike": weakest[root[tied]]} if len(tied) else None
+
+    met = map_groups(placed, ["bucket", "i", "j"], link, "a long, b long, alike double")
+    star = starred.where((F.col("alike") >= agree) & (F.col("first") != F.col("node"))).select(F.col("first").alias("a"), F.col("node").alias("b"), "alike")
+    return met.unionByName(star)
 
-    return map_groups(placed, ["bucket", "i", "j"], link, "a long, b long", ["sig"])
+
+def _groups(sigs: DataFrame, trees: int, longest: int, shortest: int, target: float, agree: float) -> DataFrame:
+    """(id, root) of the nodes that the descent ties, by group.
+
+    At each length a node takes the smallest node it is tied to as its head. It is settled if
+    pairs as alike as its weakest tie are met so far with the target recall; settled nodes
+    whose head has no other head leave the tries, where the head stands for them."""
+    live = cut(_leaves(sigs, trees, longest, shortest).withColumn("root", F.col("node")))
+    ties = None
+    for depth in range(longest, shortest - 1, -1):
+        found = cut(_ties(live, sigs, f"p{depth}", agree))
+        ties = found if ties is None else ties.unionByName(found)
+        if depth > shortest:
+            heads = cut(ties.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head"), F.min("alike").alias("weakest")))
+            settled = 1 - F.pow(1 - F.pow("weakest", F.lit(depth)), F.lit(trees)) >= target
+            out = heads.where(settled).join(heads.select(F.col("node").alias("head")), "head", "left_anti").select("node", F.lit(True).alias("gone"))
+            state = cut(heads.select("node", "head").join(out, "node", "left"))
+            live = cut(live.join(state, "node", "left").where("gone is null").withColumn("root", F.coalesce("head", "root")).drop("head", "gone"))
+    return components(ties.select("a", "b"))
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -168,47 +248,87 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
+def _linked(common: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def _links(linked: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> dict | None:
+    a, b = np.nonzero(linked)
+    if not len(a):
+        return None
+    root, touched = roots(a, b, len(ids)), linked.any(axis=1)
+    return {"node": ids[touched], "root": ids[root[touched]], "links": (linked @ weight)[touched].astype(np.int64)}
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, threshold: float) -> DataFrame:
     """(node, root, links) for each node and group: its smallest partner in reach there, and
-    the rows it is linked to by pairs of that group."""
-    members = groups.join(nodes, F.col("id") == F.col("node")).select("node", "rows", "size", "root")
-    members = cut(members)
+    the rows it is linked to by pairs of that group. nodes: node, rows, size, fp.
+
+    A group of one block is verified where its sets meet. The members of others become their
+    differences from the set of the group's first node, which every block of it gets: with
+    r elements of that set P missing, two members have |P| - r1 - r2 + |D1 & D2| in common."""
+    members = cut(groups.join(nodes, F.col("id") == F.col("node")).select("node", "fp", "rows", "size", "root"))
     sums = cut(members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")))
-    members = members.join(sums, "root")
+    blocks = F.greatest(F.ceil(F.col("n") / VERIFY_BLOCK), F.ceil(F.col("s") / VERIFY_SHINGLES)).cast("int")
+    members = fits_broadcast(cut(members.join(sums.select("root", blocks.alias("blocks")), "root")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("node", "rows", "root", "n", "s")}, "set": [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]})
+            found = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            # Rows of this doc_id with another text are not this node.
+            same = pa.array([_fingerprint(h) == fp for h, fp in zip(found, batch.column("fp").to_pylist(), strict=True)], pa.bool_())
+            out = {c: batch.column(c) for c in ("node", "rows", "root", "blocks")}
+            yield pa.RecordBatch.from_pydict({**out, "set": pa.array([h.tobytes() for h in found], pa.binary())}).filter(same)
 
     held = docs.join(members, docs["doc_id"] == members["node"])
-    held = held.select("node", "rows", "root", "n", "s", "text").mapInArrow(sets, "node long, rows long, root long, n long, s long, set binary")
-    blocks = F.greatest(F.ceil(F.col("n") / VERIFY_BLOCK), F.ceil(F.col("s") / VERIFY_SHINGLES))
-    placed = in_block_pairs(held, "root", "node", blocks)
+    held = held.select("node", "rows", "root", "blocks", "fp", "text").mapInArrow(sets, "node long, rows long, root long, blocks int, set binary")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    held = held.withColumn("own", own).withColumn("block", F.explode(everywhere))
+
+    def meet(table: pa.Table) -> dict | None:
+        node = table.column("node").to_numpy()
+        ids, first = np.unique(node, return_index=True)
+        raw, rows = table.column("set").take(pa.array(first)).to_pylist(), table.column("rows").to_numpy()[first]
+        found = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+        if table.column("blocks")[0].as_py() == 1:
+            size = np.array([len(x) for x in found], dtype=float)
+            got = _links(_linked(_overlaps(found), size, threshold), ids, rows) if len(ids) > 1 else None
+            return got and {**got, "group": got["root"], "rows": got["links"], "size": got["links"], "lost": got["links"], "diff": np.array([None] * len(got["node"]), dtype=object)}
+        root, block = table.column("root")[0].as_py(), table.column("block")[0].as_py()
+        pivot = found[int(np.searchsorted(ids, root))]
+        mine = np.flatnonzero(table.column("own").to_numpy()[first] == block)
+        diffs = [np.setxor1d(found[k], pivot, assume_unique=True) for k in mine]
+        size = np.array([len(found[k]) for k in mine], dtype=np.int64)
+        lost = np.array([(len(d) + len(pivot) - n) // 2 for d, n in zip(diffs, size, strict=True)], dtype=np.int64)
+        none = np.zeros(len(mine), dtype=np.int64)
+        return {"node": ids[mine], "root": ids[mine], "links": none, "group": np.full(len(mine), root), "rows": rows[mine], "size": size, "lost": lost, "diff": np.array([d.tobytes() for d in diffs], dtype=object)} if len(mine) else None
+
+    met = cut(map_groups(held, ["root", "block"], meet, "node long, root long, links long, group long, rows long, size long, lost long, diff binary"))
+    apart = met.where("diff is not null").select("node", "group", "rows", "size", "lost", "diff")
+    totals = cut(apart.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("diff") / 8).alias("s")))
+    few = F.least(F.lit(MANY), F.ceil(F.col("n") / VERIFY_BLOCK))
+    placed = in_block_pairs(apart.join(totals, "group"), "group", "node", F.greatest(few, F.ceil(F.col("n") / LARGE_BLOCK), F.ceil(F.col("s") / VERIFY_SHINGLES)))
 
     def verify(table: pa.Table) -> dict | None:
         ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
         if len(ids) < 2:
             return None
-        raw = table.column("set").to_pylist()
-        found = [np.frombuffer(raw[k], dtype=np.uint64) for k in first]
-        weight, block = (table.column(c).to_numpy()[first] for c in ("rows", "block"))
-        size = np.array([len(s) for s in found], dtype=float)
-        common = _overlaps(found)
-        linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
-        np.fill_diagonal(linked, False)
+        raw = table.column("diff").take(pa.array(first)).to_pylist()
+        weight, block, lost, size = (table.column(c).to_numpy()[first] for c in ("rows", "block", "lost", "size"))
+        diffs = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+        pivot = size[0] - len(diffs[0]) + 2 * lost[0]
+        linked = _linked(pivot - lost[:, None] - lost[None, :] + _overlaps(diffs), size.astype(float), threshold)
         if table.column("i")[0].as_py() != table.column("j")[0].as_py():
             linked &= block[:, None] != block[None, :]  # pairs within a block meet in (i, i)
-        a, b = np.nonzero(linked)
-        if not len(a):
-            return None
-        root = roots(a, b, len(ids))
-        touched = linked.any(axis=1)
-        return {"node": ids[touched], "root": ids[root[touched]], "links": (linked @ weight)[touched].astype(np.int64)}
+        return _links(linked, ids, weight)
 
-    return map_groups(placed, ["root", "i", "j"], verify, "node long, root long, links long")
+    return met.where("diff is null").select("node", "root", "links").unionByName(map_groups(placed, ["group", "i", "j"], verify, "node long, root long, links long"))
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, target_recall: float = TARGET_RECALL) -> DataFrame:
+def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, target_recall: float = TARGET_RECALL, settled_recall: float = SETTLED_RECALL) -> DataFrame:
     """One row per document of (doc_id, text): doc_id, class_id, n_links, kept.
 
     n_links counts the other documents whose Jaccard similarity of word n-gram sets is at
@@ -217,16 +337,19 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     Null and empty texts have the empty set and equal one another. A null doc_id takes part
     in nothing: n_links 0, class_id null, kept. Rows that repeat a doc_id are one document
     (with the text of the smallest fingerprint, should texts differ). Ties go to the smaller
-    doc_id. An empty table gives an empty result; further columns are ignored."""
+    doc_id. Texts of any length are read whole. An empty table gives an empty result; further
+    columns are ignored, whatever they are called."""
     docs = pick(docs, "doc_id", "text")
-    depth = depth_for(threshold, trees, longest, target_recall)
-    features = cut(_features(docs.where("doc_id is not null"), words, trees * depth))
+    shortest = depth_for(threshold, trees, longest, target_recall)
+    features = cut(_features(docs.where("doc_id is not null"), words, trees * longest))
     named = features.groupBy("doc_id").agg(F.min("fp").alias("fp"))
     nodes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
-    sized = features.select(F.col("doc_id").alias("node"), "fp", "size", "sig").join(nodes, ["node", "fp"]).dropDuplicates(["node"])
-    sigs = cut(sized.select("node", "rows", "size", "sig"))
-    groups = components(_candidates(sigs, trees, depth, AGREE + (threshold - THRESHOLD)))
-    checked = cut(_verified(docs, sigs.select("node", "rows", "size"), groups, words, threshold))
+    sized = features.withColumnRenamed("doc_id", "node").join(nodes, ["node", "fp"]).dropDuplicates(["node"])
+    sigs = cut(sized.select("node", "fp", "rows", "size", "sig", "low"))
+    # Sets of fewer elements than this can't be so alike without being equal.
+    able = sigs.where(F.col("size") * (1 - threshold) >= threshold - 1e-9)
+    groups = _groups(able, trees, longest, shortest, settled_recall, AGREE + (threshold - THRESHOLD))
+    checked = cut(_verified(docs, sigs.select("node", "fp", "rows", "size"), groups, words, threshold))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("root").alias("a"), F.col("node").alias("b")))
     judged = (

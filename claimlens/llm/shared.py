@@ -28,9 +28,12 @@ def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir, which driver and executors must share. A
+    local session may do without it, as all its threads see one machine's temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that a table may have to be broadcast: some 50 MB in a JVM.
+BROADCAST_ROWS = 400_000
+
+
+def fits_broadcast(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has BROADCAST_ROWS at most;
+    a larger one is joined by a shuffle. Parquet's footers tell the count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions for Python work that is dear per byte and so must not be coalesced by size."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
