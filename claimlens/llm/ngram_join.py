@@ -104,10 +104,14 @@ def depth_for(threshold: float, trees: int, longest: int, target: float) -> int:
 
 
 def _signature(hashes: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
-    best = np.full(len(mult), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(best, (hashes[at : at + 1024, None] * mult + add).min(axis=0), out=best)
-    return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """MinHash values: the least of each odd multiple plus offset of the hashes, all of 32 bits."""
+    best = np.full(len(mult), np.iinfo(np.uint32).max, dtype=np.uint32)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 4096):
+        turned = mult[:, None] * x[at : at + 4096]
+        turned += add[:, None]
+        np.minimum(best, turned.min(axis=1), out=best)
+    return best
 
 
 def _fingerprint(hashes: np.ndarray) -> bytes:
@@ -119,8 +123,8 @@ def _features(docs: DataFrame, words: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240501)
-        mult = rng.integers(1, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = rng.integers(0, 1 << 63, width, dtype=np.uint64)
+        mult = rng.integers(0, 1 << 32, width, dtype=np.uint32) | np.uint32(1)
+        add = rng.integers(0, 1 << 32, width, dtype=np.uint32)
         for batch in batches:
             out = {"doc_id": batch.column(0), "fp": [], "size": [], "sig": [], "low": []}
             for text in batch.column(1).to_pylist():
