@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.shared import pick
+from claimlens.llm.shared import cut_rows, filter_texts, pick
 
 ERROR_RATE = 0.08
 #: Characters of test items that one pass over the documents holds; more items, more passes.
@@ -140,11 +140,14 @@ class _Matcher:
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits) for each row of (doc_id, text) and each item of (item_id,
-    text) that the text holds within the item's budget: error_rate of its normalised length.
+    text) that the text holds within the item's budget: error_rate of its normalised length, and
+    one edit less than it has pieces of MIN_PIECE characters (none below 2 * MIN_PIECE). Whole
+    texts are searched, however long.
 
     Items of empty normalised text or null item_id match nothing, and so do null and empty
     documents. Rows and items that repeat give a hit each (items of one id and the smaller
-    distance are one). Either table may be empty; further columns are ignored. Documents
+    distance are one). Either table may be empty; further columns are ignored, whatever they
+    are called. Documents
     aren't shuffled: each task reads whole texts and carries one bounded block of items."""
     docs = pick(docs, "doc_id", "text")
     spark, found = docs.sparkSession, None
@@ -162,6 +165,21 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = ER
     return spark.createDataFrame([], "doc_id long, item_id long, edits long") if found is None else found
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs, all columns, without the rows that hold an item as benchmark_hits() finds them,
+    judged where they stand. One pass for each block of items, written before the next."""
+    spark = docs.sparkSession
+    for n, block in enumerate(_blocks(pick(benchmark, "item_id", "text"), block_chars)):
+        held = spark.sparkContext.broadcast(block)
+
+        def judge(held=held):
+            matcher = _Matcher(held.value, error_rate)
+            return lambda texts: [not (t and matcher.find(normal(t))) for t in texts]
+
+        docs = filter_texts(cut_rows(docs) if n else docs, judge)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """One row per doc_id with hits: doc_id, n_items, min_edits, items (sorted)."""
     hits = benchmark_hits(docs, benchmark, error_rate)

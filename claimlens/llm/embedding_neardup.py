@@ -9,8 +9,10 @@ the others are computed exactly, in double precision.
 
 Pairs that are looked at share a run of sign bits in some table, the label and the dimension.
 Vectors at the threshold differ in a sign with probability acos(threshold) / pi, which sets
-the number of tables for the target recall. Groups tied by such pairs are then verified pair
-by pair. Equal vectors of a label are one node throughout.
+the number of tables for the target recall. In a table only codes travel: pairs whose codes
+differ in more signs than vectors at the threshold do, by `sigmas` standard errors, are
+dropped. The vectors of groups tied by the others are then verified pair by pair. Equal
+vectors of a label are one node throughout.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from claimlens.llm.shared import components, cut, in_block_pairs, map_groups, pi
 THRESHOLD = 0.98
 TARGET_RECALL = 0.999
 SIGMAS = 4.0
+#: Rows of a block of codes and of a block of vectors; two of them meet in a group. Groups of
+#: up to MANY small blocks keep those, so that their pairs are dealt out; larger ones fill large blocks.
 CODE_BLOCK = 256
 VERIFY_BLOCK = 64
+LARGE_BLOCK = 1024
+MANY = 16
 
 
 def tables_for(rows: int, threshold: float, target: float) -> tuple[int, int]:
@@ -47,15 +53,13 @@ def rotations(dim: int, bits: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(n)])
 
 
-def _unit(v: list | None) -> np.ndarray | None:
-    if not v or any(x is None for x in v):
-        return None
-    x = np.asarray(v, dtype=np.float64)
-    top = np.abs(x).max()
-    if not np.isfinite(top) or top == 0:
-        return None
-    x = x / top
-    return x / np.sqrt(x @ x)
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows of x, and which rows have one."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        top = np.abs(x).max(axis=1)
+        ok = np.isfinite(top) & (top > 0)
+        x = x[ok] / top[ok, None]
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], ok
 
 
 def table_keys(signs: np.ndarray, bits: int, tables: int) -> bytes:
@@ -63,52 +67,62 @@ def table_keys(signs: np.ndarray, bits: int, tables: int) -> bytes:
     return np.packbits(signs[: bits * tables].reshape(tables, bits), axis=1).tobytes()
 
 
+_CODES = (("vec_id", pa.int64()), ("fp", pa.binary()), ("label", pa.int64()), ("dim", pa.int32()), ("keys", pa.binary()), ("code", pa.binary()), ("factor", pa.binary()), ("unit", pa.binary()))
+
+
 def _codes(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = []
+            by_dim: dict[int, list[tuple]] = {}
             for vec_id, v, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                u = _unit(v) if label is not None else None
-                if u is None:
+                if label is not None and v and None not in v:
+                    by_dim.setdefault(len(v), []).append((vec_id, v, label))
+            for d, rows in by_dim.items():
+                raw = np.array([r[1] for r in rows], dtype=np.float64)
+                units, ok = _units(raw)
+                if not ok.any():
                     continue
-                d = len(u)
                 if d not in turn:
                     turn[d] = rotations(d, bits * tables)
-                y = turn[d] @ u
-                signs = y.ravel() >= 0
-                fp = hashlib.blake2b(f"{label}:".encode() + np.asarray(v, dtype=np.float64).tobytes(), digest_size=16).digest()
-                rows.append((vec_id, fp, label, d, table_keys(signs, bits, tables), np.packbits(signs).tobytes(), (np.abs(y).sum(axis=1) / math.sqrt(d)).tobytes(), u.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip((("vec_id", pa.int64()), ("fp", pa.binary()), ("label", pa.int64()), ("dim", pa.int32()), ("keys", pa.binary()), ("code", pa.binary()), ("factor", pa.binary()), ("unit", pa.binary())), zip(*rows, strict=True), strict=True)})
+                y = np.einsum("nij,kj->kni", turn[d], units, optimize=True)
+                signs = y.reshape(len(units), -1) >= 0
+                factor = np.abs(y).sum(axis=2) / math.sqrt(d)
+                kept = [r for r, good in zip(rows, ok, strict=True) if good]
+                fps = [hashlib.blake2b(f"{r[2]}:".encode() + x.tobytes(), digest_size=16).digest() for r, x in zip(kept, raw[ok], strict=True)]
+                made = ([r[0] for r in kept], fps, [r[2] for r in kept], [d] * len(kept), [table_keys(x, bits, tables) for x in signs], [x.tobytes() for x in np.packbits(signs, axis=1)], [x.tobytes() for x in factor], [x.tobytes() for x in units])
+                yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(_CODES, made, strict=True)})
 
     return vectors.mapInArrow(run, "vec_id long, fp binary, label long, dim int, keys binary, code binary, factor binary, unit binary")
 
 
-class _Block:
-    """The vectors of one group, with their codes."""
+def _stacked(column: pa.ChunkedArray, first: np.ndarray, kind: type) -> np.ndarray:
+    """A matrix of equally long binaries, one for each of the rows `first`."""
+    return np.frombuffer(b"".join(column.take(pa.array(first)).to_pylist()), dtype=kind).reshape(len(first), -1)
+
+
+def most_signs(bits: int, threshold: float, sigmas: float) -> float:
+    """The signs in which codes of vectors at the threshold differ, and `sigmas` standard errors more."""
+    p = math.acos(min(1.0, threshold)) / math.pi
+    return bits * p + sigmas * math.sqrt(bits * p * (1 - p))
 
-    def __init__(self, table: pa.Table, bits: int, turn: dict[int, np.ndarray]):
-        self.ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        take = lambda c: [table.column(c)[int(k)].as_py() for k in first]
-        self.first, self.unit = first, np.array([np.frombuffer(x) for x in take("unit")])
-        d = self.unit.shape[1]
-        if d not in turn:
-            turn[d] = rotations(d, bits)
-        n = len(turn[d])
-        code = np.array([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n * d) for x in take("code")])
-        self.signs = (code.reshape(len(first), n, d).astype(np.float32) * 2 - 1) / math.sqrt(d)
-        self.factor = np.array([np.frombuffer(x) for x in take("factor")])
-        self.turned = np.einsum("nij,kj->kni", turn[d], self.unit).astype(np.float32)
-        self.error = np.sqrt(np.sum((1 - self.factor**2).clip(0) / self.factor**2, axis=1) / max(1, d - 1)) / n
-
-    def upper(self, sigmas: float) -> np.ndarray:
-        """Upper confidence bounds of all inner products: the smaller of the two directions."""
-        bound = np.full((len(self.ids), len(self.ids)), 0.0)
-        for r in range(self.signs.shape[1]):
-            bound += (self.signs[:, r] @ self.turned[:, r].T) / self.factor[:, r, None]
-        bound = bound / self.signs.shape[1] + sigmas * self.error[:, None]
-        return np.minimum(bound, bound.T)
+
+def differing(code: np.ndarray) -> np.ndarray:
+    """How many bits differ between the rows of packed codes, pairwise, by a product of signs."""
+    signs = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
+    return (signs.shape[1] - signs @ signs.T) / 2
+
+
+def upper_bounds(code: np.ndarray, factor: np.ndarray, unit: np.ndarray, turn: np.ndarray, sigmas: float) -> np.ndarray:
+    """Upper confidence bounds of all inner products: the smaller of the two directions."""
+    n, d = len(turn), unit.shape[1]
+    signs = (np.unpackbits(code, axis=1, count=n * d).reshape(len(unit), n, d).astype(np.float32) * 2 - 1) / math.sqrt(d)
+    bound = np.zeros((len(unit), len(unit)), dtype=np.float32)
+    for r in range(n):
+        bound += (signs[:, r] @ (turn[r] @ unit.T).astype(np.float32)) / factor[:, r, None].astype(np.float32)
+    error = np.sqrt(np.sum((1 - factor**2).clip(0) / factor**2, axis=1) / max(1, d - 1)) / n
+    bound = bound / n + (sigmas * error[:, None] + 1e-5).astype(np.float32)  # and what single precision may lose
+    return np.minimum(bound, bound.T)
 
 
 def _candidates(nodes: DataFrame, bits: int, tables: int, threshold: float, sigmas: float) -> DataFrame:
@@ -119,44 +133,49 @@ def _candidates(nodes: DataFrame, bits: int, tables: int, threshold: float, sigm
     crowded = cut(leaves.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     met = cut(leaves.join(crowded, "bucket"))
     placed = in_block_pairs(met, "bucket", "node", F.ceil(F.col("members") / CODE_BLOCK)).select("bucket", "i", "j", "node")
-    placed = placed.join(nodes.select("node", "code", "factor", "unit"), "node")
-    turn: dict[int, np.ndarray] = {}
+    placed = placed.join(nodes.select("node", "code"), "node")
 
     def link(table: pa.Table) -> dict | None:
         if table.num_rows < 2:
             return None
-        block = _Block(table, bits * tables, turn)
-        a, b = np.nonzero(np.triu(block.upper(sigmas) >= threshold, 1))
-        root = roots(a, b, len(block.ids))
+        ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        code = _stacked(table.column("code"), first, np.uint8)
+        a, b = np.nonzero(np.triu(differing(code) <= most_signs(code.shape[1] * 8, threshold, sigmas), 1))
+        root = roots(a, b, len(ids))
         tied = np.flatnonzero(root != np.arange(len(root)))
-        return {"a": block.ids[root[tied]], "b": block.ids[tied]} if len(tied) else None
+        return {"a": ids[root[tied]], "b": ids[tied]} if len(tied) else None
 
     return map_groups(placed, ["bucket", "i", "j"], link, "a long, b long")
 
 
 def _verified(nodes: DataFrame, groups: DataFrame, bits: int, threshold: float, sigmas: float) -> DataFrame:
-    members = groups.join(nodes, F.col("id") == F.col("node")).select("node", "rows", "label", "dim", "code", "factor", "unit", "root")
+    members = groups.join(nodes, F.col("id") == F.col("node")).select("node", "rows", "code", "factor", "unit", "root")
     members = members.join(cut(groups.groupBy("root").agg(F.count("*").alias("n"))), "root")
-    placed = in_block_pairs(members, "root", "node", F.ceil(F.col("n") / VERIFY_BLOCK))
+    few = F.least(F.lit(MANY), F.ceil(F.col("n") / VERIFY_BLOCK))
+    placed = in_block_pairs(members, "root", "node", F.greatest(few, F.ceil(F.col("n") / LARGE_BLOCK)))
     turn: dict[int, np.ndarray] = {}
 
     def verify(table: pa.Table) -> dict | None:
         if table.num_rows < 2:
             return None
-        block = _Block(table, bits, turn)
-        weight, part = (table.column(c).to_numpy()[block.first] for c in ("rows", "block"))
-        open_ = np.triu(block.upper(sigmas) >= threshold, 1)
+        ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        unit, factor = (_stacked(table.column(c), first, np.float64) for c in ("unit", "factor"))
+        d = unit.shape[1]
+        if d not in turn:
+            turn[d] = rotations(d, bits)
+        weight, part = (table.column(c).to_numpy()[first] for c in ("rows", "block"))
+        open_ = np.triu(upper_bounds(_stacked(table.column("code"), first, np.uint8), factor, unit, turn[d], sigmas) >= threshold, 1)
         if table.column("i")[0].as_py() != table.column("j")[0].as_py():
             open_ &= part[:, None] != part[None, :]  # pairs within a block meet in (i, i)
         a, b = np.nonzero(open_)
-        exact = np.einsum("ij,ij->i", block.unit[a], block.unit[b])
+        exact = np.concatenate([np.einsum("ij,ij->i", unit[a[at : at + 65536]], unit[b[at : at + 65536]]) for at in range(0, len(a), 65536)]) if len(a) else np.empty(0)
         a, b = a[exact >= threshold], b[exact >= threshold]
         if not len(a):
             return None
-        root, n = roots(a, b, len(block.ids)), len(block.ids)
+        root, n = roots(a, b, len(ids)), len(ids)
         links = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
         on = np.flatnonzero(links)
-        return {"node": block.ids[on], "root": block.ids[root[on]], "links": links[on].astype(np.int64)}
+        return {"node": ids[on], "root": ids[root[on]], "links": links[on].astype(np.int64)}
 
     return map_groups(placed, ["root", "i", "j"], verify, "node long, root long, links long")
 

@@ -1,13 +1,14 @@
 """Operator 5. HTML main text by line-block distribution (after Chen Xin's cx-extractor).
 
-Markup is stripped and every block element becomes a line. Elements that are never main text
-(scripts, menus, forms, adverts, comments and the like) leave empty lines, as do anchors for
-the measure. Sums of text lengths over a sliding window of lines surge where the main text
-starts and dive where it ends; the lines between are kept, and so are the lines elsewhere in
-the blocks that hold them, as an advert or a list of links within a text doesn't end it. On
-pages without a surge the highest windows count as one. Text in <article> or <main> weighs
-`NAMED_WEIGHT` times as much: it surges at any length and other text only at as many times
-the characters, unless a run of other text outweighs all of it; then no element counts as named.
+Markup is stripped and every block element becomes a line with a size: the length of its text
+without anchors. Lines of elements that are never main text (menus, footers, forms, adverts,
+comments and the like) have size 0 and stand between empty lines. Sums of sizes over a
+sliding window of lines surge where the main text starts and dive where it ends; the lines
+between are kept, and so are the lines elsewhere in the blocks that hold them, as an advert or
+a list of links within a text doesn't end it. On pages without a surge the highest windows
+count as one. Text in <article> or <main> weighs `NAMED_WEIGHT` times as much: it surges at
+any length and other text only at as many times the characters, unless a run of other text
+outweighs all of it; then no element counts as named.
 """
 
 from __future__ import annotations
@@ -30,21 +31,24 @@ NAMED_WEIGHT = 4
 # Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend map menu nav noscript object option script select style svg template textarea title video".split())
+#: Blocks that hold text, but never the main one, and elements whose content isn't text of the page at all.
+APART = frozenset("aside dialog fieldset footer form menu nav".split())
+SILENT = frozenset("applet audio button canvas datalist embed head iframe input label legend map noscript object option script select style svg template textarea title video".split())
 NAMED = frozenset("article main".split())
+#: The block of lines that are in none which counts.
+APART_FROM_ALL = -1
 #: Blocks that divide a page; the others are parts of a text.
 CONTAINERS = frozenset("article body center div html main section td th".split())
 ENDS_P = BLOCKS - {"html", "head", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
-#: Words in class, id, role or aria-label of what isn't main text.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words of which class, id, role or aria-label names of what isn't main text are made.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus "
     "donate feedback footer gdpr hidden login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion "
     "recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget widgets".split()
 )
-#: Words that make such a name one of a layout, as in "with-sidebar".
-LAYOUT = frozenset("has with without no layout".split())
-#: Class names that file an article under something, as "category-advertising".
-_FILED = re.compile(r"(?<!\S)(?:category|tag|tax|type|status|format)[-_]\S*")
+#: Words that may join them in a name ("ad-slot", "comment-list") without making it one of something else ("notice-period").
+PLAIN = frozenset("area articles aside bar block body bottom box button buttons card center column container content dialog fixed footer form global group header icons inner item items left link links list main media message more page panel post posts primary print right secondary section sidebar site slot stories sticky text thread top unit user view wrap wrapper".split())
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -56,17 +60,17 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.articles = articles  # whether they are wanted whatever they are called
         self.lines: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # name, drops, named, block around
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # name, apart, silent, named, block around
         self.blocks: list[tuple[str, int]] = [("html", 0)]  # name, block around; the page itself is 0
         self.block = 0
         self.text: list[str] = []
         self.anchor = 0
-        self.drops = self.named = self.links = 0
+        self.apart = self.silent = self.named = self.links = 0
 
     def line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, max(0, len(text) - self.anchor), self.named > 0, self.block))
+            self.lines.append((text, 0, False, APART_FROM_ALL) if self.apart else (text, max(0, len(text) - self.anchor), self.named > 0, self.block))
         self.text, self.anchor = [], 0
 
     def gap(self) -> None:
@@ -76,21 +80,22 @@ class _Lines(HTMLParser):
 
     def pop(self, upto: int) -> None:
         while len(self.stack) > upto:
-            name, drops, named, around = self.stack.pop()
-            if name in BLOCKS and not self.drops:
+            name, apart, silent, named, around = self.stack.pop()
+            if name in BLOCKS and not self.silent:
                 self.line()
             self.block = around
-            self.drops -= drops
+            self.apart -= apart
+            self.silent -= silent
             self.named -= named
             self.links -= name == "a"
-            if drops and not self.drops and name in BLOCKS:
+            if apart and not self.apart and not self.silent:
                 self.gap()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
-            if tag in BLOCKS and not self.drops:
+            if tag in BLOCKS and not self.silent:
                 self.line()
-            elif tag == "br" and not self.drops:
+            elif tag == "br" and not self.silent:
                 self.text.append("\n")
             return
         if tag in ENDS_P or tag in ("dt", "dd"):
@@ -98,20 +103,23 @@ class _Lines(HTMLParser):
         elif tag in ("td", "th", "tr"):
             self.shut({"td", "th"} if tag != "tr" else {"td", "th", "tr"}, {"table"})
         unwanted = self.unwanted(tag, attrs)
-        if tag in NAMED and self.drops and not unwanted:  # an unclosed element before the main text doesn't swallow it
-            first = next(k for k, s in enumerate(self.stack) if s[1])
+        if tag in NAMED and (self.apart or self.silent) and not unwanted:  # an unclosed element before the main text doesn't swallow it
+            first = next(k for k, s in enumerate(self.stack) if s[1] or s[2])
             if self.stack[first][0] not in ("script", "style"):
                 self.pop(first)
-        drops = not self.drops and (tag in DROPPED or (tag == "header" and not self.named) or unwanted)
-        if tag in BLOCKS and not self.drops:
+        block = tag in BLOCKS
+        silent = tag in SILENT or unwanted and not block
+        apart = block and not silent and not self.apart and (tag in APART or tag == "header" and not self.named or unwanted)
+        if block and not self.silent:
             self.line()
-        if drops and tag in BLOCKS:
-            self.gap()
-        self.stack.append((tag, drops, tag in NAMED, self.block))
-        if tag in BLOCKS:
+            if apart:
+                self.gap()
+        self.stack.append((tag, apart, silent, tag in NAMED, self.block))
+        if block:
             self.blocks.append((tag, self.block))
             self.block = len(self.blocks) - 1
-        self.drops += drops
+        self.apart += apart
+        self.silent += silent
         self.named += tag in NAMED
         self.links += tag == "a"
 
@@ -133,10 +141,11 @@ class _Lines(HTMLParser):
                 return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id", "role", "aria-label") and value:
-                words = {w.lower() for w in _NAME.findall(_FILED.sub("", value) if tag == "article" else value)}
-                if words & UNWANTED and not words & LAYOUT:
-                    return True
+            if name in ("class", "id", "role", "aria-label") and value and tag not in HEADINGS:
+                for one in value.split() if name != "aria-label" else [value]:
+                    words = {w.lower() for w in _NAME.findall(one)}
+                    if words & UNWANTED and words <= UNWANTED | PLAIN:
+                        return True
         return False
 
     def handle_endtag(self, tag: str) -> None:
@@ -150,7 +159,7 @@ class _Lines(HTMLParser):
         return None
 
     def handle_data(self, data: str) -> None:
-        if not self.drops:
+        if not self.silent:
             self.text.append(data)
             if self.links:
                 self.anchor += len(_SPACE.sub(" ", data))
@@ -164,7 +173,7 @@ def _whole(lines: list[tuple[str, int, bool, int]], size: list[int], kept: list[
     for k, (name, around) in enumerate(blocks[1:], 1):
         home.append(0 if name in ("html", "body") else k if name in CONTAINERS else home[around])
         named.append(k if name in NAMED else named[around])
-    homes = {home[line[3]] for line, k in zip(lines, kept, strict=True) if k}
+    homes = {home[line[3]] for line, k in zip(lines, kept, strict=True) if k and line[3] != APART_FROM_ALL}
     # Containers that share one are paragraphs of one text.
     shared = Counter(home[blocks[h][1]] for h in homes if h and blocks[h][0] not in NAMED)
     homes |= {h for h, n in shared.items() if n > 1 and h} | {named[h] for h in homes if named[h]}
@@ -174,7 +183,7 @@ def _whole(lines: list[tuple[str, int, bool, int]], size: list[int], kept: list[
             near.append(k if k and k in homes else 0 if 0 in homes else -1)
         else:
             near.append(near[around] or -1)
-    own = [near[line[3]] for line in lines]
+    own = [-1 if line[3] == APART_FROM_ALL else near[line[3]] for line in lines]
     kept = [k or bool(line[0]) and n > 0 and o >= 0 for k, line, n, o in zip(kept, lines, size, own, strict=True)]
     span: dict[int, tuple[int, int]] = {}
     for k, o in enumerate(own):
@@ -194,20 +203,20 @@ def _named(lines: list[tuple[str, int, bool, int]]) -> bool:
     return 0 < inside and heaviest <= NAMED_WEIGHT * inside
 
 
-def _text(parser: _Lines, html: str) -> str:
-    parser.feed(html)
-    parser.close()
-    parser.pop(0)
-    parser.line()
-    lines = parser.lines
-    named = _named(lines)
-    size = [NAMED_WEIGHT * len(t) if named and n else s for t, s, n, _ in lines]
-    sums = [0] * len(lines)  # of the window of lines that starts at k and doesn't enter or leave a named element
+def window_sums(lines: list[tuple[str, int, bool, int]], size: list[int], named: bool) -> list[int]:
+    """The sum of the window of lines that starts at each line and doesn't enter or leave a named element."""
+    sums = [0] * len(lines)
     for k in range(len(lines)):
         for m in range(k, min(k + WINDOW, len(lines))):
             if named and lines[m][2] != lines[k][2]:
                 break
             sums[k] += size[m]
+    return sums
+
+
+def between(lines: list[tuple[str, int, bool, int]], size: list[int], named: bool) -> list[bool]:
+    """Which lines lie between a surge and the dive after it."""
+    sums = window_sums(lines, size, named)
     floor = min(SURGE * (NAMED_WEIGHT if named else 1), max(sums, default=0)) or 1
     kept, inside = [], False
     for k, (text, _, n, _) in enumerate(lines):
@@ -218,7 +227,19 @@ def _text(parser: _Lines, html: str) -> str:
         elif inside and not sums[k]:
             inside = False  # dive
         kept.append(inside and bool(text))
-    return "\n\n".join(line[0] for line, k in zip(lines, _whole(lines, size, kept, parser.blocks), strict=True) if k)
+    return kept
+
+
+def _text(parser: _Lines, html: str) -> str:
+    parser.feed(html)
+    parser.close()
+    parser.pop(0)
+    parser.line()
+    lines = parser.lines
+    named = _named(lines)
+    size = [NAMED_WEIGHT * len(t) if named and n else s for t, s, n, _ in lines]
+    kept = _whole(lines, size, between(lines, size, named), parser.blocks)
+    return "\n\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
 
 
 def main_text(html: str | None) -> str:
@@ -233,8 +254,8 @@ def html_lines(pages: DataFrame) -> DataFrame:
     """One row per row of (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Null and empty pages, and pages without main text, have the empty text. Broken markup is
-    read as far as it goes: open elements end with their parents or the page. Ids and urls
-    may be null or repeat. An empty table gives an empty result; further columns are ignored."""
+    read as far as it goes: open elements end with their parents or the page. Pages of any
+    length are read whole. Ids and urls may be null or repeat. An empty table gives an empty result; further columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -182,8 +182,7 @@ def _ties(live: DataFrame, sigs: DataFrame, prefix: str, agree: float) -> DataFr
     rows, and those of smaller prefixes, meet pairwise in blocks."""
     low = sigs.select("node", "low")
     crowd = cut(live.groupBy(F.col(prefix).alias("bucket")).agg(F.count("*").alias("members"), F.min("node").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "members", "first"))
-    rows = live.select(F.col(prefix).alias("bucket"), "node").join(crowd, "bucket").join(low, "node")
-    rows = cut(rows)
+    rows = cut(live.select(F.col(prefix).alias("bucket"), "node").join(crowd, "bucket").join(low, "node"))
     large = F.col("members") > SIGNATURE_BLOCK
     leaders = crowd.where(large).join(low.withColumnRenamed("node", "first"), "first").select("bucket", F.col("low").alias("lead"))
 
@@ -193,12 +192,16 @@ def _ties(live: DataFrame, sigs: DataFrame, prefix: str, agree: float) -> DataFr
                 same = (_bytes(batch.column("low")) == _bytes(batch.column("lead"))).mean(axis=1)
                 yield pa.RecordBatch.from_pydict({"bucket": batch.column("bucket"), "first": batch.column("first"), "node": batch.column("node"), "alike": same})
 
-    starred = cut(rows.where(large).join(leaders, "bucket").select("bucket", "first", "node", "low", "lead").mapInArrow(compare, "bucket long, first long, node long, alike double"))
-    rest = starred.where((F.col("alike") < NEAR) & (F.col("first") != F.col("node"))).select("bucket", "node")
-    left = cut(rest.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
-    rest = rest.join(left, "bucket").join(low, "node").select("bucket", "members", "node", "low")
-    placed = rows.where(~large).select("bucket", "members", "node", "low").unionByName(rest)
-    placed = in_block_pairs(placed, "bucket", "node", F.ceil(F.col("members") / SIGNATURE_BLOCK)).select("bucket", "i", "j", "node", "low")
+    alike = rows.where(~large).select("bucket", "members", "node", "low")
+    star = None
+    if not crowd.where(large).isEmpty():
+        starred = cut(rows.where(large).join(leaders, "bucket").select("bucket", "first", "node", "low", "lead").mapInArrow(compare, "bucket long, first long, node long, alike double"))
+        others = starred.where(F.col("first") != F.col("node"))
+        rest = others.where(F.col("alike") < NEAR).select("bucket", "node")
+        left = cut(rest.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+        alike = alike.unionByName(rest.join(left, "bucket").join(low, "node").select("bucket", "members", "node", "low"))
+        star = others.where(F.col("alike") >= agree).select(F.col("first").alias("a"), F.col("node").alias("b"), "alike")
+    placed = in_block_pairs(alike, "bucket", "node", F.ceil(F.col("members") / SIGNATURE_BLOCK)).select("bucket", "i", "j", "node", "low")
 
     def link(table: pa.Table) -> dict | None:
         if table.num_rows < 2:
@@ -212,8 +215,7 @@ def _ties(live: DataFrame, sigs: DataFrame, prefix: str, agree: float) -> DataFr
         return {"a": ids[root[tied]], "b": ids[tied], "alike": weakest[root[tied]]} if len(tied) else None
 
     met = map_groups(placed, ["bucket", "i", "j"], link, "a long, b long, alike double")
-    star = starred.where((F.col("alike") >= agree) & (F.col("first") != F.col("node"))).select(F.col("first").alias("a"), F.col("node").alias("b"), "alike")
-    return met.unionByName(star)
+    return met if star is None else met.unionByName(star)
 
 
 def _groups(sigs: DataFrame, trees: int, longest: int, shortest: int, target: float, agree: float) -> DataFrame:
@@ -237,16 +239,20 @@ def _groups(sigs: DataFrame, trees: int, longest: int, shortest: int, target: fl
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of 0/1 matrices over slices of the vocabulary."""
+    """Sizes of the intersections of all pairs of sets (not of a set with itself), by products
+    of 0/1 matrices over slices of the elements that two sets or more have."""
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    vocab, col = np.unique(flat, return_inverse=True)
+    vocab, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    number = np.cumsum(times > 1) - 1
+    row, col, n = row[shared], number[col[shared]], int((times > 1).sum())
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     common = np.zeros((len(sets), len(sets)))
-    for at in range(0, len(vocab), 8192):
+    for at in range(0, n, 8192):
         lo, hi = np.searchsorted(col, [at, at + 8192])
-        m = np.zeros((len(sets), min(8192, len(vocab) - at)), dtype=np.float32)
+        m = np.zeros((len(sets), min(8192, n - at)), dtype=np.float32)
         m[row[lo:hi], col[lo:hi] - at] = 1
         common += m @ m.T
     return common

@@ -1,11 +1,16 @@
 """Operator 2. PII by bootstrapped contextual extraction.
 
-Base patterns find e-mails, IP addresses, payment cards and phone numbers; they are the seeds.
-The words around an identifier-like token (one that holds a digit or @) are its lexical
-patterns. A graph of patterns and instances is scored in rounds (after DIPRE and Snowball): a
-pattern is worth the mean score of its instances, an instance that of its best pattern, seeds
-being worth 1. Patterns of high confidence then mark the other tokens they surround, so that
+Base patterns find e-mails, IP addresses, payment cards and phone numbers; together with
+strings that can only be secrets they are the seeds. The words around an identifier-like
+token are its lexical patterns. A graph of patterns and instances is scored in rounds (after
+DIPRE and Snowball): a pattern is worth the mean score of its instances, an instance that of
+its best pattern, seeds being worth 1 and tokens that a base pattern has rejected (a card that
+fails Luhn) 0. Patterns of high confidence then mark the other tokens they surround, so that
 identifiers of no known format are found by the company they keep.
+
+A token is what stands between white space, without the punctuation at its ends and without
+a leading name and = or :, if it holds a digit or @ and has MIN_TOKEN characters or more.
+Identifiers of several words, or of letters alone, are not discovered.
 """
 
 from __future__ import annotations
@@ -14,14 +19,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.shared import cut, numbered, pick
 
-KINDS = ("email", "ip", "card", "phone", "other")
+KINDS = ("email", "ip", "card", "phone", "secret", "other")
+SECRET, OTHER = KINDS.index("secret"), KINDS.index("other")
 ROUNDS = 3
 #: A pattern needs so many different instances, and this confidence, to discover others.
 MIN_SUPPORT = 5
@@ -29,6 +34,12 @@ CONFIDENCE = 0.8
 #: Added to a pattern's number of instances, so that few of them prove little.
 DOUBT = 1.0
 MIN_TOKEN = 5
+#: Longer words are no context: they don't recur.
+MAX_WORD = 40
+#: A secret that is a seed: one run of so many ASCII letters and digits, with so many of each.
+SECRET_LENGTH, SECRET_MIX = 20, 4
+#: Trusted patterns that one pass over the rows holds; more patterns, more passes.
+PATTERN_BLOCK = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -36,7 +47,8 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]\S*")
-_EDGE = ".,;:!?\"'()[]{}<>|"
+_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{%d,}+" % SECRET_LENGTH)
+_EDGE = ".,;:!?\"'`()[]{}<>|"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -89,16 +101,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def secret_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, index of kind, end) of strings that can only be secrets, outside base spans."""
+    found, k, covered = [], 0, sorted((a, b) for a, _, b in base)
+    for m in _RUN.finditer(text):
+        digits = len(_digits(m.group()))
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if min(digits, len(m.group()) - digits) >= SECRET_MIX and not (k < len(covered) and covered[k][0] < m.end()):
+            found.append((m.start(), SECRET, m.end()))
+    return found
+
+
+def rejected_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what looks like a card but fails Luhn."""
+    return [m.span() for m in _CARD.finditer(text) if 14 <= len(d := _digits(m.group())) <= 19 and not _luhn(d)]
+
+
 def _word(text: str, at: int, step: int) -> tuple[str, int]:
-    """The next word from `at` on in either direction, and where the search stopped; '' at a line's end."""
+    """The next word from `at` on in either direction, and where the search stopped; '' at a
+    line's end. Punctuation that stands by itself, as = and quotes, is passed over."""
     n = len(text)
-    while 0 <= at < n and text[at] in " \t|":
-        at += step
-    start = at
-    while 0 <= at < n and not text[at].isspace() and abs(at - start) < 40:
-        at += step
-    word = text[start:at] if step > 0 else text[at + 1 : start + 1]
-    return word.strip(_EDGE + "=#").lower(), at
+    while 0 <= at < n and text[at] not in "\r\n":
+        if text[at].isspace():
+            at += step
+            continue
+        start = at
+        while 0 <= at < n and not text[at].isspace() and abs(at - start) <= MAX_WORD:
+            at += step
+        word = (text[start:at] if step > 0 else text[at + 1 : start + 1]).strip(_EDGE + "=#").lower()
+        if word:
+            return (word if len(word) <= MAX_WORD else ""), at
+    return "", at
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
@@ -110,11 +144,18 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [p for p in made if p and not any(c.isdigit() or c == "@" for c in p)]
 
 
-def tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, seed) of base spans and of the other identifier-like tokens."""
-    for a, _, b in base:
-        yield a, b, True
-    covered, k, done = sorted((a, b) for a, _, b in base), 0, 0
+def tokens(text: str, seeds: list[tuple[int, int, int]], rejected: list[tuple[int, int]]) -> Iterator[tuple[int, int, float | None]]:
+    """(start, end, worth) of seeds (1), of rejected spans (0), and of the other identifier-like tokens (None)."""
+    for a, _, b in seeds:
+        yield a, b, 1.0
+    taken = sorted((a, b) for a, _, b in seeds)
+    k = 0
+    for a, b in rejected:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if not (k < len(taken) and taken[k][0] < b):
+            yield a, b, 0.0
+    covered, k, done = sorted([*taken, *rejected]), 0, 0
     for m in _MARK.finditer(text):
         a, b = m.start(), m.end()
         while a > done and not text[a - 1].isspace():
@@ -131,98 +172,150 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, i
         while k < len(covered) and covered[k][1] <= a:
             k += 1
         if b - a >= MIN_TOKEN and not (k < len(covered) and covered[k][0] < b):
-            yield a, b, False
+            yield a, b, None
 
 
-_FOUND = "doc_id long, key binary, base array<struct<start:long,kind:int,end:long>>, marks array<struct<start:long,end:long,instance:long,seed:boolean,patterns:array<string>>>"
+def marks_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, float | None, list[str]]]]:
+    """Base spans, secrets, and (start, end, worth, patterns) of each token that has patterns."""
+    base = base_spans(text)
+    secrets = secret_spans(text, base)
+    found = [(a, b, worth, contexts(text, a, b)) for a, b, worth in tokens(text, base + secrets, rejected_spans(text))]
+    return base, secrets, [m for m in found if m[3]]
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    item = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    mark = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+_SPANS = "array<struct<start:long,kind:int,end:long>>"
+_FOUND = f"doc_id long, base {_SPANS}, secrets {_SPANS}, marks array<struct<start:long,end:long,instance:long,worth:double,patterns:array<string>>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+_MARKS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("worth", pa.float64()), ("patterns", pa.list_(pa.string()))]))
+
+
+def _spans(found: list[tuple[int, int, int]]) -> list[dict]:
+    return [{"start": a, "kind": k, "end": b} for a, k, b in found]
 
+
+def _scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"key": [], "base": [], "marks": []}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: dict[str, list] = {"base": [], "secrets": [], "marks": []}
+            for text in batch.column(1).to_pylist():
                 text = text or ""
-                base = base_spans(text)
-                marks = []
-                for a, b, seed in tokens(text, base):
-                    if patterns := contexts(text, a, b):
-                        value = int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                        marks.append({"start": a, "end": b, "instance": value, "seed": seed, "patterns": patterns})
-                out["key"].append(hashlib.blake2b(f"{doc_id}:{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest() if marks else None)
-                out["base"].append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-                out["marks"].append(marks)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "key": pa.array(out["key"], pa.binary()), "base": pa.array(out["base"], pa.list_(item)), "marks": pa.array(out["marks"], pa.list_(mark))})
+                base, secrets, marks = marks_of(text)
+                value = lambda a, b: int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)  # noqa: B023, E731
+                out["base"].append(_spans(base))
+                out["secrets"].append(_spans(secrets))
+                out["marks"].append([{"start": a, "end": b, "instance": value(a, b), "worth": worth, "patterns": p} for a, b, worth, p in marks])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array(out["base"], _SPAN), "secrets": pa.array(out["secrets"], _SPAN), "marks": pa.array(out["marks"], _MARKS)})
 
     return docs.mapInArrow(run, _FOUND)
 
 
 def pattern_scores(marks: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(pattern, confidence) from marks of (pattern, instance, seed). Each pair counts once,
-    so that copies of a text prove nothing more. Both joins are equi-joins whose frequent
-    keys the planner splits; sums are partial before each shuffle."""
-    edges = marks.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    edges = cut(edges)
+    """(pattern, confidence) from marks of (pattern, instance, worth: 1, 0 or null). Each pair
+    counts once, so that copies of a text prove nothing more. Both joins are equi-joins whose
+    frequent keys the planner splits; sums are partial before each shuffle."""
+    edges = cut(marks.groupBy("pattern", "instance").agg(F.max("worth").alias("fixed")))
     wide = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support))
-    edges = cut(edges.join(wide, "pattern").select("pattern", "instance", "seed", "n"))
-    # A value that is a seed somewhere is one everywhere.
-    worth = cut(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("worth")))
+    edges = cut(edges.join(wide, "pattern").select("pattern", "instance", "fixed", "n"))
+    # A value that is a seed somewhere is one everywhere; so is a rejected one, if it's no seed.
+    fixed = cut(edges.groupBy("instance").agg(F.max("fixed").alias("fixed")))
+    worth = fixed.select("instance", F.coalesce("fixed", F.lit(0.0)).alias("worth"))
     for k in range(rounds):
-        scored = edges.join(worth, "instance").groupBy("pattern").agg((F.sum("worth") / (F.max("n") + DOUBT)).alias("confidence"))
-        scored = cut(scored)
+        scored = cut(edges.join(worth, "instance").groupBy("pattern").agg((F.sum("worth") / (F.max("n") + DOUBT)).alias("confidence")))
         if k + 1 < rounds:
-            worth = cut(edges.join(scored, "pattern").groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("confidence"))).alias("worth")))
+            best = edges.join(scored, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
+            worth = cut(fixed.join(best, "instance").select("instance", F.coalesce("fixed", "best").alias("worth")))
     return scored
 
 
+def _trusted(found: DataFrame, rounds: int, min_support: int, confidence: float, block: int) -> Iterator[frozenset]:
+    """The patterns that discover, in blocks of bounded size; the driver holds one at a time."""
+    marks = found.select(F.explode("marks").alias("m")).select("m.instance", "m.worth", F.explode("m.patterns").alias("pattern"))
+    held: list[str] = []
+    for row in cut(pattern_scores(marks, rounds, min_support).where(F.col("confidence") >= confidence)).toLocalIterator():
+        held.append(row["pattern"])
+        if len(held) == block:
+            yield frozenset(held)
+            held = []
+    if held:
+        yield frozenset(held)
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def pii_spans(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def pii_spans(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE, block: int = PATTERN_BLOCK) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans),
-    base_sha256, spans (all, as kind:start:end by start), n_other (discovered), items
-    (array of start, kind, end).
+    base_sha256, spans (all, as kind:start:end by start), n_secret, n_other (discovered),
+    n_spans (all), items (array of start, kind, end).
 
-    Offsets count code points of the whole text, ends are exclusive. Null and empty texts
-    have no spans. Rows of one doc_id and text have equal results; null ids are rows like
-    others. An empty table gives an empty result; further columns are ignored."""
+    Offsets count code points of the whole text, however long, ends are exclusive. Null and
+    empty texts have no spans. Null and repeated ids are rows like others, each judged by its
+    own text. An empty table gives an empty result; further columns are ignored, whatever
+    they are called."""
     found = cut(_scan(pick(docs, "doc_id", "text")))
-    marks = found.where("key is not null").select("key", F.explode("marks").alias("m")).select("key", "m.start", "m.end", "m.instance", "m.seed", F.explode("m.patterns").alias("pattern"))
-    trusted = pattern_scores(marks.select("pattern", "instance", "seed"), rounds, min_support).where(F.col("confidence") >= confidence)
-    new = marks.where("not seed").join(trusted, "pattern", "left_semi").select("key", F.struct("start", F.lit(KINDS.index("other")).alias("kind"), "end").alias("span"))
-    new = new.groupBy("key").agg(F.collect_set("span").alias("new"))
-    none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    with_key = found.where("key is not null").join(new, "key", "left").select("doc_id", "base", F.coalesce("new", none).alias("new"))
-    all_ = with_key.unionByName(found.where("key is null").select("doc_id", "base", none.alias("new")))
+    rows = found.withColumn("new", F.array().cast(_SPANS))
+    for patterns in _trusted(found, rounds, min_support, confidence, block):
+        held = docs.sparkSession.sparkContext.broadcast(patterns)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                new = []
+                for seen, marks in zip(batch.column("new").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                    new.append(seen + [{"start": m["start"], "kind": OTHER, "end": m["end"]} for m in marks if m["worth"] is None and not held.value.isdisjoint(m["patterns"])])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, _SPAN)], names=batch.schema.names)
+
+        rows = rows.mapInArrow(run, rows.schema)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    items = F.sort_array(F.concat("base", "new"))
-    return all_.select("doc_id", *[count(k) for k in range(4)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(items).alias("spans"), F.size("new").cast("long").alias("n_other"), items.alias("items"))
+    new = F.array_distinct("new")
+    items = F.sort_array(F.concat("base", "secrets", new))
+    rows = rows.select("doc_id", "base", "secrets", new.alias("new"), items.alias("items"))
+    return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("items")).alias("spans"), F.size("secrets").cast("long").alias("n_secret"), F.size("new").cast("long").alias("n_other"), F.size("items").cast("long").alias("n_spans"), "items")
 
 
-def _masked(text: pd.Series, items: pd.Series) -> pd.Series:
-    def one(t: str | None, found: list | None) -> str | None:
-        if t is None or found is None:
-            return t
-        parts, at = [], 0
-        for s in found:
-            if s["start"] >= at:
-                parts += [t[at : s["start"]], f"[{KINDS[s['kind']]}]"]
-                at = s["end"]
-        return "".join([*parts, t[at:]])
+def masked(text: str, found: list[tuple[int, int, int]]) -> str:
+    """The text with its spans (start, kind, end) replaced by their kinds in brackets, spans that
+    overlap as one, by the kind of the first."""
+    parts, at = [], 0
+    for a, k, b in sorted(found):
+        if a >= at:
+            parts += [text[at:a], f"[{KINDS[k]}]"]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
 
-    return pd.Series([one(t, s) for t, s in zip(text, items, strict=True)], dtype=object)
 
+def mask(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE, block: int = PATTERN_BLOCK) -> DataFrame:
+    """docs, all columns and rows, with what pii_spans() finds in `text` replaced by its kind.
 
-def mask(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with each span of pii_spans() replaced by its kind in brackets, overlapping ones
-    by the first. Rows without spans stay as they are, null ids and texts too. A doc_id's
-    rows must have one text; docs must have doc_id and text, and keep all their columns."""
+    Each row's text is masked where it stands, in the pass that finds its spans: no row is
+    looked up again, so that null and repeated ids are masked like others. Null texts stay."""
     plain, at = numbered(docs)
-    some = spans.where((F.size("items") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(at("doc_id")), "items").dropDuplicates([at("doc_id")])
-    masked = F.when(F.col("items").isNotNull(), F.pandas_udf(_masked, "string")(at("text"), "items")).otherwise(F.col(at("text")))
-    return plain.join(some, at("doc_id"), "left").withColumn(at("text"), masked).select(*plain.columns).toDF(*docs.columns)
+    found = cut(_scan(plain.select(F.lit(None).cast("long").alias("doc_id"), F.col(at("text")).alias("text"))).where(F.size("marks") > 0))
+    k = docs.columns.index("text")
+    rows = plain.withColumn("_new", F.array().cast(_SPANS))
+    blocks = list(_broadcast(docs, _trusted(found, rounds, min_support, confidence, block))) or [None]
+    for n, held in enumerate(blocks):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=n + 1 == len(blocks)) -> Iterator[pa.RecordBatch]:
+            trusted = held.value if held else frozenset()
+            for batch in batches:
+                texts, new = [], []
+                for text, seen in zip(batch.column(k).to_pylist(), batch.column("_new").to_pylist(), strict=True):
+                    base, secrets, marks = marks_of(text or "")
+                    seen = seen + _spans([(a, OTHER, b) for a, b, worth, patterns in marks if worth is None and not trusted.isdisjoint(patterns)])
+                    new.append(seen)
+                    if last and text is not None:
+                        text = masked(text, [*base, *secrets, *((s["start"], s["kind"], s["end"]) for s in seen)])
+                    texts.append(text)
+                columns = [*batch.columns[:-1], pa.array(new, _SPAN)]
+                columns[k] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.drop("_new").toDF(*docs.columns)
+
+
+def _broadcast(docs: DataFrame, blocks: Iterator[frozenset]) -> Iterator:
+    for block in blocks:
+        yield docs.sparkSession.sparkContext.broadcast(block)

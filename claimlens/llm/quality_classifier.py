@@ -5,8 +5,8 @@ that a dictionary's help isn't drowned by what a long text teaches about itself.
 text's shape, in which runs of letters and digits are one character each: it tells layouts
 apart whatever the words are. Lines that occur in both classes teach neither dictionary. The
 two differences of compressed sizes per byte (good text is shorter with the good dictionary)
-become a probability by a logistic curve, which also knows how short a text is, as a few
-words are weak evidence. The curve is fitted to rows that its dictionaries haven't seen.
+become a probability by a logistic curve, fitted to rows that its dictionaries haven't seen.
+Nothing else enters the score.
 """
 
 from __future__ import annotations
@@ -21,19 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.shared import pick
+from claimlens.llm.shared import filter_texts, pick
 
-#: Labelled rows of each class that the fit uses at most, and the characters it uses of each:
-#: the curve is fitted to rows that `CROSS` further pairs of dictionaries haven't seen. Everything that is scored is scored whole.
+#: Bounds of the sample that the fit uses: labelled rows of each class, and characters of each.
+#: The curve is fitted to rows that `CROSS` further pairs of dictionaries haven't seen. What is scored is scored whole.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 4096
 CROSS = 3
 DICTIONARY_BYTES = 65536
 SPAN = 256
-#: Bytes over which a text's shortness fades.
-SHORT = 200.0
-#: Inverse variances of the prior on the standardised differences, on shortness and on the offset.
-PRIOR = (1e-2, 1e-2, 1 / 9, 1e-3)
+#: Inverse variances of the prior on the standardised differences and on the offset.
+PRIOR = (1e-2, 1e-2, 1e-3)
 LEVEL = 3
 FOLDS = 5
 REJECT_BELOW = 0.3
@@ -68,7 +66,7 @@ class QualityModel:
     text of both classes there are none, and the score is constant."""
 
     pairs: tuple[Pair, Pair] | None
-    weights: tuple[float, ...]  # of the two differences, of shortness, and the offset
+    weights: tuple[float, ...]  # of the two differences, and the offset
 
     def scorer(self):
         compress = _compressors(self.pairs) if self.pairs else None
@@ -106,8 +104,8 @@ def difference(text: str, good, bad) -> float:
 
 
 def features(texts: list[str | None], compress: list[tuple]) -> np.ndarray:
-    """Per text: the difference, that of its shape, and its shortness from 1 (empty) to 0."""
-    return np.array([[difference(t, *compress[0]), difference(shape(t), *compress[1]), math.exp(-len(_raw(t)) / SHORT)] for t in (x or "" for x in texts)]).reshape(len(texts), 3)
+    """Per text: the difference, and that of its shape."""
+    return np.array([[difference(t, *compress[0]), difference(shape(t), *compress[1])] for t in (x or "" for x in texts)]).reshape(len(texts), 2)
 
 
 def _dictionary(texts: list[str], shared: set[str]) -> bytes:
@@ -131,9 +129,8 @@ def _dictionaries(rows: list) -> tuple[Pair, Pair] | None:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Weights and offset by Newton steps on the log loss. Priors keep them finite and, with
-    few rows, keep shortness from deciding alone."""
-    scale = np.r_[x[:, :2].std(axis=0), 1.0]
+    """Weights and offset by Newton steps on the log loss. Priors keep them finite."""
+    scale = x.std(axis=0)
     scale[scale == 0] = 1
     design = np.c_[x / scale, np.ones(len(x))]
     w, prior = np.zeros(design.shape[1]), np.array(PRIOR)
@@ -153,16 +150,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> QualityModel:
     """Learn from the labelled rows that aren't held out: at most `sample_rows` of each class,
-    by a hash of the id, so that the driver gets a few megabytes however large the tables are."""
+    by a hash of the id, and of each a run of `sample_chars` characters that starts anywhere,
+    so that the driver gets a few megabytes however large the tables are. Ids or labels that
+    are null, and labels other than 0 and 1, teach nothing; further columns are ignored."""
     labels = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     rank = F.xxhash64(F.lit("quality"), "doc_id")
     chosen = None
     for q in (0, 1):
         one = labels.where(F.col("quality") == q).orderBy(rank, "doc_id").limit(sample_rows)
         chosen = one if chosen is None else chosen.unionByName(one)
-    span = F.substring(F.col("text"), F.pmod(rank, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    span = F.substring(F.col("text"), F.pmod(rank, F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1, F.lit(sample_chars))
     # 2 * sample_rows ids at most: a bound that doesn't grow.
     found = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", span.alias("text"), rank.alias("rank")).where("text <> ''")
     rows = sorted({(r["rank"], r["doc_id"], r["quality"], r["text"]) for r in found.collect()})
@@ -172,11 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Q
     rates = [max(1.0, total.get(q, 0) / sample_rows) for q in (0, 1)]
     shift = math.log(rates[1] / rates[0])
     share = (y.sum() + 1) / (len(y) + 2)
-    constant = QualityModel(None, (0.0, 0.0, 0.0, math.log(share / (1 - share)) + shift))
+    constant = QualityModel(None, (0.0, 0.0, math.log(share / (1 - share)) + shift))
     pairs = _dictionaries(rows)
     if pairs is None:
         return constant
-    x, unseen = np.empty((len(rows), 3)), np.zeros(len(rows), dtype=bool)
+    x, unseen = np.empty((len(rows), 2)), np.zeros(len(rows), dtype=bool)
     for k in range(CROSS):
         others = _dictionaries([r for n, r in enumerate(rows) if n % CROSS != k])
         if others is not None and rows[k::CROSS]:
@@ -204,6 +203,16 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """docs, all columns, without the rows that score() predicts 0 for, judged where they stand."""
+
+    def judge():
+        scored = model.scorer()
+        return lambda texts: list(scored(texts) >= REJECT_BELOW)
+
+    return filter_texts(docs, judge)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """fit() and score() over the same documents."""
     return score(docs, fit(docs, labels, sample_rows))

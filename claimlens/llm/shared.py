@@ -48,6 +48,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_rows(df: DataFrame) -> DataFrame:
+    """cut() for tables whose columns may have any names, also ones that differ in case only."""
+    return cut(numbered(df)[0]).toDF(*df.columns)
+
+
+def filter_texts(docs: DataFrame, judge: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of docs, with all columns, whose `text` passes. judge() is called once in each
+    task; what it returns gets a list of texts and says which pass. Rows are judged where they
+    stand: none is looked up again, whatever its id is or repeats."""
+    plain, k = numbered(docs)[0], docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = judge()
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(k).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 #: Rows of a few numbers each that a table may have to be broadcast: some 50 MB in a JVM.
 BROADCAST_ROWS = 400_000
 
@@ -84,13 +103,15 @@ def in_block_pairs(df: DataFrame, group: str, item: str, blocks: Column) -> Data
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict | None], schema: str, order: list[str] | None = None) -> DataFrame:
     """Apply fn to the rows of each group of `keys` (long or int columns without nulls).
 
-    fn gets a dict of key values and a pyarrow table, and returns a dict of equally long
-    arrays or None. Groups must be of bounded size (see in_block_pairs); thousands of small
+    fn gets a pyarrow table, and returns a dict of equally long arrays, one for each column of
+    the schema (long, double or binary), or None. Groups must be of bounded size (see in_block_pairs); thousands of small
     ones share an Arrow batch, which applyInPandas would hand over one by one."""
 
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    out = [(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(","))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        out_schema = None
 
         def emit(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             made: list[dict] = []
@@ -99,7 +120,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict | None]
                 if got is not None:
                     made.append(got)
             if made:
-                yield pa.RecordBatch.from_pydict({k: np.concatenate([m[k] for m in made]) for k in made[0]})
+                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate([m[k] for m in made]), kind) for k, kind in out})
 
         for batch in batches:
             if batch.num_rows == 0:

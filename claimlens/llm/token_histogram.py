@@ -69,8 +69,10 @@ def token_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     documents of at most that length).
 
     Null and empty texts have length 0; null and repeated ids count as rows. An empty table
-    gives an empty result; further columns are ignored. Suffix sums run over ranges of
-    lengths: within a range in one task, over the ranges' totals (few) in another."""
+    gives an empty result; further columns are ignored, whatever they are called. Suffix sums
+    run over ranges of RANGE lengths: within a range in one task, over the ranges' totals in
+    another, which has a row for every 64 lengths up to the longest document at most (15,625 if
+    that has a million tokens)."""
     bins = cut(token_counts(docs, vocabulary).groupBy("tokens").agg(F.count("*").alias("n_docs")))
     bins = bins.withColumn("part", F.floor(F.col("tokens") / RANGE))
     weight = (F.col("tokens") * F.col("n_docs")).alias("w")

@@ -28,10 +28,13 @@ RULES = (
 )
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; else empty."""
     raw = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(F.translate(raw, _UPPER, _LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -55,12 +58,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     equals, then the smaller rule. Without a rule, rule is null and the verdict `default`.
     A null url, or one without ://, has empty host and path. Rules with a null part are
     ignored; repeated rules count once. Page ids may be null or repeat; further columns are
-    ignored, and an empty table of either kind is no error.
+    ignored, whatever they are called, and an empty table of either kind is no error. URLs and
+    rules of any length are read whole; of hosts, also of rules, A-Z alone are lower-cased.
 
     The planner broadcasts the rules only where their measured size is below its threshold;
     else both sides are shuffled by hash prefix, and frequent expressions split as skewed."""
     pages = pick(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rules = pick(rules, "verdict", "host", "path").dropna().withColumn("host", F.lower("host")).distinct()
+    rules = pick(rules, "verdict", "host", "path").dropna().withColumn("host", F.translate("host", _UPPER, _LOWER)).distinct()
     full = _digest(F.col("host"), F.col("path"))
     rules = rules.select(F.substring(full, 1, PREFIX).alias("short"), full.alias("full"), "verdict", F.concat("host", "path").alias("rule"), (F.length("host") + F.length("path")).alias("long"), F.length("path").alias("path_long"), F.col("path").endswith("/").alias("slash"), F.size(F.split("host", r"\.")).alias("labels"))
     # What rules can name: path lengths (by whether all such paths end at a slash) and the most labels of a host.

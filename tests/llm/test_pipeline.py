@@ -3,6 +3,7 @@
 import corpus_pipeline as pipeline
 from claimlens.llm import decontaminate as decon
 from claimlens.llm import pii_bootstrap as pii
+from claimlens.llm.mix_sources import mix_sources
 from claimlens.llm.quality_classifier import fit, score
 
 DATA = "/root/testdata/sf0.001"
@@ -37,7 +38,7 @@ def test_stages(spark):
     for r in kept["pii"]:
         assert not pii.base_spans(r.text)
         if not pii.base_spans(rows[r.doc_id].text):
-            assert r.text == rows[r.doc_id].text or "[other]" in r.text
+            assert r.text == rows[r.doc_id].text or "[other]" in r.text or "[secret]" in r.text
     assert len(kept["pii"]) == len(rows)
     assert all((r.text, r.source) == (rows[r.doc_id].text, rows[r.doc_id].source) for r in kept["mix"])
     assert max(r.copy for r in kept["mix"]) <= 3
@@ -61,10 +62,48 @@ def test_stages_judge_rows_not_ids(spark):
     assert masked == sorted([("None", "mail [email]"), (str(far), "to [email] now"), (str(far), clean)])
 
 
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(3)
+    got = pipeline.dedup(spark, docs.unionByName(docs).unionByName(docs), DATA)
+    assert sorted(got.collect()) == sorted(pipeline.dedup(spark, docs, DATA).collect())
+
+
+def test_run_keeps_clashing_columns(spark, tmp_path):
+    """End to end over tables whose columns differ in case only, or are called as what stages add."""
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        d = spark.read.parquet(f"{DATA}/documents.parquet")
+        for name in ("Text", "copy", "copy_", "_row", "size", "doc_ID", "_0"):
+            d = d.selectExpr("*", f"concat('x', doc_id) as `{name}`")
+        d.write.parquet(f"{tmp_path}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            t = spark.read.parquet(f"{DATA}/{name}.parquet")
+            t.selectExpr("*", "'x' as Text", "'x' as DOC_ID").write.parquet(f"{tmp_path}/{name}.parquet")
+        read = {name: spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "labels", "benchmark")}
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+    docs = read["documents"]
+    for name, stage in pipeline.STAGES:
+        if name in ("dedup", "pii", "mix"):
+            docs = pipeline.cut_rows(stage(spark, docs, DATA))
+    assert docs.columns == [*read["documents"].columns, "copy__"]
+    rows = docs.collect()
+    assert rows and all(r[docs.columns.index("Text")] == f"x{r.doc_id}" for r in rows)
+    assert pipeline.cut_rows(pipeline.decontaminated(docs, read["benchmark"])).columns == docs.columns
+    assert pipeline.accepted(docs, pipeline.fit(docs, read["labels"])).columns == docs.columns
+
+
+def test_decontaminate_in_several_passes(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "benchmark"))
+    one, many = (sorted(r.doc_id for r in pipeline.decontaminated(docs, bench, block_chars=n).collect()) for n in (10**7, 1500))
+    hit = {r.doc_id for r in decon.benchmark_hits(docs, bench).collect()}
+    assert one == many == sorted(r.doc_id for r in docs.collect() if r.doc_id not in hit)
+
+
 def test_mix_takes_each_row_by_itself(spark):
     rows = [(None if k % 2 else 5, f"w{k // 3} " * 9, "en", "ab"[k % 5 == 0], 1) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
-    want = pipeline.mix_sources(docs).groupBy("source_size").sum("copies").collect()
+    want = mix_sources(docs).groupBy("source_size").sum("copies").collect()
     got = pipeline.mix(spark, docs, DATA)
     assert sorted(r[1] for r in want) == sorted(r[1] for r in got.groupBy("source").count().collect())
 
