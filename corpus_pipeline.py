@@ -1,86 +1,62 @@
 """A training-corpus pipeline: each stage applies one operator to what its predecessor kept.
 
 Stages take (spark, docs, sf_dir) and return all columns of docs, whatever they are called;
-the last adds which copy of a document a row is. What an operator finds is applied by a key of
-doc_id and text, so that rows of a null doc_id are judged like others, and rows that repeat a
-doc_id with another text are judged by their own. Empty tables pass through.
+the last adds which copy of a document a row is. Rows are judged, filtered and masked where
+they stand, never looked up again by an id: null and repeated doc_ids, and repeated rows, are
+rows like others. Only near duplicates need a row's number, given before they are searched.
+Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm.decontaminate import benchmark_hits
-from claimlens.llm.mix_sources import mix_sources
+from claimlens.llm.decontaminate import decontaminated
+from claimlens.llm.mix_sources import mixed
 from claimlens.llm.ngram_join import ngram_join
-from claimlens.llm.pii_bootstrap import mask, pii_spans
-from claimlens.llm.quality_classifier import fit, score
-from claimlens.llm.shared import cut, numbered
-
-
-def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[str], str]]:
-    """docs by position with `_key`, (doc_id, text) of them with the key as doc_id, and the
-    function from names to positions. Rows of one key have the same doc_id and text, but for a
-    collision of 64 bits: 1 in 200,000 for any among 13 million rows."""
-    plain, at = numbered(docs)
-    i, text = F.col(at("doc_id")), F.col(at("text"))
-    plain = plain.withColumn("_key", F.xxhash64(i, text, i.isNull(), text.isNull()))
-    return plain, plain.select(F.col("_key").alias("doc_id"), text.alias("text")), at
-
-
-def _without(docs: DataFrame, plain: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose key is among the doc_ids of `dropped`."""
-    return plain.join(dropped.select(F.col("doc_id").alias("_key")), "_key", "left_anti").drop("_key").toDF(*docs.columns)
+from claimlens.llm.pii_bootstrap import mask
+from claimlens.llm.quality_classifier import accepted, fit
+from claimlens.llm.shared import cut, cut_rows, fits_broadcast, numbered
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    plain, judged, _ = _keyed(docs)
-    return _without(docs, plain, score(judged, model).where("predicted = 0").select("doc_id").distinct())
+    return accepted(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest doc_id. As in
-    the operator, rows of a null doc_id take part in nothing and stay; rows that repeat a
-    doc_id and its text are one document."""
-    plain, judged, at = _keyed(docs)
-    known = F.col(at("doc_id")).isNotNull()
-    ids = plain.where(known).select(F.col("_key").alias("doc_id"), F.col(at("doc_id")).alias("id")).distinct()
-    groups = ngram_join(plain.where(known).select(F.col("_key").alias("doc_id"), F.col(at("text")).alias("text"))).where("n_links > 0")
-    groups = cut(groups.select("doc_id", "class_id").join(ids, "doc_id"))
-    first = cut(groups.groupBy("class_id").agg(F.min(F.struct("id", "doc_id")).alias("first")))
-    return _without(docs, plain, groups.join(first, "class_id").where("doc_id <> first.doc_id"))
+    """One row of each near-duplicate group stays: of the smallest doc_id, and the first of its
+    rows. Repeated rows are near duplicates like others. As in the operator, rows of a null
+    doc_id take part in nothing and stay."""
+    plain, at = numbered(docs)
+    rows = cut(plain.withColumn("_row", F.monotonically_increasing_id()))
+    known = rows.where(F.col(at("doc_id")).isNotNull())
+    groups = ngram_join(known.select(F.col("_row").alias("doc_id"), F.col(at("text")).alias("text"))).where("n_links > 0")
+    groups = groups.select(F.col("doc_id").alias("_row"), "class_id").join(known.select("_row", F.col(at("doc_id")).alias("id")), "_row")
+    groups = cut(groups)
+    first = cut(groups.groupBy("class_id").agg(F.min(F.struct("id", "_row")).alias("first")))
+    gone = fits_broadcast(cut(groups.join(first, "class_id").where("_row <> first._row").select("_row")))
+    return rows.join(gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its error budget go."""
-    plain, judged, _ = _keyed(docs)
-    return _without(docs, plain, benchmark_hits(judged, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; no document goes."""
-    plain, judged, at = _keyed(docs)
-    named = plain.withColumnsRenamed({"_key": "doc_id", at("text"): "text"})
-    masked = mask(named, pii_spans(judged)).withColumnsRenamed({"text": at("text")})
-    return masked.drop("doc_id").toDF(*docs.columns)
+    return mask(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document that it takes n times has n rows, numbered in the column `copy`.
-    Of rows that are equal in doc_id, text and source, each has copies of its own."""
-    plain, _, at = _keyed(docs)
-    plain = plain.withColumn("_key", F.xxhash64("_key", at("source"), F.col(at("source")).isNull()))
-    taken = mix_sources(plain.select("_key", *[F.col(at(n)).alias(n) for n in ("doc_id", "text", "source")]), key="_key")
-    taken = taken.select("_key", "copies", F.row_number().over(Window.partitionBy("_key").orderBy("copies")).alias("_nth"))
-    rows = plain.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    rows = rows.join(taken.where("copies > 0"), ["_key", "_nth"])
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return copies.select(*[c for c in plain.columns if c != "_key"], "_copy").toDF(*docs.columns, "copy")
+    """The mix: a document that it takes n times has n rows, numbered in a last column `copy`
+    (with underscores added while docs have a column of that name)."""
+    name = "copy"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return mixed(docs, name)
 
 
 STAGES = [("quality", quality), ("dedup", dedup), ("decontaminate", decontaminate), ("pii", pii), ("mix", mix)]
@@ -94,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs)
+            docs = cut_rows(docs)
     return docs
