@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,26 +49,29 @@ def expand_curie(uri: Column, prefixes: Column) -> Column:
     return F.when(known, F.concat(base, F.substring(uri, F.instr(uri, F.lit(":")) + 1, F.length(uri)))).otherwise(uri)
 
 
-def slot_role(implements: Column, slot_uri: Column, name: Column, prefixes: Mapping[str, str] | None = None) -> Column:
-    """excerpt, reference, title or null: by any URI that the slot implements, then its own
-    URI, each as it is and expanded, then by name."""
+def _as_is_or_expanded(test: Callable[[Column], Column], table: Column) -> Callable[[Column], Column]:
+    return lambda uri: test(uri) | test(expand_curie(uri, table))
+
+
+def slot_roles(implements: Column, slot_uri: Column, name: Column, prefixes: Mapping[str, str] | None = None) -> Column:
+    """Array of (role, fallback) that a slot has: excerpt, reference and title are independent
+    of each other, each by any URI that the slot implements or its own URI, as they are and
+    expanded (fallback null), else by its name (fallback: its place among the names)."""
     table = F.create_map(*[F.lit(x) for kv in (prefixes or PREFIXES).items() for x in kv])
-    role = None
-    for test in (lambda t: F.exists(F.coalesce(implements, F.array().cast("array<string>")), lambda u: t(u) | t(expand_curie(u, table))), lambda t: t(slot_uri) | t(expand_curie(slot_uri, table))):
-        for kind, uri_test in (("excerpt", is_excerpt_uri), ("reference", is_reference_uri), ("title", is_title_uri)):
-            hit = F.coalesce(test(uri_test), F.lit(False))
-            role = F.when(hit, kind) if role is None else role.when(hit, kind)
-    for kind, names in FALLBACK_NAMES.items():
-        role = role.when(name.isin(*names), kind)
-    return role.otherwise(F.lit(None).cast("string"))
+    uris = F.concat(F.coalesce(implements, F.array().cast("array<string>")), F.array_compact(F.array(slot_uri)))
+    roles = []
+    for kind, test in (("excerpt", is_excerpt_uri), ("reference", is_reference_uri), ("title", is_title_uri)):
+        by_uri = F.exists(uris, _as_is_or_expanded(test, table))
+        place = F.nullif(F.array_position(F.array(*[F.lit(n) for n in FALLBACK_NAMES[kind]]), name), F.lit(0))
+        one = lambda fallback, kind=kind: F.struct(F.lit(kind).alias("role"), fallback.cast("int").alias("fallback"))
+        roles.append(F.when(by_uri, one(F.lit(None))).when(place.isNotNull(), one(place)))
+    return F.array_compact(F.array(*roles))
 
 
 def class_slots(slots: DataFrame, prefixes: Mapping[str, str] | None = None) -> DataFrame:
     """(class, role, names) for slots (class, name, ord, implements, slot_uri): slots of a
-    role by URI come first, fallback names after them, each in schema order."""
-    role = slot_role(F.col("implements"), F.col("slot_uri"), F.col("name"), prefixes)
-    by_name = F.lit(False)
-    for names in FALLBACK_NAMES.values():
-        by_name = by_name | F.col("name").isin(*names)
-    s = slots.withColumn("role", role).where("role is not null")
-    return s.groupBy("class", "role").agg(F.transform(F.sort_array(F.collect_list(F.struct(by_name.alias("late"), "ord", "name"))), lambda x: x["name"]).alias("names"))
+    role by URI come first, in schema order, fallback names after them, in their own. A slot
+    of several roles is in the list of each."""
+    s = slots.withColumn("r", F.explode(slot_roles(F.col("implements"), F.col("slot_uri"), F.col("name"), prefixes)))
+    late = F.coalesce("r.fallback", F.lit(0))
+    return s.groupBy("class", "r.role").agg(F.transform(F.sort_array(F.collect_list(F.struct(late.alias("late"), "ord", "name"))), lambda x: x["name"]).alias("names"))

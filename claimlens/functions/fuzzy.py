@@ -7,6 +7,8 @@ character of the other string.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,51 +35,49 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _common(_masks(a), len(a), b) / (len(a) + len(b))
 
 
-def _best_window(short: str, long: str) -> float:
-    """Best ratio of `short` to a window of its length, windows at the edges being cut off.
+def _best_window(short: str, long: str, floor: float = 0.0) -> float:
+    """Best ratio of `short` to a window of its length, windows at the edges being cut off;
+    something below `floor` if that isn't reached.
 
     Sliding a window by one gains one common character at most, and a cut-off window has
     none that the wider one lacks: windows that can't beat the best are passed over."""
     n, m, masks = len(short), len(long), _masks(short)
-    common, at, end = 0, 0, m - n
+    # One less than the common characters of a window that reaches the floor.
+    common, at, end = max(0, math.ceil(n * floor / 100 - 1e-9) - 1), 0, m - n
+    met = 0
     while at <= end:
         found = _common(masks, n, long[at : at + n])
         if found > common:
-            common = found
+            common = met = found
         at += max(1, common - found + 1)
-    best = common / n  # of 2 * common / (n + n)
+    best = met / n  # of 2 * common / (n + n)
+    least = floor / 100
     for edge in (lambda w: long[:w], lambda w: long[m - w :]):
         width = min(n, m + 1) - 1
         while width > 0 and best < 1:
             found = _common(masks, n, edge(width))
             best = max(best, 2 * found / (n + width))
             # Narrower windows have `found` at most: the widest of them that could be better.
-            width = min(width - 1, int(2 * found / best - n) if best else 0)
+            better = max(best, least - 1e-9)
+            width = min(width - 1, int(2 * found / better - n) if better > 0 else 0)
     return 100.0 * best
 
 
-def partial_ratio(a: str, b: str) -> float:
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """The best ratio of the shorter string to a part of the other; something below `floor` if
+    that isn't reached, which is found sooner."""
     if not a or not b:
         return 100.0 if a == b else 0.0
     if len(a) == len(b):
-        return max(_best_window(a, b), _best_window(b, a))
+        return max(_best_window(a, b, floor), _best_window(b, a, floor))
     short, long = sorted((a, b), key=len)
-    return 100.0 if short in long else _best_window(short, long)
+    return 100.0 if short in long else _best_window(short, long, floor)
 
 
 def token_sort_ratio(a: str, b: str) -> float:
     return ratio(*(" ".join(sorted(x.split())) for x in (a, b)))
 
 
-def partial_ratio_col(a: Column, b: Column) -> Column:
-    """Both sides as normalize_whitespace() leaves them."""
-
-    def over(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return F.pandas_udf(over, "double")(a, b)
-
-
 def token_sort_ratio_col(a: Column, b: Column) -> Column:
     def over(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([token_sort_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

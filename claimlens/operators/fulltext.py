@@ -5,11 +5,14 @@ candidates: reference_id, provider, text, url, format, license, oa_status, error
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.functions import jsonpath
+
 #: Content types that leave room for a full text (fixed values).
 LACKING = ("abstract_only", "unavailable", "summary", "no_pmc", "pmc_restricted")
 PROVIDERS = ("pmc", "epmc_preprint", "unpaywall", "openalex")
@@ -62,19 +65,80 @@ def enrich(refs: DataFrame, candidates: DataFrame, providers: Sequence[str] = PR
     return j.select(*[new.get(c, F.col(c)).alias(c) for c in refs.columns])
 
 
+_EPMC = "array<struct<source:string,license:string,fullTextUrlList:struct<fullTextUrl:array<struct<url:string,documentStyle:string>>>>>"
+
+
 def provider_candidates(payloads: DataFrame) -> DataFrame:
-    """candidates from landed provider answers (reference_id, provider, body: JSON), for
-    providers that name a location: its URL and terms; the text comes with acquisition."""
-    j = lambda p: F.get_json_object("body", p)
+    """candidates from landed provider answers (reference_id, provider, body: JSON, and perhaps
+    is_preprint), for providers that name a location: its URL, terms and version; the text comes
+    with acquisition. Europe PMC's is the PDF of the first preprint found, and isn't asked for
+    references known not to be preprints."""
+    j = lambda p: F.nullif(F.get_json_object("body", p), F.lit(""))
+    by = lambda name: F.col("provider") == name
+    preprint = F.coalesce(F.col("is_preprint"), F.lit(True)) if "is_preprint" in payloads.columns else F.lit(True)
+    result = F.get(F.filter(F.from_json(F.get_json_object("body", "$.resultList.result"), _EPMC), lambda r: r["source"] == "PPR"), 0)
+    pdfs = F.filter(result["fullTextUrlList"]["fullTextUrl"], lambda u: (u["url"] != "") & ((u["documentStyle"] == "pdf") | F.contains(u["url"], F.lit("fulltextRepo"))))
+    best = lambda field: j(f"$.best_oa_location.{field}")
     url = (
-        F.when(F.col("provider") == "unpaywall", F.coalesce(j("$.best_oa_location.url_for_pdf"), j("$.best_oa_location.url")))
-        .when(F.col("provider") == "openalex", F.when(j("$.open_access.is_oa") == "true", F.coalesce(j("$.best_oa_location.pdf_url"), j("$.open_access.oa_url"))))
-        .when(F.col("provider") == "epmc_preprint", j("$.resultList.result[0].fullTextUrlList.fullTextUrl[0].url"))
+        F.when(by("unpaywall"), F.when(F.coalesce(j("$.is_oa"), F.lit("true")) == "true", F.coalesce(best("url_for_pdf"), best("url"))))
+        .when(by("openalex"), F.when(j("$.open_access.is_oa") == "true", F.coalesce(best("pdf_url"), j("$.open_access.oa_url"))))
+        .when(by("epmc_preprint"), F.when(preprint, F.get(pdfs, 0)["url"]))
     )
-    license_ = F.coalesce(j("$.best_oa_location.license"), j("$.primary_location.license"))
-    status = F.coalesce(j("$.oa_status"), j("$.open_access.oa_status"))
-    hint = F.when(F.lower(url).rlike(r"\.pdf($|\?)"), "pdf").when(F.lower(url).rlike(r"\.xml($|\?)"), "xml").otherwise("html")
-    return payloads.select("reference_id", "provider", F.lit(None).cast("string").alias("text"), url.alias("url"), hint.alias("format"), license_.alias("license"), status.alias("oa_status"), F.lit(False).alias("error")).where("url is not null")
+    path = F.lower(F.col("url"))
+    by_suffix = F.when(path.rlike(r"\.pdf($|\?)"), "pdf").when(path.rlike(r"\.xml($|\?)"), "xml").otherwise("html")
+    hint = F.when(by("epmc_preprint"), "pdf").when(by("openalex"), F.when(best("pdf_url").isNotNull(), "pdf").otherwise("html")).when(best("url_for_pdf").isNotNull(), "pdf").otherwise(by_suffix)
+    license_ = F.when(by("epmc_preprint"), result["license"]).otherwise(best("license"))
+    status = F.when(by("epmc_preprint"), "green").when(by("openalex"), j("$.open_access.oa_status")).otherwise(j("$.oa_status"))
+    version = F.when(by("epmc_preprint"), "preprint").otherwise(best("version"))
+    found = payloads.withColumn("url", url).where("url is not null")
+    return found.select("reference_id", "provider", F.lit(None).cast("string").alias("text"), "url", hint.alias("format"), license_.alias("license"), status.alias("oa_status"), F.lit(False).alias("error"), version.alias("version"))
+
+
+def pmc_ids(identifiers: DataFrame, links: DataFrame) -> DataFrame:
+    """(reference_id, pmcid) for identifiers (reference_id, pmid, pmcid): their own PMC id, else
+    the first that a landed link answer (pmid, body: JSON) names; references without one are left out."""
+    linked = links.select("pmid", F.get_json_object("body", "$.linksets[0].linksetdbs[0].links[0]").alias("_linked"))
+    j = identifiers.join(linked, "pmid", "left")
+    return j.select("reference_id", F.coalesce(F.nullif("pmcid", F.lit("")), "_linked").alias("pmcid")).where("pmcid is not null")
+
+
+def pmc_candidates(payloads: DataFrame) -> DataFrame:
+    """candidates from landed PMC answers (reference_id, kind: xml or html, body): the article
+    XML's text if it has more than 1000 characters, else that of the HTML page if it has."""
+    from claimlens.sources.formats import pmc_html_text, text_col, xml_text
+
+    texts = payloads.where("kind = 'xml'").withColumn("text", text_col(F.col("body"), xml_text)).unionByName(payloads.where("kind = 'html'").withColumn("text", text_col(F.col("body"), pmc_html_text)))
+    best = texts.where(F.length("text") > MIN_PMC_TEXT).groupBy("reference_id").agg(F.max_by(F.struct("kind", "text"), "kind").alias("b"))
+    null = F.lit(None).cast("string")
+    return best.select("reference_id", F.lit("pmc").alias("provider"), "b.text", null.alias("url"), F.col("b.kind").alias("format"), null.alias("license"), F.lit("green").alias("oa_status"), F.lit(False).alias("error"))
+
+
+def declared_requests(identifiers: DataFrame, providers: Mapping[str, Mapping]) -> DataFrame:
+    """(reference_id, provider, url): what to ask of declared providers for identifiers
+    (reference_id, doi, pmid, pmcid). A URL whose template names an identifier that is missing isn't asked."""
+    urls = []
+    for name, conf in providers.items():
+        parts = re.split(r"\{(doi|pmid|pmcid)\}", conf["url_template"])
+        pieces = [F.nullif(F.col(p), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)]
+        urls.append(F.struct(F.lit(name).alias("provider"), F.concat(*pieces).alias("url")))
+    return identifiers.select("reference_id", F.explode(F.array(*urls)).alias("u")).select("reference_id", "u.*").where("url is not null")
+
+
+def declared_candidates(payloads: DataFrame, providers: Mapping[str, Mapping]) -> DataFrame:
+    """candidates from landed answers (reference_id, provider, body: JSON) of declared
+    providers: the text at text_field, else the URL at location_field."""
+    null = F.lit(None).cast("string")
+    some = lambda c: F.nullif(c, F.lit(""))
+    out = None
+    for name, conf in providers.items():
+        at = lambda field: some(jsonpath.first_match(F.col("body"), conf[field])) if conf.get(field) else null  # noqa: B023, E731
+        hint = F.lit(conf.get("format_hint")).cast("string")
+        part = payloads.where(F.col("provider") == name).select("reference_id", "provider", at("text_field").alias("text"), at("location_field").alias("url"))
+        part = part.where("text is not null or url is not null")
+        given = F.col("text").isNotNull()
+        part = part.select("reference_id", "provider", "text", F.when(~given, F.col("url")).alias("url"), F.when(given, F.coalesce(hint, F.lit("text"))).otherwise(hint).alias("format"), null.alias("license"), null.alias("oa_status"), F.lit(False).alias("error"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else payloads.limit(0).select("reference_id", "provider", *[null.alias(c) for c in ("text", "url", "format", "license", "oa_status")], F.lit(False).alias("error"))
 
 
 def acquire(candidates: DataFrame, files: DataFrame, max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
@@ -85,6 +149,6 @@ def acquire(candidates: DataFrame, files: DataFrame, max_bytes: int = 50 * 1024
     held = files.where(F.length("content") <= max_bytes).select(F.col("url").alias("_url"), F.col("content").alias("_bytes"), F.col("content_type").alias("_type"))
     j = candidates.join(held, F.col("url") == F.col("_url"), "left")
     kind = resolve_format(F.col("_bytes"), F.col("_type"), F.col("url"), F.col("format"))
-    text = F.when(F.col("text").isNotNull(), F.col("text")).otherwise(extracted_text(F.col("_bytes"), kind))
+    text = F.when(F.col("text").isNotNull(), F.col("text")).otherwise(extracted_text(F.col("_bytes"), kind, F.col("_type")))
     out = j.withColumn("_text", text)
     return out.select("reference_id", "provider", F.col("_text").alias("text"), "url", kind.alias("format"), "license", "oa_status", F.col("_text").isNull().alias("error"))

@@ -1,52 +1,109 @@
 """The sentence of a document that is closest to a query, as a join and an aggregation.
 
-Documents are cut into sentences once each and meet their queries by key. Sentences that
-share no significant word with a query can't score and are dropped before the costly ratio,
-which runs over the rest in an Arrow UDF. The best is one aggregate per query, so a document
-that many queries name is split like any skewed join, and no task holds a whole group.
+Only documents that queries name are read. They are cut into sentences once each and meet
+their queries by key. Sentences that share no significant word with a query can't score and
+are dropped before the costly ratio. That runs over the rest in Arrow batches, where the
+sentences of a query stand together: as a score is at most twice the overlap, and a ratio that
+can't reach the best so far is given up early, few are computed to the end. The best is one
+aggregate per query of what the batches found, so a document that many queries name is split
+like any skewed join, and no task holds a whole group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from claimlens.functions import text
-from claimlens.functions.fuzzy import partial_ratio_col
+from claimlens.functions.fuzzy import partial_ratio
+from claimlens.plans.stage import staged
 
-MAX_CHARS = 500_000
 MIN_WORDS = 5
 MIN_OVERLAP = 50.0
 EXCELLENT = 95.0
 
 
-def fuzzy_search(queries: DataFrame, contents: DataFrame, threshold: float = 85.0, max_chars: int = MAX_CHARS, min_overlap: float = MIN_OVERLAP, key: str = "claim_id") -> DataFrame:
+def _best_of(asked: str, found: list[tuple[int, float, str, int]], best: tuple[float, int], min_overlap: float) -> tuple[list[tuple[int, float]], tuple[float, int]]:
+    """(row, ratio) of the sentences (pos, overlap, text, row) that may be the best of a query,
+    and the (effective score, -pos) of its best so far: the first that is excellent, else the
+    one that beats what is known."""
+    top = None
+    for pos, overlap, sentence, row in sorted(f for f in found if f[1] >= min_overlap):
+        ratio = partial_ratio(asked, sentence, min(EXCELLENT, best[0]))
+        if ratio >= EXCELLENT:
+            return [(row, ratio)], best
+        if (ratio, -pos) > best:
+            best, top = (ratio, -pos), (row, ratio)
+    for pos, overlap, sentence, row in sorted((f for f in found if f[1] < min_overlap), key=lambda f: (-f[1], f[0])):
+        share = overlap / min_overlap
+        if 100.0 * share < best[0]:
+            break
+        ratio = partial_ratio(asked, sentence, min(100.0, best[0] / share) - 1e-6)
+        if (ratio * overlap / min_overlap, -pos) > best:
+            best, top = (ratio * overlap / min_overlap, -pos), (row, ratio)
+    return [top] if top else [], best
+
+
+def _scored(met: DataFrame, key: str, min_overlap: float) -> DataFrame:
+    """Rows of (key, q_norm, pos, sentence, s_norm, overlap) that may decide, with their ratio."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, best = None, (0.0, 0)
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.names.index(name)).to_pylist()  # noqa: B023, E731
+            keys, asked, rest = column(key), column("q_norm"), list(zip(column("pos"), column("overlap"), column("s_norm"), range(batch.num_rows), strict=True))
+            rows: list[tuple[int, float]] = []
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != last:
+                    last, best = keys[at], (0.0, 0)
+                more, best = _best_of(asked[at], rest[at:end], best, min_overlap)
+                rows += more
+                at = end
+            if rows:
+                kept = batch.take(pa.array([r[0] for r in rows]))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([r[1] for r in rows])], names=[*batch.schema.names, "ratio"])
+
+    found = met.select(key, "q_norm", "pos", "sentence", "s_norm", "overlap")
+    return found.mapInArrow(run, StructType([*found.schema.fields, StructField("ratio", DoubleType())]))
+
+
+def fuzzy_search(queries: DataFrame, contents: DataFrame, threshold: float = 85.0, max_chars: int | None = None, min_overlap: float = MIN_OVERLAP, key: str = "claim_id") -> DataFrame:
     """One row per query of (key, query, ref_key): key, query, found, score (0-100), best_match.
 
     contents: ref_key, content, one row per key. A query that the content contains, but for
     white space and case, scores 100 and is its own best match. Otherwise queries under five
-    words, and contents over max_chars, find nothing. The first sentence of 95 or more with
-    enough common words ends the search; else the best counts, the earlier among equals, a
-    score being lowered in proportion where fewer than min_overlap percent of the query's
-    significant words occur."""
+    words find nothing, nor does any in contents over max_chars (None: of any length). The
+    first sentence of 95 or more with enough common words ends the search; else the best
+    counts, the earlier among equals, a score being lowered in proportion where fewer than
+    min_overlap percent of the query's significant words occur."""
+    contents = contents.select("ref_key", "content").join(queries.select("ref_key").distinct(), "ref_key", "left_semi")
     q = queries.select(key, "query", "ref_key", text.normalize_whitespace(F.col("query")).alias("q_norm"))
     flat = contents.select("ref_key", F.length("content").alias("chars"), text.normalize_whitespace(F.col("content")).alias("t_norm"))
     held = q.join(flat, "ref_key")
-    fits = F.col("chars") <= max_chars
+    fits = F.lit(True) if max_chars is None else F.col("chars") <= max_chars
     state = F.when(~fits, "none").when(F.contains("t_norm", "q_norm"), "exact").when(F.size(F.split("q_norm", " ")) < MIN_WORDS, "none").otherwise("search")
-    staged = held.select(key, "query", "ref_key", "q_norm", state.alias("state"))
-    sentences = contents.where(F.length("content") <= max_chars).select("ref_key", F.posexplode(text.split_sentences(F.col("content"))).alias("pos", "sentence"))
+    judged = staged(held.select(key, "query", "ref_key", "q_norm", state.alias("state")))
+    asked = judged.where("state = 'search'").select(key, "ref_key", "q_norm", text.significant_words(F.col("query")).alias("q_words"))
+    # Only documents with a query that is searched for are cut into sentences.
+    open_ = contents.join(asked.select("ref_key").distinct(), "ref_key", "left_semi")
+    sentences = open_.select("ref_key", F.posexplode(text.split_sentences(F.col("content"))).alias("pos", "sentence"))
     sentences = sentences.select("ref_key", "pos", "sentence", text.normalize_whitespace(F.col("sentence")).alias("s_norm"), text.significant_words(F.col("sentence")).alias("s_words"))
-    asked = staged.where("state = 'search'").select(key, "ref_key", "q_norm", text.significant_words(F.col("query")).alias("q_words"))
     met = asked.join(sentences, "ref_key").withColumn("overlap", text.overlap_of_words(F.col("q_words"), F.col("s_words"))).where("overlap > 0")
-    scored = met.select(key, "pos", "sentence", "overlap", partial_ratio_col(F.col("q_norm"), F.col("s_norm")).alias("ratio"))
     enough = F.col("overlap") >= min_overlap
-    scored = scored.withColumn("effective", F.when(enough, F.col("ratio")).otherwise(F.col("ratio") * F.col("overlap") / min_overlap))
+    scored = _scored(met, key, min_overlap).withColumn("effective", F.when(enough, F.col("ratio")).otherwise(F.col("ratio") * F.col("overlap") / min_overlap))
     best = scored.where("effective > 0").groupBy(key).agg(
         F.min(F.when((F.col("ratio") >= EXCELLENT) & enough, F.struct("pos", "ratio", "sentence"))).alias("first"),
         F.max(F.struct("effective", (-F.col("pos")).alias("back"), "overlap", "sentence")).alias("top"),
     )
-    out = staged.join(best, key, "left")
+    out = judged.join(best, key, "left")
     exact, first = F.col("state") == "exact", F.col("first").isNotNull()
     score = F.when(exact, 100.0).when(first, F.col("first.ratio")).otherwise(F.coalesce(F.col("top.effective"), F.lit(0.0)))
     found = exact | first | F.coalesce((F.col("top.effective") >= threshold) & (F.col("top.overlap") >= min_overlap), F.lit(False))

@@ -42,7 +42,7 @@ def repair_sections(results: DataFrame) -> DataFrame:
     removals or unverifiable; other actions belong to none."""
     a = results.where(~F.col("was_valid")).select("claim_id", "reference_id", "path", F.posexplode("actions").alias("ord", "a"))
     section = F.when(F.col("a.can_auto_fix"), "fixes").when(F.col("a.action_type") == "REMOVAL", "removals").when(F.col("a.action_type") == "UNVERIFIABLE", "unverifiable").when(F.col("a.confidence") == "MEDIUM", "suggestions")
-    return a.withColumn("section", section).where("section is not null").select("section", "claim_id", "reference_id", "path", "ord", "a.*")
+    return a.withColumn("section", section).where("section is not null").select("section", "claim_id", "reference_id", "path", "ord", F.col("a").dropFields("reference_id").alias("a")).select("section", "claim_id", "reference_id", "path", "ord", "a.*")
 
 
 _TITLES = (
@@ -53,17 +53,18 @@ _TITLES = (
 )
 
 
-def format_report(results: DataFrame, lines_per_section: int = 1000, verbose: bool = False) -> str:
-    """The report as text for a terminal. Sections list their first lines_per_section
-    actions by claim; the summary counts all."""
+def format_report(results: DataFrame, lines_per_section: int | None = None, verbose: bool = False) -> str:
+    """The report as text for a terminal: all actions by claim, or the first lines_per_section
+    of each section and how many more there are. The driver reads one partition at a time."""
     out = ["=" * 60, "Repair Report", "=" * 60, ""]
     sections = repair_sections(results)
+    sizes = {r["section"]: r["count"] for r in sections.groupBy("section").count().collect()}
     for name, title in _TITLES:
-        rows = sections.where(F.col("section") == name).orderBy("claim_id", "ord").limit(lines_per_section).collect()
-        if not rows:
+        if not sizes.get(name):
             continue
+        rows = sections.where(F.col("section") == name).orderBy("claim_id", "ord")
         out.append(title)
-        for r in rows:
+        for r in (rows if lines_per_section is None else rows.limit(lines_per_section)).toLocalIterator():
             out.append(f"  {r.reference_id}{f' at {r.path}' if r.path else ''}:")
             if name == "removals":
                 out += [f"    Similarity: {r.similarity_score * 100:.0f}%", f"    Snippet: '{r.original_text[:60]}...'"]
@@ -73,6 +74,8 @@ def format_report(results: DataFrame, lines_per_section: int = 1000, verbose: bo
                 out.append(f"    '{r.original_text[:50]}...' → '{(r.repaired_text or 'N/A')[:50]}...'")
             elif name == "suggestions" and verbose and r.repaired_text:
                 out.append(f"    Suggestion: '{r.repaired_text[:80]}...'")
+        if lines_per_section is not None and sizes[name] > lines_per_section:
+            out.append(f"  ... and {sizes[name] - lines_per_section} more")
         out.append("")
     n = repair_report(results).first()
     out += ["-" * 60, "Summary:"]

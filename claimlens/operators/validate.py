@@ -3,8 +3,8 @@
 claims: claim_id, supporting_text, reference_id, expected_title, path
 references: reference_id, title, content, content_type (one row per normal id)
 
-Documents are normalised once each, before the join; the verdict is a predicate over the
-joined row, so nothing leaves the JVM. Only failures go on to the fuzzy search.
+Documents that claims name are normalised once each, before the join; the verdict is a
+predicate over the joined row, so nothing leaves the JVM. Only failures go on to the fuzzy search.
 """
 
 from __future__ import annotations
@@ -33,6 +33,16 @@ def keyed_references(refs: DataFrame, config: ValidationConfig) -> DataFrame:
     )
 
 
+def _asked_references(refs: DataFrame, keyed: DataFrame, config: ValidationConfig) -> DataFrame:
+    """The references that claims name, normalised only after the others are gone (a stream
+    can name any)."""
+    if keyed.isStreaming:
+        return keyed_references(refs, config)
+    key = ids.normalize_reference_id(F.col("reference_id"), config.reference_prefix_map)
+    asked = keyed.where(~F.col("skipped")).select(F.col("ref_key").alias("_asked")).distinct()
+    return keyed_references(refs.join(asked, key == F.col("_asked"), "left_semi"), config)
+
+
 def _keyed_claims(claims: DataFrame, config: ValidationConfig) -> DataFrame:
     skipped = ids.is_skipped(F.col("reference_id"), config.skip_prefixes)
     # Skipped claims meet nothing; a key of their own keeps them from piling up under null.
@@ -53,7 +63,7 @@ def validate(claims: DataFrame, refs: DataFrame, config: ValidationConfig | None
     `suggest`, failures get the closest sentence; that never makes a claim valid."""
     config = config or ValidationConfig()
     c = _keyed_claims(claims, config).withColumn("parts", text.split_query(F.col("supporting_text"), config.literal_bracket_patterns))
-    j = c.join(keyed_references(refs, config), "ref_key", "left")
+    j = c.join(_asked_references(refs, c, config), "ref_key", "left")
     rid = F.col("reference_id")
     compared = F.col("known") & F.col("has_content")
     found = (F.size("parts") > 0) & text.contains_all(F.col("content_norm"), F.col("parts"))
@@ -115,8 +125,9 @@ def validate_title(claims: DataFrame, refs: DataFrame, config: ValidationConfig
     """One row per claim with its expected_title held against the reference's: equal after
     normalisation, not contained. claim_id, is_valid, reference_id, severity, message, path."""
     config = config or ValidationConfig()
-    slim = keyed_references(refs, config).select("ref_key", "ref_title", "title_norm", "known")
-    j = _keyed_claims(claims, config).join(slim, "ref_key", "left")
+    c = _keyed_claims(claims, config)
+    slim = _asked_references(refs.withColumn("content", F.lit(None).cast("string")), c, config).select("ref_key", "ref_title", "title_norm", "known")
+    j = c.join(slim, "ref_key", "left")
     rid = F.col("reference_id")
     equal = text.normalize_text(F.col("expected_title")) == F.col("title_norm")
     untitled = F.coalesce(F.col("ref_title"), F.lit("")) == ""

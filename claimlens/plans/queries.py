@@ -9,7 +9,7 @@ from claimlens.functions import fields, ids, jsonpath, text
 from claimlens.operators import extract, fulltext, report
 from claimlens.operators.containment import passage_containment as containment
 from claimlens.operators.fuzzy_search import fuzzy_search
-from claimlens.operators.repair import ACTION, repair
+from claimlens.operators.repair import repair
 from claimlens.operators.repair import ellipsis_insertion as insertion
 from claimlens.operators.validate import failures, validate
 from claimlens.operators.validate import validate_title as titles
@@ -72,10 +72,10 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(r, "claim_id").select("claim_id", F.size("q").alias("n_query"), F.size("t").alias("n_target"), text.overlap_of_words(F.col("q"), F.col("t")).alias("overlap"))
 
 
-@query("select doc_id, replace(replace(replace(replace(replace(replace(substr(text, 1, 40) || ' +/- 5 +-1 H2O2 CO2 N2', '+/-', '±'), '+-', '±'), 'CO2', 'CO₂'), 'H2O', 'H₂O'), 'O2', 'O₂'), 'N2', 'N₂') as mapped from documents")
+@query("select doc_id, replace(replace(replace(replace(replace(replace(text || ' +/- 5 +-1 H2O2 CO2 N2', '+/-', '±'), '+-', '±'), 'CO2', 'CO₂'), 'H2O', 'H₂O'), 'O2', 'O₂'), 'N2', 'N₂') as mapped from documents")
 def character_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = d.table(spark, sf_dir, "documents")
-    return t.select("doc_id", text.character_mapping(F.concat(F.substring("text", 1, 40), F.lit(" +/- 5 +-1 H2O2 CO2 N2"))).alias("mapped"))
+    return t.select("doc_id", text.character_mapping(F.concat("text", F.lit(" +/- 5 +-1 H2O2 CO2 N2"))).alias("mapped"))
 
 
 @query("select case when doc_id % 101 >= 95 then 'HIGH' when doc_id % 101 >= 80 then 'MEDIUM' when doc_id % 101 >= 50 then 'LOW' else 'VERY_LOW' end as confidence, count(*) as n from documents group by 1")
@@ -246,33 +246,10 @@ def ellipsis_insertion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insertion(queries, s.select("ref_key", F.col("text").alias("content")), fuzzy=False)
 
 
-_KINDS = (("CHARACTER_NORMALIZATION", "HIGH", "x"), ("ELLIPSIS_INSERTION", "MEDIUM", "x"), ("REMOVAL", "VERY_LOW", None), ("UNVERIFIABLE", "VERY_LOW", None))
-
-
-def _repair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id") % 5
-    actions = F.array().cast(f"array<{ACTION}>")
-    for k, (kind, level, repaired) in enumerate(_KINDS, 1):
-        fix = text.can_auto_fix(F.lit(kind), F.lit(level), F.lit(repaired))
-        one = F.struct(F.lit(kind), F.col("text"), F.lit(repaired), F.lit(level), F.lit(0.5), F.lit(""), F.lit(""), fix).cast(ACTION)
-        actions = F.when(i == k, F.array(one)).otherwise(actions)
-    return d.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.lit("r").alias("reference_id"), F.lit("p").alias("path"), (i == 0).alias("was_valid"), i.isin(1, 2).alias("is_repaired"), actions.alias("actions"))
-
-
-@query("select count(*) as total_items, count(*) filter (where doc_id % 5 = 0) as already_valid_count, count(*) filter (where doc_id % 5 in (1, 2)) as repaired_count, count(*) filter (where doc_id % 5 = 1) as auto_fixed_count, count(*) filter (where doc_id % 5 = 2) as suggested_count, count(*) filter (where doc_id % 5 = 3) as removal_count, count(*) filter (where doc_id % 5 = 4) as unverifiable_count from documents")
-def repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.repair_report(_repair_results(spark, sf_dir))
-
-
-@query("select case doc_id % 5 when 1 then 'fixes' when 2 then 'suggestions' when 3 then 'removals' else 'unverifiable' end as section, count(*) as n from documents where doc_id % 5 > 0 group by 1")
-def repair_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.repair_sections(_repair_results(spark, sf_dir)).groupBy("section").agg(F.count("*").alias("n"))
-
-
 # Extraction
 
 
-_LINES = """lines as (select doc_id, doc_id || ' ex:supporting_text="' || translate(substr(text, 1, 40), '"[]' || chr(10), '') || '[DOC:' || doc_id || ']" ex:supporting_text="two[X:' || doc_id || ']"  ' as line from documents)"""
+_LINES = """lines as (select doc_id, doc_id || ' ex:supporting_text="' || translate(text, '"[]' || chr(10), '') || '[DOC:' || doc_id || ']" ex:supporting_text="two[X:' || doc_id || ']"  ' as line from documents)"""
 
 
 @query(
@@ -281,7 +258,7 @@ select doc_id::varchar as file, doc_id as line_number, supporting_text, referenc
 )
 def regex_claim_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("doc_id").cast("string")
-    line = F.concat(s, F.lit(' ex:supporting_text="'), F.translate(F.substring("text", 1, 40), '"[]\n', ""), F.lit("[DOC:"), s, F.lit(']" ex:supporting_text="two[X:'), s, F.lit(']"  '))
+    line = F.concat(s, F.lit(' ex:supporting_text="'), F.translate("text", '"[]\n', ""), F.lit("[DOC:"), s, F.lit(']" ex:supporting_text="two[X:'), s, F.lit(']"  '))
     return extract.claims_from_lines(d.table(spark, sf_dir, "documents").select(s.alias("file"), F.col("doc_id").alias("line_number"), line.alias("line")))
 
 
@@ -304,12 +281,17 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.evidence_rows(c.groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("evidence")), "evidence")
 
 
-_SLOTS = (("c", "quote", 1, ("ex:excerpt",), None, "excerpt"), ("c", "supporting_text", 0, (), None, "excerpt"), ("c", "cited", 2, (), "dcterms:references", "reference"), ("c", "liked", 3, (), "ex:user_preference", None), ("c", "seen", 4, (), "ex:hasReference", "reference"), ("d", "name", 0, (), "dcterms:title", "title"), ("d", "title", 1, (), None, "title"), ("d", "exact", 2, ("oa:exact",), "dcterms:title", "excerpt"))
+_SLOTS = (
+    ("c", "quote", 1, ("ex:excerpt",), None), ("c", "supporting_text", 0, (), None), ("c", "cited", 2, (), "dcterms:references"), ("c", "liked", 3, (), "ex:user_preference"), ("c", "seen", 4, (), "ex:hasReference"),
+    ("d", "title", 0, (), None), ("d", "name", 1, (), "dcterms:title"), ("d", "exact", 2, ("oa:exact",), "dcterms:title"), ("d", "reference_id", 3, (), None), ("d", "reference", 4, ("ex:reference_excerpt",), None),
+    ("e", "supporting_text", 0, (), "dcterms:title"), ("e", "reference_id", 1, ("oa:exact",), None), ("e", "reference", 2, (), None),
+)
 
 
-@query("with t(class, role, names) as (values ('c', 'excerpt', 'quote,supporting_text'), ('c', 'reference', 'cited,seen'), ('d', 'title', 'name,title'), ('d', 'excerpt', 'exact')) select * from t")
+@query("with t(class, role, names) as (values ('c', 'excerpt', 'quote,supporting_text'), ('c', 'reference', 'cited,seen'), ('d', 'title', 'name,exact,title'), ('d', 'excerpt', 'exact,reference'), ('d', 'reference', 'reference,reference_id'), ('e', 'excerpt', 'reference_id,supporting_text'), ('e', 'title', 'supporting_text'), ('e', 'reference', 'reference,reference_id')) select * from t")
 def field_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = spark.createDataFrame([(c, n, o, list(i), u) for c, n, o, i, u, _ in _SLOTS], "class string, name string, ord int, implements array<string>, slot_uri string")
+    """Roles are independent of each other; fallback names follow in their own order."""
+    slots = spark.createDataFrame([(c, n, o, list(i), u) for c, n, o, i, u in _SLOTS], "class string, name string, ord int, implements array<string>, slot_uri string")
     return fields.class_slots(slots).select("class", "role", F.array_join("names", ",").alias("names"))
 
 
@@ -332,7 +314,7 @@ def jsonpath_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.table(spark, sf_dir, "events").select("event_id", jsonpath.first_match(F.col("props"), "$.k").alias("k"), jsonpath.first_match(F.col("props"), "$..k").alias("deep"), jsonpath.extra_content(extra).alias("block"))
 
 
-_CANDIDATES = """c as (select 'DOC:' || doc_id as reference_id, p.provider, p.rank, substr(text, 1, 200 + (doc_id * p.rank * 313) % 1200) as t, (doc_id + p.rank) % 9 = 0 as error
+_CANDIDATES = """c as (select 'DOC:' || doc_id as reference_id, p.provider, p.rank, case when (doc_id + p.rank) % 3 = 0 then text else repeat('short text ', ((doc_id * p.rank * 7) % 120)::int) end as t, (doc_id + p.rank) % 9 = 0 as error
   from documents, (values ('pmc', 1), ('epmc_preprint', 2), ('unpaywall', 3), ('openalex', 4)) p(provider, rank)),
 u as (select *, not error and length(trim(t)) >= case when provider = 'pmc' then 1000 else 500 end as usable from c)"""
 
@@ -340,9 +322,9 @@ u as (select *, not error and length(trim(t)) >= case when provider = 'pmc' then
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = F.posexplode(F.array(*[F.lit(p) for p in fulltext.PROVIDERS])).alias("r", "provider")
     c = d.table(spark, sf_dir, "documents").select("doc_id", "text", ranks).withColumn("rank", F.col("r") + 1)
-    cut = F.substr("text", F.lit(1), (200 + (F.col("doc_id") * F.col("rank") * 313) % 1200).cast("int"))
+    offered = F.when((F.col("doc_id") + F.col("rank")) % 3 == 0, F.col("text")).otherwise(F.repeat(F.lit("short text "), (F.col("doc_id") * F.col("rank") * 7 % 120).cast("int")))
     null = F.lit(None).cast("string")
-    return c.select(F.concat(F.lit("DOC:"), F.col("doc_id").cast("string")).alias("reference_id"), "provider", cut.alias("text"), F.concat(F.lit("u"), F.col("rank").cast("string")).alias("url"), F.lit("xml").alias("format"), null.alias("license"), null.alias("oa_status"), ((F.col("doc_id") + F.col("rank")) % 9 == 0).alias("error"))
+    return c.select(F.concat(F.lit("DOC:"), F.col("doc_id").cast("string")).alias("reference_id"), "provider", offered.alias("text"), F.concat(F.lit("u"), F.col("rank").cast("string")).alias("url"), F.lit("xml").alias("format"), null.alias("license"), null.alias("oa_status"), ((F.col("doc_id") + F.col("rank")) % 9 == 0).alias("error"))
 
 
 @query(f"with {_CANDIDATES}, f as (select *, row_number() over (partition by reference_id order by rank) as n from u where usable) select reference_id, f.provider, length(f.t) as chars, n.usable, n.failed from (select reference_id, count(*) filter (where usable) as usable, bool_or(error) as failed from u group by 1) n left join (select * from f where n = 1) f using (reference_id)")
@@ -352,13 +334,13 @@ def fulltext_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_CANDIDATES}, f as (select reference_id, min_by(provider, rank) filter (usable) as provider, min_by(t, rank) filter (usable) as t, bool_or(error) as failed from u group by 1),
-r as (select 'DOC:' || doc_id as reference_id, doc_id % 3 = 0 as wanted, substr(text, 1, 50) as content from documents)
+r as (select 'DOC:' || doc_id as reference_id, doc_id % 3 = 0 as wanted, text as content from documents)
 select reference_id, case when wanted and provider is not null then 'full_text_xml' when wanted then 'abstract_only' else 'full_text_html' end as content_type, case when wanted then provider end as full_text_provider,
   wanted and (provider is not null or not failed) as full_text_attempted, md5(case when wanted and provider is not null then concat_ws(chr(10) || chr(10), nullif(trim(content), ''), trim(t)) else content end) as content_md5 from r join f using (reference_id)"""
 )
 def fulltext_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, null = F.col("doc_id"), F.lit(None).cast("string")
-    refs = d.table(spark, sf_dir, "documents").select(F.concat(F.lit("DOC:"), i.cast("string")).alias("reference_id"), F.substring("text", 1, 50).alias("content"), F.when(i % 3 == 0, "abstract_only").otherwise("full_text_html").alias("content_type"), null.alias("full_text_provider"), null.alias("full_text_url"), null.alias("oa_status"), null.alias("license"), F.lit(False).alias("full_text_attempted"))
+    refs = d.table(spark, sf_dir, "documents").select(F.concat(F.lit("DOC:"), i.cast("string")).alias("reference_id"), F.col("text").alias("content"), F.when(i % 3 == 0, "abstract_only").otherwise("full_text_html").alias("content_type"), null.alias("full_text_provider"), null.alias("full_text_url"), null.alias("oa_status"), null.alias("license"), F.lit(False).alias("full_text_attempted"))
     return fulltext.enrich(refs, _candidates(spark, sf_dir)).select("reference_id", "content_type", "full_text_provider", "full_text_attempted", F.md5("content").alias("content_md5"))
 
 

@@ -5,18 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the folder named by spark.checkpoint.dir (where unset, as in tests, a new
-    temporary one) and read it again. What follows doesn't repeat its work, plans stay small,
-    and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors must share. A
+    local session may do without it, as all its threads see one machine's temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    return where.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again. What follows doesn't repeat its work,
+    plans stay small, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

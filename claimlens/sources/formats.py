@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -86,6 +86,53 @@ def html_text(html: str | None) -> str | None:
     return "\n\n".join(parser.p[scope]) or "\n".join(parser.all[scope]) or None
 
 
+class _Within(HTMLParser):
+    """Texts of <p> within the first <div> that has the class."""
+
+    def __init__(self, name: str):
+        super().__init__(convert_charrefs=True)
+        self.name, self.depth, self.done = name, 0, False
+        self.found: list[str] = []
+        self.current: list[str] | None = None
+
+    def flush(self) -> None:
+        if self.current is not None:
+            self.found.append("".join(self.current))
+        self.current = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "div" and not self.done:
+            self.depth += bool(self.depth or self.name in (dict(attrs).get("class") or "").split())
+        elif tag == "p" and self.depth and not self.done:
+            self.flush()
+            self.current = []
+
+    def handle_endtag(self, tag):
+        if tag == "p":
+            self.flush()
+        elif tag == "div" and self.depth and not self.done:
+            self.depth -= 1
+            if not self.depth:
+                self.flush()
+                self.done = True
+
+    def handle_data(self, data):
+        if self.current is not None:
+            self.current.append(data)
+
+
+def pmc_html_text(html: str | None) -> str | None:
+    """Paragraphs of a PMC page's article body, joined by blank lines."""
+    for name in ("article-body", "tsec"):
+        parser = _Within(name)
+        parser.feed(html or "")
+        parser.close()
+        parser.flush()
+        if parser.depth or parser.done:
+            return "\n\n".join(parser.found) or None
+    return None
+
+
 def xml_text(xml: str | None) -> str | None:
     """Paragraphs of <body>; null for articles whose text isn't given out."""
     if not xml or "cannot be obtained" in xml or "restricted" in xml:
@@ -125,11 +172,11 @@ def decoded(content: bytes, content_type: str | None = None) -> str:
         return content.decode("utf-8", "replace")
 
 
-#: Text by format, from bytes; further formats and PDF backends are added here.
+#: Text by format, from bytes and declared type; further formats and PDF backends are added here.
 EXTRACTORS = {
-    "pdf": lambda raw: pdf_text(raw),
-    "html": lambda raw: html_text(decoded(raw)),
-    "xml": lambda raw: xml_text(decoded(raw)),
+    "pdf": lambda raw, content_type=None: pdf_text(raw),
+    "html": lambda raw, content_type=None: html_text(decoded(raw, content_type)),
+    "xml": lambda raw, content_type=None: xml_text(decoded(raw, content_type)),
 }
 
 
@@ -145,25 +192,31 @@ def write_files(files: DataFrame, path: str) -> None:
     files.select("name", "content").foreachPartition(write)
 
 
-def extracted_text(content: Column, kind: Column) -> Column:
-    """Text of bytes of a known format, in an Arrow UDF; null where there is none."""
+def extracted_text(content: Column, kind: Column, content_type: Column | None = None) -> Column:
+    """Text of bytes of a known format, in an Arrow UDF; bytes of other formats are decoded by
+    their declared charset. Null where there is none."""
 
-    def over(data: pd.Series, kinds: pd.Series) -> pd.Series:
-        def one(raw, k):
-            if raw is None:
-                return None
-            return EXTRACTORS.get(k, decoded)(bytes(raw))
+    def over(data: pd.Series, kinds: pd.Series, types: pd.Series) -> pd.Series:
+        def one(raw, kind, declared):
+            return None if raw is None else EXTRACTORS.get(kind, decoded)(bytes(raw), declared)
 
-        return pd.Series([one(a, b) for a, b in zip(data, kinds, strict=True)], dtype=object)
+        return pd.Series([one(*x) for x in zip(data, kinds, types, strict=True)], dtype=object)
 
-    return F.pandas_udf(over, "string")(content, kind)
+    none = F.lit(None).cast("string")
+    return F.pandas_udf(over, "string")(content, F.coalesce(kind, none), none if content_type is None else content_type)
 
 
-def html_text_col(html: Column) -> Column:
-    def over(pages: pd.Series) -> pd.Series:
-        return pages.map(html_text).astype(object)
+def text_col(text: Column, extract: Callable[[str | None], str | None]) -> Column:
+    """A text extractor over a column, in an Arrow UDF."""
+
+    def over(texts: pd.Series) -> pd.Series:
+        return pd.Series([extract(t) for t in texts], dtype=object)
 
-    return F.pandas_udf(over, "string")(html)
+    return F.pandas_udf(over, "string")(text)
+
+
+def html_text_col(html: Column) -> Column:
+    return text_col(html, html_text)
 
 
 def html_title(html: Column, default: Column) -> Column:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,34 +188,46 @@ def parse_trials(payloads: DataFrame) -> DataFrame:
     return _record(payloads.where(_get(p).isNotNull()), title=F.coalesce(_some(_get(f"{p}.identificationModule.officialTitle")), _some(_get(f"{p}.identificationModule.briefTitle"))), content=content, content_type=_content_type(content, "summary"), metadata=meta)
 
 
-def _xml(path: str) -> Column:
-    return F.expr(f"xpath(body, '{path}')")
+_ARTICLE = "title string, authors array<string>, journal string, year string, doi string, keywords array<string>, publication_types array<string>, content string"
+
+
+def pubmed_record(xml: str | None) -> dict | None:
+    """The fields of one PubMed article, element by element: text within further markup counts."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return None
+    text = lambda e: "".join(e.itertext()).strip() if e is not None else ""
+    article = root.find(".//MedlineCitation/Article")
+    if article is None:
+        return None
+    sections = [(e.get("Label"), text(e)) for e in article.findall("./Abstract/AbstractText")]
+    people = [" ".join(filter(None, (text(p.find("LastName")), text(p.find("Initials"))))) or text(p.find("CollectiveName")) for p in article.findall("./AuthorList/Author")]
+    heads = [(text(h.find("DescriptorName")), [text(q) for q in h.findall("QualifierName")]) for h in root.findall(".//MeshHeadingList/MeshHeading")]
+    date = article.find("./Journal/JournalIssue/PubDate")
+    year = date is not None and (text(date.find("Year")) or text(date.find("MedlineDate"))[:4])
+    return {
+        "title": text(article.find("ArticleTitle")) or None,
+        "authors": [p for p in people if p] or None,
+        "journal": text(article.find("./Journal/Title")) or None,
+        "year": year or None,
+        "doi": text(root.find(".//ArticleIdList/ArticleId[@IdType='doi']")) or None,
+        "keywords": [f"{d}/{', '.join(q)}" if q else d for d, q in heads if d] or None,
+        "publication_types": [t for e in article.findall("./PublicationTypeList/PublicationType") if (t := text(e))] or None,
+        "content": "\n\n".join(f"{label}: {t}" if label else t for label, t in sections if t) or None,
+    }
 
 
 def parse_pubmed(payloads: DataFrame) -> DataFrame:
-    """PubMed article XML: sections `Label: text` by blank lines, MeSH as descriptor and qualifiers."""
-    art = "//MedlineCitation/Article"
-    labels, texts = F.expr(f"xpath(body, '{art}/Abstract/AbstractText/@Label')"), F.expr(f"xpath(body, '{art}/Abstract/AbstractText/text()')")
-    sections = F.when(F.size(labels) == F.size(texts), F.zip_with(labels, texts, lambda a, b: F.concat(a, F.lit(": "), b))).otherwise(texts)
-    abstract = _some(F.array_join(F.filter(sections, lambda s: F.trim(s) != ""), "\n\n"))
-    heads = F.from_xml("body", "struct<MedlineCitation:struct<MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:string,QualifierName:array<string>>>>>>", {"mode": "PERMISSIVE", "rowTag": "PubmedArticle"})["MedlineCitation"]["MeshHeadingList"]["MeshHeading"]
-    mesh = F.transform(heads, lambda h: F.concat_ws("/", h["DescriptorName"], _some(F.array_join(h["QualifierName"], ", "))))
-    people = F.zip_with(_xml(f"{art}/AuthorList/Author/LastName/text()"), _xml(f"{art}/AuthorList/Author/Initials/text()"), lambda a, b: F.concat_ws(" ", a, b))
-    kinds = F.filter(_xml(f"{art}/PublicationTypeList/PublicationType/text()"), lambda x: F.trim(x) != "")
-    some = lambda arr: F.when(F.size(arr) > 0, arr)
-    doi = F.expr("xpath_string(body, '//ArticleIdList/ArticleId[@IdType=\"doi\"]')")
-    return _record(
-        payloads,
-        title=_some(F.expr(f"xpath_string(body, '{art}/ArticleTitle')")),
-        authors=some(F.filter(people, lambda x: F.trim(x) != "")),
-        journal=_some(F.expr(f"xpath_string(body, '{art}/Journal/Title')")),
-        year=_some(F.substring(F.expr(f"concat(xpath_string(body, '{art}/Journal/JournalIssue/PubDate/Year'), xpath_string(body, '{art}/Journal/JournalIssue/PubDate/MedlineDate'))"), 1, 4)),
-        doi=_some(doi),
-        keywords=some(mesh),
-        publication_types=some(kinds),
-        content=abstract,
-        content_type=_content_type(abstract, "abstract_only"),
-    )
+    """PubMed article XML: sections `Label: text` by blank lines, MeSH as descriptor and
+    qualifiers. Payloads that hold no article have null fields."""
+
+    def over(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([pubmed_record(b) or {} for b in bodies], columns=[c.split()[0] for c in _ARTICLE.split(", ")], dtype=object)
+
+    df = payloads.withColumn("a", F.pandas_udf(over, _ARTICLE)("body"))
+    fields = {name: F.col(f"a.{name}") for name in (c.split()[0] for c in _ARTICLE.split(", "))}
+    return _record(df, **fields, content_type=_content_type(F.col("a.content"), "abstract_only"))
 
 
 def parse_json_api(payloads: DataFrame, sources: Mapping[str, Mapping]) -> DataFrame:
@@ -233,17 +247,20 @@ def parse_json_api(payloads: DataFrame, sources: Mapping[str, Mapping]) -> DataF
 
 def with_extra_fields(refs: DataFrame, payloads: DataFrame, fields: Mapping[str, Mapping[str, str]]) -> DataFrame:
     """refs whose source has extra fields configured (source to name to JSON path): their
-    text follows the content in headed blocks, and metadata says which were found."""
-    for source, paths in fields.items():
-        extra = payloads.where(F.col("source") == source).select(F.col("reference_id").alias("_rid"), jsonpath.extra_fields(F.col("body"), paths).alias("_extra"))
-        extra = extra.where(F.size("_extra") > 0)
-        j = refs.join(extra, F.col("reference_id") == F.col("_rid"), "left")
-        content = F.when(F.col("_rid").isNull(), F.col("content")).otherwise(F.concat(F.coalesce("content", F.lit("")), F.lit("\n\n"), jsonpath.extra_content(F.col("_extra"))))
-        seen = F.create_map(F.lit("extra_fields_captured"), F.array_join(F.map_keys("_extra"), ","))
-        meta = F.when(F.col("_rid").isNull(), F.col("metadata")).otherwise(F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), seen))
-        kind = F.when(F.col("_rid").isNotNull() & (F.col("content_type") == "unavailable"), "summary").otherwise(F.col("content_type"))
-        refs = j.select(*[{"content": content, "metadata": meta, "content_type": kind}.get(c, F.col(c)).alias(c) for c in refs.columns])
-    return refs
+    text follows the content in headed blocks, and metadata says which were found. A reference
+    with payloads of several such sources gets them in the order of `fields`, in one join."""
+    if not fields:
+        return refs
+    parts = [payloads.where(F.col("source") == source).select("reference_id", F.lit(k).alias("k"), jsonpath.extra_fields(F.col("body"), paths).alias("extra")).where(F.size("extra") > 0) for k, (source, paths) in enumerate(fields.items())]
+    found = reduce(lambda a, b: a.unionByName(b), parts).select(F.col("reference_id").alias("_rid"), F.struct("k", jsonpath.extra_content(F.col("extra")).alias("block"), F.map_keys("extra").alias("names")).alias("x"))
+    extra = found.groupBy("_rid").agg(F.sort_array(F.collect_list("x")).alias("_x"))
+    j = refs.join(extra, F.col("reference_id") == F.col("_rid"), "left")
+    met = F.col("_rid").isNotNull()
+    content = F.when(met, F.concat(F.coalesce("content", F.lit("")), F.lit("\n\n"), F.array_join(F.transform("_x", lambda x: x["block"]), "\n\n"))).otherwise(F.col("content"))
+    seen = F.create_map(F.lit("extra_fields_captured"), F.array_join(F.flatten(F.transform("_x", lambda x: x["names"])), ","))
+    meta = F.when(met, F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), seen)).otherwise(F.col("metadata"))
+    kind = F.when(met & (F.col("content_type") == "unavailable"), "summary").otherwise(F.col("content_type"))
+    return j.select(*[{"content": content, "metadata": meta, "content_type": kind}.get(c, F.col(c)).alias(c) for c in refs.columns])
 
 
 def from_files(files: DataFrame) -> DataFrame:
@@ -256,11 +273,12 @@ def from_files(files: DataFrame) -> DataFrame:
 
 
 def from_urls(pages: DataFrame) -> DataFrame:
-    """Landed pages (url, content: binary, content_type) as references url:<url>; HTML stays as it is."""
+    """Landed pages (url, content: binary, content_type) as references url:<url>; HTML stays as
+    it is, decoded by the declared charset, else as UTF-8; what can't be read is replaced."""
     from claimlens.sources.formats import extracted_text, html_title, resolve_format
 
     kind = resolve_format(F.col("content"), F.col("content_type"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    text = F.when(kind == "pdf", extracted_text(F.col("content"), F.lit("pdf"))).otherwise(F.decode("content", "UTF-8"))
+    text = extracted_text(F.col("content"), F.when(kind == "pdf", "pdf").otherwise("text"), F.col("content_type"))
     df = pages.withColumn("value", text).withColumn("reference_id", F.concat(F.lit("url:"), F.col("url")))
     return _record(df, title=html_title(F.col("value"), F.col("url")), content=F.col("value"), content_type=F.lit("url"))
 
