@@ -2,16 +2,16 @@
 
 Texts become sets of five-word shingles (lower case, words between white space; a text of
 fewer words is one shingle, an empty one the empty set). Rows with equal sets form a node.
-A node's MinHash values make one path of `longest` values in each of `trees` prefix tries. A
-trie is kept as its sorted leaves: rows with the hashes of their path's prefixes, so that the
-leaves below any prefix are one run.
+The lowest bytes of a node's MinHash values make one path of `longest` bytes in each of
+`trees` prefix tries. A path is a number whose leading bytes are its prefixes, and a trie is
+its sorted leaves: those below any prefix are one run of numbers.
 
-The descent starts at the longest prefixes and shortens them value by value. At each length,
+The descent starts at the longest prefixes and shortens them step by step. At each length,
 nodes below one prefix whose signatures agree well enough are tied. Then each node is judged:
 pairs as alike as its weakest tie have met with a known probability, and once that is the
 target recall, the node is settled and another one of its group stands for it, so that
 shorter prefixes hold a node of each tight group instead of all. Nodes without ties or with
-weaker ones go on until a pair at the threshold is met with the target recall. Within the
+weaker ones go on, STEP values shorter each time, until a pair at the threshold is met with the target recall. Within the
 groups of all ties every pair is verified exactly on its shingle sets; members of a large
 group travel as their differences from the group's first node.
 """
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.shared import components, cut, fits_broadcast, in_block_pairs, map_groups, pick, roots
@@ -31,6 +31,9 @@ from claimlens.llm.shared import components, cut, fits_broadcast, in_block_pairs
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
+#: Values by which prefixes are shortened at a time.
+STEP = 2
+#: Values of a path, eight at most: their bytes are a long.
 LONGEST = 8
 TARGET_RECALL = 0.995
 #: The recall, for pairs as alike as its weakest tie, at which a group needs no shorter prefixes.
@@ -118,30 +121,32 @@ def _fingerprint(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _features(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """fp, size, sig (four bytes a value) and low (the last byte of each) of each row."""
+def _features(docs: DataFrame, words: int, trees: int, longest: int) -> DataFrame:
+    """fp, size and paths of each row: the path in each tree, a byte for each of its values."""
+    width = trees * longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240501)
         mult = rng.integers(0, 1 << 32, width, dtype=np.uint32) | np.uint32(1)
         add = rng.integers(0, 1 << 32, width, dtype=np.uint32)
         for batch in batches:
-            out = {"doc_id": batch.column(0), "fp": [], "size": [], "sig": [], "low": []}
-            for text in batch.column(1).to_pylist():
+            fp, size = [], []
+            path = np.zeros((batch.num_rows, trees, 8), dtype=np.uint8)
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 h = shingles(text, words)
-                sig = _signature(h, mult, add)
-                out["fp"].append(_fingerprint(h))
-                out["size"].append(len(h))
-                out["sig"].append(sig.tobytes())
-                out["low"].append(sig.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict({**out, "size": pa.array(out["size"], pa.int32())})
+                fp.append(_fingerprint(h))
+                size.append(len(h))
+                path[k, :, :longest] = _signature(h, mult, add).astype(np.uint8).reshape(trees, longest)
+            paths = pa.ListArray.from_arrays(np.arange(0, path.size // 8 + 1, trees, dtype=np.int32), path.reshape(-1).view(">i8").astype(np.int64))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": fp, "size": pa.array(size, pa.int32()), "paths": paths})
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, size int, sig binary, low binary")
+    return docs.mapInArrow(run, "doc_id long, fp binary, size int, paths array<long>")
 
 
-def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A matrix of equally long binaries, a row each."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+def _values(paths: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The bytes of the paths, a row for each node."""
+    flat = paths.combine_chunks() if isinstance(paths, pa.ChunkedArray) else paths
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(len(paths), -1)
 
 
 def _near(sig: np.ndarray, agree: float, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,52 +167,55 @@ def _near(sig: np.ndarray, agree: float, near: float) -> tuple[np.ndarray, np.nd
     return np.concatenate(a), np.concatenate(b), np.concatenate(how)
 
 
-def _leaves(sigs: DataFrame, trees: int, longest: int, shortest: int) -> DataFrame:
-    """The sorted leaves that share a shortest prefix with another node: node, p<shortest> .. p<longest>."""
-    # A path's values are four bytes each in the signature; substring counts from 1.
-    prefix = lambda t, d: F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * longest, 4 * d)).alias(f"p{d}")
-    paths = F.array(*[F.struct(*[prefix(t, d) for d in range(shortest, longest + 1)]) for t in range(trees)])
-    top = F.array(*[F.struct(prefix(t, shortest)) for t in range(trees)])
-    tops = sigs.select(F.explode(top).alias("p")).groupBy(f"p.p{shortest}").agg(F.count("*").alias("members"))
-    shared = cut(tops.where("members > 1").select(f"p{shortest}"))
-    leaves = sigs.select("node", F.explode(paths).alias("p")).select("node", "p.*").join(shared, f"p{shortest}")
-    return leaves.sortWithinPartitions(*[f"p{d}" for d in range(shortest, longest + 1)])
+def _prefix(depth: int) -> Column:
+    """A leaf's prefix of so many values, as one number with its tree."""
+    return F.xxhash64("tree", F.shiftrightunsigned("path", 8 * (8 - depth)))
 
 
-def _ties(live: DataFrame, sigs: DataFrame, prefix: str, agree: float) -> DataFrame:
+def _leaves(sigs: DataFrame, shortest: int) -> DataFrame:
+    """The sorted leaves (tree, path, node) that share a shortest prefix with another node."""
+    leaves = sigs.select("node", F.posexplode("paths").alias("tree", "path"))
+    tops = leaves.groupBy(_prefix(shortest).alias("top")).agg(F.count("*").alias("members"))
+    shared = cut(tops.where("members > 1").select("top"))
+    return leaves.withColumn("top", _prefix(shortest)).join(shared, "top").drop("top").sortWithinPartitions("tree", "path")
+
+
+def _ties(live: DataFrame, sigs: DataFrame, depth: int, agree: float) -> DataFrame:
     """(a, b, alike) between nodes below one prefix that belong to different groups.
 
-    live: node, root, prefix. A crowded prefix is first held against its first node: those
+    live: tree, path, node, root. A crowded prefix is first held against its first node: those
     as near to it as NEAR are done, as all their partners are tied to it too. The rest of the
     rows, and those of smaller prefixes, meet pairwise in blocks."""
-    low = sigs.select("node", "low")
-    crowd = cut(live.groupBy(F.col(prefix).alias("bucket")).agg(F.count("*").alias("members"), F.min("node").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "members", "first"))
-    rows = cut(live.select(F.col(prefix).alias("bucket"), "node").join(crowd, "bucket").join(low, "node"))
+    low = sigs.select("node", "paths")
+    at = live.select(_prefix(depth).alias("bucket"), "node", "root")
+    crowd = cut(at.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "members", "first"))
+    rows = cut(at.select("bucket", "node").join(crowd, "bucket"))
     large = F.col("members") > SIGNATURE_BLOCK
-    leaders = crowd.where(large).join(low.withColumnRenamed("node", "first"), "first").select("bucket", F.col("low").alias("lead"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_bytes(batch.column("low")) == _bytes(batch.column("lead"))).mean(axis=1)
+                same = (_values(batch.column("paths")) == _values(batch.column("lead"))).mean(axis=1)
                 yield pa.RecordBatch.from_pydict({"bucket": batch.column("bucket"), "first": batch.column("first"), "node": batch.column("node"), "alike": same})
 
-    alike = rows.where(~large).select("bucket", "members", "node", "low")
+    alike = rows.where(~large).select("bucket", "members", "node")
     star = None
     if not crowd.where(large).isEmpty():
-        starred = cut(rows.where(large).join(leaders, "bucket").select("bucket", "first", "node", "low", "lead").mapInArrow(compare, "bucket long, first long, node long, alike double"))
+        leaders = cut(crowd.where(large).join(low.withColumnRenamed("node", "first"), "first").select("bucket", F.col("paths").alias("lead")))
+        met = rows.where(large).join(leaders, "bucket").join(low, "node").select("bucket", "first", "node", "paths", "lead")
+        starred = cut(met.mapInArrow(compare, "bucket long, first long, node long, alike double"))
         others = starred.where(F.col("first") != F.col("node"))
         rest = others.where(F.col("alike") < NEAR).select("bucket", "node")
         left = cut(rest.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
-        alike = alike.unionByName(rest.join(left, "bucket").join(low, "node").select("bucket", "members", "node", "low"))
+        alike = alike.unionByName(rest.join(left, "bucket").select("bucket", "members", "node"))
         star = others.where(F.col("alike") >= agree).select(F.col("first").alias("a"), F.col("node").alias("b"), "alike")
-    placed = in_block_pairs(alike, "bucket", "node", F.ceil(F.col("members") / SIGNATURE_BLOCK)).select("bucket", "i", "j", "node", "low")
+    placed = in_block_pairs(alike.join(low, "node"), "bucket", "node", F.ceil(F.col("members") / SIGNATURE_BLOCK)).select("bucket", "i", "j", "node", "paths")
 
     def link(table: pa.Table) -> dict | None:
         if table.num_rows < 2:
             return None
         ids = table.column("node").to_numpy()
-        a, b, alike = _near(_bytes(table.column("low")), agree, NEAR)
+        a, b, alike = _near(_values(table.column("paths")), agree, NEAR)
         root = roots(a, b, len(ids))
         weakest = np.ones(len(ids))
         np.minimum.at(weakest, root[a], alike)
@@ -223,18 +231,17 @@ def _groups(sigs: DataFrame, trees: int, longest: int, shortest: int, target: fl
 
     At each length a node takes the smallest node it is tied to as its head. It is settled if
     pairs as alike as its weakest tie are met so far with the target recall; settled nodes
-    whose head has no other head leave the tries, where the head stands for them."""
-    live = cut(_leaves(sigs, trees, longest, shortest).withColumn("root", F.col("node")))
+    leave the tries, where their heads, or the heads' heads, stand for them."""
+    live = cut(_leaves(sigs, shortest).withColumn("root", F.col("node")))
     ties = None
-    for depth in range(longest, shortest - 1, -1):
-        found = cut(_ties(live, sigs, f"p{depth}", agree))
+    for depth in [*range(longest, shortest, -STEP), shortest]:
+        found = cut(_ties(live, sigs, depth, agree))
         ties = found if ties is None else ties.unionByName(found)
         if depth > shortest:
-            heads = cut(ties.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head"), F.min("alike").alias("weakest")))
-            settled = 1 - F.pow(1 - F.pow("weakest", F.lit(depth)), F.lit(trees)) >= target
-            out = heads.where(settled).join(heads.select(F.col("node").alias("head")), "head", "left_anti").select("node", F.lit(True).alias("gone"))
-            state = cut(heads.select("node", "head").join(out, "node", "left"))
-            live = cut(live.join(state, "node", "left").where("gone is null").withColumn("root", F.coalesce("head", "root")).drop("head", "gone"))
+            settled = 1 - F.pow(1 - F.pow(F.min("alike"), F.lit(depth)), F.lit(trees)) >= target
+            heads = cut(ties.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head"), settled.alias("settled")))
+            live = live.join(heads, "node", "left").where(~F.coalesce("settled", F.lit(False)))
+            live = cut(live.withColumn("root", F.coalesce("head", "root")).drop("head", "settled"))
     return components(ties.select("a", "b"))
 
 
@@ -351,11 +358,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     columns are ignored, whatever they are called."""
     docs = pick(docs, "doc_id", "text")
     shortest = depth_for(threshold, trees, longest, target_recall)
-    features = cut(_features(docs.where("doc_id is not null"), words, trees * longest))
+    features = cut(_features(docs.where("doc_id is not null"), words, trees, longest))
     named = features.groupBy("doc_id").agg(F.min("fp").alias("fp"))
     nodes = cut(named.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
-    sized = features.withColumnRenamed("doc_id", "node").join(nodes, ["node", "fp"]).dropDuplicates(["node"])
-    sigs = cut(sized.select("node", "fp", "rows", "size", "sig", "low"))
+    sized = features.withColumnRenamed("doc_id", "node").join(nodes, ["node", "fp"]).dropDuplicates(["node", "fp"])
+    sigs = cut(sized.select("node", "fp", "rows", "size", "paths"))
     # Sets of fewer elements than this can't be so alike without being equal.
     able = sigs.where(F.col("size") * (1 - threshold) >= threshold - 1e-9)
     groups = _groups(able, trees, longest, shortest, settled_recall, AGREE + (threshold - THRESHOLD))

@@ -163,9 +163,11 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars (Kiveris et al., 2014). Minima come from partial
     aggregation and go back by a join, so that a star of any size is split like any other
     skewed join. Each round is written to the shared folder. No link, an empty table."""
+    # Stars are at rest when a round changes nothing; the size and sum of hashes of the links tell.
+    state = lambda links: tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
+    seen = state(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first: joined to a table instead of to an aggregate of its own stage, a hub's rows can be split.
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -174,9 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = cut(small)
-        # Stars are at rest when the edge set repeats; its size and sum of hashes tell.
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == seen:
+        before, seen = seen, state(now)
+        if seen == before:
             break
-        seen = state
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()

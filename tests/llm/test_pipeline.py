@@ -1,5 +1,7 @@
 """Each stage on its own input, against what the operators' brute-force versions say."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from claimlens.llm import decontaminate as decon
 from claimlens.llm import pii_bootstrap as pii
@@ -68,29 +70,21 @@ def test_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(got.collect()) == sorted(pipeline.dedup(spark, docs, DATA).collect())
 
 
-def test_run_keeps_clashing_columns(spark, tmp_path):
-    """End to end over tables whose columns differ in case only, or are called as what stages add."""
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        d = spark.read.parquet(f"{DATA}/documents.parquet")
-        for name in ("Text", "copy", "copy_", "_row", "size", "doc_ID", "_0"):
-            d = d.selectExpr("*", f"concat('x', doc_id) as `{name}`")
-        d.write.parquet(f"{tmp_path}/documents.parquet")
-        for name in ("labels", "benchmark"):
-            t = spark.read.parquet(f"{DATA}/{name}.parquet")
-            t.selectExpr("*", "'x' as Text", "'x' as DOC_ID").write.parquet(f"{tmp_path}/{name}.parquet")
-        read = {name: spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "labels", "benchmark")}
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", "false")
-    docs = read["documents"]
-    for name, stage in pipeline.STAGES:
-        if name in ("dedup", "pii", "mix"):
-            docs = pipeline.cut_rows(stage(spark, docs, DATA))
-    assert docs.columns == [*read["documents"].columns, "copy__"]
+def test_stages_keep_clashing_columns(spark):
+    """One after another, written between, over tables whose columns differ in case only, or are
+    called as what stages add."""
+    clashing = ("Text", "copy", "copy_", "_row", "size", "doc_ID", "_0", "SOURCE")
+    read = {n: spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels", "benchmark")}
+    docs = read["documents"].select("*", *[F.concat(F.lit("x"), "doc_id").alias(n) for n in clashing])
+    labels, bench = (read[n].select("*", F.lit("x").alias("Text"), F.lit("x").alias("DOC_ID")) for n in ("labels", "benchmark"))
+    docs = pipeline.cut_rows(pipeline.accepted(docs, pipeline.fit(docs, labels)))
+    docs = pipeline.cut_rows(pipeline.dedup(spark, docs, DATA))
+    docs = pipeline.cut_rows(pipeline.decontaminated(docs, bench))
+    docs = pipeline.cut_rows(pipeline.pii(spark, docs, DATA))
+    docs = pipeline.cut_rows(pipeline.mix(spark, docs, DATA))
+    assert docs.columns == [*read["documents"].columns, *clashing, "copy__"]
     rows = docs.collect()
-    assert rows and all(r[docs.columns.index("Text")] == f"x{r.doc_id}" for r in rows)
-    assert pipeline.cut_rows(pipeline.decontaminated(docs, read["benchmark"])).columns == docs.columns
-    assert pipeline.accepted(docs, pipeline.fit(docs, read["labels"])).columns == docs.columns
+    assert rows and all(r[docs.columns.index("Text")] == f"x{r[0]}" for r in rows)
 
 
 def test_decontaminate_in_several_passes(spark):
