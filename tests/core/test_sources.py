@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimlens.__main__ import main
 from claimlens.operators import extract, fulltext
 from claimlens.operators.containment import passage_containment
-from claimlens.plans import lifecycle
+from claimlens.plans import lifecycle, stage
 from claimlens.plans.config import RepairConfig
 from claimlens.sources import cache, custom, formats, payloads
 from claimlens.streaming import claims as stream
@@ -160,6 +160,34 @@ def test_full_text_chain(spark):
     assert (named.url, named.format, named.license, named.oa_status) == ("http://x/p.pdf", "pdf", "cc", "gold")
 
 
+def test_pubmed_by_element():
+    xml = """<PubmedArticle><MedlineCitation><Article><ArticleTitle>On <i>E. coli</i></ArticleTitle><Abstract><AbstractText Label="A">We use <i>E. coli</i> here.</AbstractText><AbstractText/></Abstract>
+    <AuthorList><Author><LastName>Ada</LastName></Author><Author><LastName>Bo</LastName><Initials>BB</Initials></Author><Author><CollectiveName>G</CollectiveName></Author></AuthorList></Article></MedlineCitation></PubmedArticle>"""
+    r = payloads.pubmed_record(xml)
+    assert (r["title"], r["content"], r["authors"], r["year"]) == ("On E. coli", "A: We use E. coli here.", ["Ada", "Bo BB", "G"], None)
+    assert payloads.pubmed_record("<broken") is None and payloads.pubmed_record(None) is None
+
+
+def test_pages_in_any_charset(spark):
+    rows = [("a", bytearray("<html><title>é</title>".encode("latin-1")), "text/html; charset=latin-1"), ("b", bytearray(b"\xff x"), None), ("c", None, None), ("d", bytearray(b"y"), "text/plain; charset=nope")]
+    got = {r.reference_id: (r.title, r.content) for r in payloads.from_urls(spark.createDataFrame(rows, "url string, content binary, content_type string")).collect()}
+    assert got == {"url:a": ("é", "<html><title>é</title>"), "url:b": ("b", "\ufffd x"), "url:c": ("c", None), "url:d": ("d", "y")}
+
+
+def test_pmc_pages():
+    assert formats.pmc_html_text("<div class='tsec'><p>a</p></div><div class='z article-body'><div><p>b<p>c</div></div><p>d</p>") == "b\n\nc"
+    assert formats.pmc_html_text("<div class='tsec'><p>a</p></div>") == "a" and formats.pmc_html_text("<p>a</p>") is None and formats.pmc_html_text(None) is None
+
+
+def test_staging_needs_a_shared_folder(spark):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077"})()  # noqa: N815
+
+    with pytest.raises(ValueError):
+        stage.shared_dir(Session())
+
+
 def test_containment(spark):
     docs = spark.createDataFrame([(1, "Alpha beta, gamma delta epsilon zeta eta theta."), (2, "nothing of it"), (3, None)], "doc_id long, text string")
     quotes = spark.createDataFrame([(1, "ta gamma delta epsilon zeta et"), (2, "nothing OF"), (3, "beta gamma epsilon delta zeta eta"), (4, ""), (5, "pha beta gamma delta epsilon zeta eta the")], "quote_id long, text string")

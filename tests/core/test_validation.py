@@ -1,5 +1,7 @@
 """Verdicts, suggestions, repairs and reports on hand-made claims, and against plain Python."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,16 @@ def plain_search(query, content, threshold, cols):
     return best >= threshold and share >= 50, best, match
 
 
+def test_partial_ratio_with_a_floor():
+    """The same from the floor on, and below it where the ratio is."""
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        whole, floor = partial_ratio(a, b), rng.choice([0, 20, 50, 66.7, 80, 95, 100])
+        got = partial_ratio(a, b, floor)
+        assert got == whole if whole >= floor else got < floor
+
+
 def test_fuzzy_search_equals_a_loop(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
     contents = docs.select(F.col("doc_id").cast("string").alias("ref_key"), F.col("text").alias("content"))
