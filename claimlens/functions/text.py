@@ -38,9 +38,11 @@ def collapse(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Greek letters by name, lower case, each run of other than letters, numbers and _ one space, trimmed."""
-    spelled = F.translate(text, GREEK_UPPER, GREEK_FOLDED)
-    for letter, name in zip(GREEK_FOLDED, GREEK_NAMES, strict=False):
-        spelled = F.replace(spelled, F.lit(letter), F.lit(name))
+    # One pass over the pieces between Greek letters, however many kinds of them there are.
+    names = F.create_map(*[F.lit(x) for pair in zip(GREEK_FOLDED, GREEK_NAMES, strict=False) for x in pair])
+    letters = "".join(dict.fromkeys(GREEK_FOLDED))
+    pieces = F.regexp_extract_all(F.translate(text, GREEK_UPPER, GREEK_FOLDED), F.lit(f"[{letters}]|[^{letters}]+"), F.lit(0))
+    spelled = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(names, p), p)), "")
     greek = F.when(text.rlike("[Α-Ωα-ω]"), spelled).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(greek), r"[^\p{L}\p{N}_]+", " "))
 

@@ -10,7 +10,7 @@ from claimlens.operators import extract, fulltext
 from claimlens.operators.containment import passage_containment
 from claimlens.plans import lifecycle, stage
 from claimlens.plans.config import RepairConfig
-from claimlens.sources import cache, custom, formats, payloads
+from claimlens.sources import cache, custom, formats, payloads, schema
 from claimlens.streaming import claims as stream
 
 MD = """---
@@ -137,8 +137,35 @@ def test_nested_claims(spark):
     docs = spark.createDataFrame([("a.json", json.dumps(NESTED)), ("b.yaml", "- {supporting_text: q, reference_id: 'P:1'}\n- {snippet: '', reference: x}\n"), ("c.yaml", "just text")], "file string, value string")
     got = sorted((r.file, r.path or "", r.supporting_text, r.reference_id, r.expected_title) for r in extract.nested_claims(docs).collect())
     assert got == [("a.json", "evidence[0]", "s1", "PMID:1", None), ("a.json", "members[0].has_evidence[0]", "s2", "PMID:2", "T"), ("b.yaml", "[0]", "q", "P:1", None), ("c.yaml", "", None, None, None)]
-    schema = {"Top": {"ranges": {"members": "Member"}}, "Member": {"ranges": {"has_evidence": "Evidence"}}, "Evidence": {"roles": {"excerpt": ["supporting_text"], "reference": ["reference"]}}}
-    assert [(r.path, r.supporting_text) for r in extract.nested_claims(docs.where("file = 'a.json'"), "Top", schema).collect()] == [("members[0].has_evidence[0].supporting_text", "s2")]
+    by_class = {"Top": {"ranges": {"members": "Member"}}, "Member": {"ranges": {"has_evidence": "Evidence"}}, "Evidence": {"roles": {"excerpt": ["supporting_text"], "reference": ["reference"]}}}
+    assert [(r.path, r.supporting_text) for r in extract.nested_claims(docs.where("file = 'a.json'"), "Top", by_class).collect()] == [("members[0].has_evidence[0].supporting_text", "s2")]
+
+
+def test_schemas_with_imports_and_mixins(spark, tmp_path):
+    (tmp_path / "base.yaml").write_text("""
+prefixes: {my: 'http://purl.org/dc/terms/', odd: {prefix_reference: 'http://odd/'}}
+imports: [main]
+slots:
+  quote: {implements: ['oa:exact']}
+  cited: {slot_uri: my:references}
+classes:
+  Quoted: {slots: [quote]}
+  Evidence: {mixins: [Quoted], slots: [cited, note], slot_usage: {note: {implements: dcterms:title}}}
+""")
+    (tmp_path / "main.yaml").write_text("""
+imports: [base, missing, linkml:types]
+slots:
+  note: {range: string}
+classes:
+  Strong: {is_a: Evidence, attributes: {title: {}}, slot_usage: {quote: {range: string}}}
+  Top: {attributes: {evidence: {range: Strong, multivalued: true}}}
+""")
+    got = schema.resolved(spark, tmp_path / "main.yaml")
+    assert got["Top"] == {"roles": {}, "ranges": {"evidence": "Strong"}}
+    assert got["Strong"]["roles"] == {"excerpt": ["quote"], "reference": ["cited"], "title": ["note", "title"]}
+    docs = spark.createDataFrame([("a.yaml", "evidence:\n- {quote: q, cited: 'P:1', note: T}\n")], "file string, value string")
+    claim = extract.nested_claims(docs, "Top", got).first()
+    assert (claim.path, claim.supporting_text, claim.reference_id, claim.expected_title) == ("evidence[0].quote", "q", "P:1", "T")
 
 
 def test_full_text_chain(spark):
