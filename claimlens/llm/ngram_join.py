@@ -367,12 +367,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     able = sigs.where(F.col("size") * (1 - threshold) >= threshold - 1e-9)
     groups = _groups(able, trees, longest, shortest, settled_recall, AGREE + (threshold - THRESHOLD))
     checked = cut(_verified(docs, sigs.select("node", "fp", "rows", "size"), groups, words, threshold))
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    judged = (
-        nodes.join(links, "node", "left")
-        .join(classes.withColumnRenamed("id", "node"), "node", "left")
-        .select("fp", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
-    )
+    found = checked.select("node", "links", F.lit(None).cast("long").alias("root")).unionByName(classes.select(F.col("id").alias("node"), F.lit(None).cast("long").alias("links"), "root"))
+    found = found.groupBy("node").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
+    judged = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     out = named.join(judged, "fp").select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.plans.stage import staged as cut
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, found by exact name and position, so that further columns whose
@@ -27,27 +27,6 @@ def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
     return df.toDF(*[f"_{i}" for i in range(len(have))]), lambda name: f"_{have.index(name)}"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors must share. A
-    local session may do without it, as all its threads see one machine's temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later jobs start there, a
-    lost executor costs no recomputation, and each of them reads only its columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut_rows(df: DataFrame) -> DataFrame:
     """cut() for tables whose columns may have any names, also ones that differ in case only."""
     return cut(numbered(df)[0]).toDF(*df.columns)
@@ -157,26 +136,57 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+#: Links that one task contracts at a time.
+CONTRACT = 1_000_000
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """links (u, v) with those of each part of a partition as stars: the same components, by
+    fewer links. Without a shuffle, and however the links are dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def stars() -> pa.RecordBatch:
+            ids, at = np.unique(np.concatenate(held), return_inverse=True)
+            at = at.reshape(-1, 2)
+            root = roots(at[:, 0], at[:, 1], len(ids))
+            tied = np.flatnonzero(root != np.arange(len(ids)))
+            return pa.RecordBatch.from_pydict({"u": ids[tied], "v": ids[root[tied]]})
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1))
+            if sum(map(len, held)) >= CONTRACT:
+                yield stars()
+                held.clear()
+        if held:
+            yield stars()
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def _at_rest(links: DataFrame) -> bool:
+    """Whether links (u, v) are stars: no u has two partners, or is one."""
+    sides = links.select(F.col("u").alias("x"), "v").unionByName(links.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("v")))
+    unrest = sides.groupBy("x").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_or(F.col("v").isNull()).alias("is_v"))
+    return unrest.where("lo <> hi or (lo is not null and is_v)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each node of edges (a, b), longs: root is the smallest connected id.
 
-    Alternating large and small stars (Kiveris et al., 2014). Minima come from partial
-    aggregation and go back by a join, so that a star of any size is split like any other
-    skewed join. Each round is written to the shared folder. No link, an empty table."""
-    # Stars are at rest when a round changes nothing; the size and sum of hashes of the links tell.
-    state = lambda links: tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = state(now)
-    while seen[0]:
+    Alternating large and small stars (Kiveris et al., 2014), after each partition's links have
+    been contracted. Minima come from partial aggregation and go back by a join, so that a star
+    of any size is split like any other skewed join. Each round is written to the shared
+    folder. No link, an empty table."""
+    now = cut(_contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    while not _at_rest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first: joined to a table instead of to an aggregate of its own stage, a hub's rows can be split.
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(small)
-        before, seen = seen, state(now)
-        if seen == before:
-            break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
+        now = cut(_contracted(small.distinct()))
+    return now.unionByName(now.select(F.col("v").alias("u"), "v")).distinct().select(F.col("u").alias("id"), F.col("v").alias("root"))

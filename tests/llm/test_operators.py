@@ -19,6 +19,7 @@ from claimlens.llm import mix_sources as mix
 from claimlens.llm import ngram_join as ngram
 from claimlens.llm import pii_bootstrap as pii
 from claimlens.llm import quality_classifier as quality
+from claimlens.llm import shared
 from claimlens.llm import token_histogram as tokens
 from claimlens.llm import url_filter as urls
 
@@ -147,6 +148,18 @@ def test_ngram_join_of_a_large_group(spark):
     assert got == classes(sets, linked) and len(linked) > 50_000 and got[1001] == (1, 1000) and got[1002][0] == 0
 
 
+def test_components_equal_union_find(spark, monkeypatch):
+    rng = random.Random(21)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(150)] + [(5, 5)]
+    rng.shuffle(edges)
+    want = {i: root for i, (_, root) in classes({x for e in edges for x in e}, edges).items()}
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    for size in (7, 10**6):
+        monkeypatch.setattr("claimlens.llm.shared.CONTRACT", size)
+        got = shared.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+        assert {r.id: r.root for r in got} == {i: r for i, r in want.items() if i not in alone} and len(got) == len(want) - len(alone)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram.ngram_join(docs(spark, [])).count() == 0
 
@@ -610,7 +623,9 @@ def test_scores_equal_plain_compression(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     model = quality.fit(d, spark.read.parquet(f"{DATA}/labels.parquet"))
     rows = [*map(tuple, d.select("doc_id", "text").limit(40).collect()), (10**6, "Very long text. " * 10_000), (10**6 + 1, "other"), (10**6 + 2, "")]
+    twice = [r.score for r in quality.score(docs(spark, [(7, rows[0][1]), (7, rows[1][1])]), model).orderBy("score").collect()]
     got = {r.doc_id: r.score for r in quality.score(docs(spark, rows), model).collect()}
+    assert twice == sorted([got[rows[0][0]], got[rows[1][0]]])
 
     def compressor(dictionary):
         return zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
