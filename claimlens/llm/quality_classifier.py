@@ -6,7 +6,8 @@ text's shape, in which runs of letters and digits are one character each: it tel
 apart whatever the words are. Lines that occur in both classes teach neither dictionary. The
 two differences of compressed sizes per byte (good text is shorter with the good dictionary)
 become a probability by a logistic curve, fitted to rows that its dictionaries haven't seen.
-Nothing else enters the score.
+Texts under EVIDENCE bytes, of which no dictionary saves any, have a prior of their own: the
+curve's offset is another one for them. Nothing else enters the score.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ SAMPLE_CHARS = 4096
 CROSS = 3
 DICTIONARY_BYTES = 65536
 SPAN = 256
-#: Inverse variances of the prior on the standardised differences and on the offset.
-PRIOR = (1e-2, 1e-2, 1e-3)
+#: Bytes below which a text holds no evidence for compression.
+EVIDENCE = 32
+#: Inverse variances of the prior on the standardised differences, on the offset of texts without evidence and on the offset.
+PRIOR = (1e-2, 1e-2, 1 / 9, 1e-3)
 LEVEL = 3
 FOLDS = 5
 REJECT_BELOW = 0.3
@@ -66,7 +69,7 @@ class QualityModel:
     text of both classes there are none, and the score is constant."""
 
     pairs: tuple[Pair, Pair] | None
-    weights: tuple[float, ...]  # of the two differences, and the offset
+    weights: tuple[float, ...]  # of the two differences, and the offsets without evidence and in general
 
     def scorer(self):
         compress = _compressors(self.pairs) if self.pairs else None
@@ -104,8 +107,8 @@ def difference(text: str, good, bad) -> float:
 
 
 def features(texts: list[str | None], compress: list[tuple]) -> np.ndarray:
-    """Per text: the difference, and that of its shape."""
-    return np.array([[difference(t, *compress[0]), difference(shape(t), *compress[1])] for t in (x or "" for x in texts)]).reshape(len(texts), 2)
+    """Per text: the difference, that of its shape, and whether it is too short for either."""
+    return np.array([[difference(t, *compress[0]), difference(shape(t), *compress[1]), len(_raw(t)) < EVIDENCE] for t in (x or "" for x in texts)], dtype=float).reshape(len(texts), 3)
 
 
 def _dictionary(texts: list[str], shared: set[str]) -> bytes:
@@ -130,7 +133,7 @@ def _dictionaries(rows: list) -> tuple[Pair, Pair] | None:
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Weights and offset by Newton steps on the log loss. Priors keep them finite."""
-    scale = x.std(axis=0)
+    scale = np.r_[x[:, :2].std(axis=0), 1.0]
     scale[scale == 0] = 1
     design = np.c_[x / scale, np.ones(len(x))]
     w, prior = np.zeros(design.shape[1]), np.array(PRIOR)
@@ -171,11 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     rates = [max(1.0, total.get(q, 0) / sample_rows) for q in (0, 1)]
     shift = math.log(rates[1] / rates[0])
     share = (y.sum() + 1) / (len(y) + 2)
-    constant = QualityModel(None, (0.0, 0.0, math.log(share / (1 - share)) + shift))
+    constant = QualityModel(None, (0.0, 0.0, 0.0, math.log(share / (1 - share)) + shift))
     pairs = _dictionaries(rows)
     if pairs is None:
         return constant
-    x, unseen = np.empty((len(rows), 2)), np.zeros(len(rows), dtype=bool)
+    x, unseen = np.empty((len(rows), 3)), np.zeros(len(rows), dtype=bool)
     for k in range(CROSS):
         others = _dictionaries([r for n, r in enumerate(rows) if n % CROSS != k])
         if others is not None and rows[k::CROSS]:

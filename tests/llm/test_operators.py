@@ -633,7 +633,7 @@ def test_scores_equal_plain_compression(spark):
     pairs = [[compressor(x) for x in pair] for pair in model.pairs]
 
     def plain(text):
-        logit = model.weights[2]
+        logit = model.weights[3] + model.weights[2] * (len(text.encode()) < quality.EVIDENCE)
         for t, (good, bad), weight in zip((text, quality.shape(text)), pairs, model.weights, strict=False):
             raw = t.encode()
             pieces = [raw[k : k + 256] for k in range(0, len(raw), 256)]
