@@ -176,7 +176,7 @@ def _leaves(sigs: DataFrame, shortest: int) -> DataFrame:
     """The sorted leaves (tree, path, node) that share a shortest prefix with another node."""
     leaves = sigs.select("node", F.posexplode("paths").alias("tree", "path"))
     tops = leaves.groupBy(_prefix(shortest).alias("top")).agg(F.count("*").alias("members"))
-    shared = cut(tops.where("members > 1").select("top"))
+    shared = fits_broadcast(cut(tops.where("members > 1").select("top")))
     return leaves.withColumn("top", _prefix(shortest)).join(shared, "top").drop("top").sortWithinPartitions("tree", "path")
 
 
@@ -189,7 +189,7 @@ def _ties(live: DataFrame, sigs: DataFrame, depth: int, agree: float) -> DataFra
     low = sigs.select("node", "paths")
     at = live.select(_prefix(depth).alias("bucket"), "node", "root")
     crowd = cut(at.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "members", "first"))
-    rows = cut(at.select("bucket", "node").join(crowd, "bucket"))
+    rows = cut(at.select("bucket", "node").join(fits_broadcast(crowd), "bucket"))
     large = F.col("members") > SIGNATURE_BLOCK
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
