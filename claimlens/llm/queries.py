@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from claimlens.llm import bpe_codec
 from claimlens.llm.chat_windows import chat_windows, read_back
 from claimlens.llm.decontaminate import benchmark_hits
 from claimlens.llm.embedding_neardup import embedding_neardup
+from claimlens.llm.hard_negatives import hard_negatives
 from claimlens.llm.html_lines import html_lines
 from claimlens.llm.mix_sources import mix_sources
 from claimlens.llm.ngram_join import ngram_join
 from claimlens.llm.pii_bootstrap import pii_spans
 from claimlens.llm.quality_classifier import quality_classifier
+from claimlens.llm.token_alignment import align_tokens
 from claimlens.llm.token_histogram import token_histogram
 from claimlens.llm.url_filter import rule_table, url_filter
 
@@ -63,7 +67,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_bootstrap, op3_embedding_neardup, op4_chat_windows, op5_html_lines, op6_decontaminate, op7_token_histogram, op8_quality_classifier, op9_url_filter, op10_mix_sources)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = F.when(F.expr("vec_id % 7 = 0"), (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", labelled))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(_table(spark, sf_dir, "documents"))
+    return aligned.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_bootstrap, op3_embedding_neardup, op4_chat_windows, op5_html_lines, op6_decontaminate, op7_token_histogram, op8_quality_classifier, op9_url_filter, op10_mix_sources, op11_hard_negatives, op12_token_alignment, op13_bpe_codec)}
 
 _OP1 = """
 with recursive words as (
@@ -182,4 +201,23 @@ placed as (
 select doc_id, size, source_size, target, copies * size as taken, copies from (
   select *, (case when n > 0 then floor(rate) + case when rate > floor(rate) and middle <= (rate - floor(rate)) * n then 1 else 0 end else 0 end)::bigint as copies from placed)
 """
-ORACLE: dict[str, str] = {"op1_ngram_join": _OP1, "op3_embedding_neardup": _OP3, "op4_chat_windows": _OP4, "op9_url_filter": _OP9, "op10_mix_sources": _OP10}
+_OP11 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, (row_number() over w)::int as rank, id as negative_id, positive_score, score as negative_score
+from positives p join scored s on p.anchor_id = s.anchor_id and not same
+  and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, id)
+qualify row_number() over w <= 10
+"""
+ORACLE: dict[str, str] = {"op1_ngram_join": _OP1, "op3_embedding_neardup": _OP3, "op4_chat_windows": _OP4, "op9_url_filter": _OP9, "op10_mix_sources": _OP10, "op11_hard_negatives": _OP11}
