@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of a block of texts; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 6 << 20
 
 
 class Numbers(dict):

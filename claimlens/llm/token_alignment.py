@@ -41,7 +41,7 @@ MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters encoded in one call.
 CALL_CHARS = 1 << 17
 #: Counted pairs of a task that are summed up at a time, and rows of a shard at which another is added.
-HELD_PAIRS = 1 << 22
+HELD_PAIRS = 1 << 20
 SHARD_ROWS = 1 << 22
 #: Where a text may be cut: before a space, after what no tokenizer takes for white space.
 _CUT = re.compile(r"(?<=[!-~\w])(?= )")
