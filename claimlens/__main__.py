@@ -17,7 +17,7 @@ from claimlens.operators.report import format_report
 from claimlens.operators.validate import validate
 from claimlens.plans import lifecycle
 from claimlens.plans.config import load_config
-from claimlens.sources import cache
+from claimlens.sources import cache, schema
 
 ONE = "claim_id long, supporting_text string, reference_id string, expected_title string, path string"
 
@@ -41,6 +41,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         p.add_argument("path")
         p.add_argument("--apply", action="store_true")
         p.add_argument("--verbose", action="store_true")
+        if name == "validate-data":
+            p.add_argument("--schema", help="a schema file; claims are found by it instead of by names")
+            p.add_argument("--target-class", help="the class of the files' instances; if missing, the only one with the schema's tree_root")
     p = sub.add_parser("lookup")
     p.add_argument("reference_ids", nargs="+")
     p.add_argument("--format", default="md", choices=("md", "json", "yaml", "text"))
@@ -78,7 +81,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             errors += r.severity == "ERROR"
         return 1 if errors else 0
     if args.command == "validate-data":
-        made = lifecycle.validate_data(spark, args.path, refs, config)
+        classes, target = None, args.target_class
+        if args.schema:
+            classes, target = schema.resolved(spark, args.schema), target or schema.root_class(args.schema)
+        if target and (classes is None or target not in classes):
+            parser.error(f"the schema has no class {target}" if classes is not None else "--target-class needs --schema")
+        if classes is not None and target is None:
+            parser.error("the schema names no tree_root; give --target-class")
+        made = lifecycle.validate_data(spark, args.path, refs, config, target, classes)
         n = 0
         for r in made["findings"].toLocalIterator():
             print(f"[{r.severity}] {r.path}: {r.message}")

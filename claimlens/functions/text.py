@@ -36,6 +36,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize_text(text: Column) -> Column:
     """Greek letters by name, lower case, each run of other than letters, numbers and _ one space, trimmed."""
     # One pass over the pieces between Greek letters, however many kinds of them there are.
@@ -111,7 +116,8 @@ def contains_all(content_norm: Column, parts: Column) -> Column:
 
 
 def first_missing(content_norm: Column, parts: Column) -> Column:
-    return F.element_at(F.filter(parts, lambda p: ~F.contains(content_norm, normalize_text(p))), 1)
+    """The first part that normalised content lacks; null if it has them all."""
+    return F.get(F.filter(parts, lambda p: ~F.contains(content_norm, normalize_text(p))), F.lit(0))
 
 
 def confidence(score: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -67,9 +67,21 @@ def walk_names(node, path: str = "") -> Iterator[tuple[str, str, str, str | None
             yield from walk_names(child, f"{path}[{k}]")
 
 
-def walk_schema(node, class_name: str, schema: Mapping, path: str = "") -> Iterator[tuple[str, str, str, str | None]]:
-    """As walk_names(), by schema: classes have `roles` (role to slot names) and `ranges`
-    (slot to class); other keys aren't entered."""
+def _slot_values(node: Mapping, slots: Sequence[str]) -> Iterator[tuple[str, object]]:
+    """The named slots that have something, in order; of lists, their items."""
+    for slot in slots:
+        for value in node[slot] if isinstance(node.get(slot), list) else [node.get(slot)]:
+            if value:
+                yield slot, value
+
+
+def walk_schema(node, class_name: str, schema: Mapping, path: str = "") -> Iterator[tuple[str, str | None, str, str | None, str]]:
+    """(path, text, reference id, title, kind) by schema: classes have `roles` (role to slot
+    names) and `ranges` (slot to class); other keys aren't entered.
+
+    Each quote of an instance is a claim, with the first reference that names an id; its title
+    is that of the first title slot with one, else the reference's own. An instance without
+    quotes whose first reference names an id claims that title alone (kind 'title')."""
     here = schema.get(class_name)
     if isinstance(node, list):
         for k, child in enumerate(node):
@@ -78,15 +90,15 @@ def walk_schema(node, class_name: str, schema: Mapping, path: str = "") -> Itera
     if here is None or not isinstance(node, dict):
         return
     roles = here.get("roles", {})
-    refs = [node[s] for s in roles.get("reference", ()) if node.get(s)]
-    flat = [r for v in refs for r in (v if isinstance(v, list) else [v])]
-    ref = next((r for r in flat if _reference_id(r)), None)
-    title = _title(ref) or next((node[s] for s in roles.get("title", ()) if isinstance(node.get(s), str)), None)
-    for slot in roles.get("excerpt", ()):
-        values = node.get(slot)
-        for text in values if isinstance(values, list) else [values]:
-            if isinstance(text, str) and text and ref is not None:
-                yield _join(path, slot), text, _reference_id(ref), title
+    refs = [r for _, r in _slot_values(node, roles.get("reference", ()))]
+    ref = next((r for r in refs if _reference_id(r)), None)
+    titled = next(((slot, t) for slot, t in _slot_values(node, roles.get("title", ())) if isinstance(t, str)), None)
+    quotes = [(slot, text) for slot, text in _slot_values(node, roles.get("excerpt", ())) if isinstance(text, str)]
+    if ref is not None and quotes:
+        for slot, text in quotes:
+            yield _join(path, slot), text, _reference_id(ref), titled[1] if titled else _title(ref), "excerpt"
+    elif titled and refs and _reference_id(refs[0]):
+        yield _join(path, titled[0]), None, _reference_id(refs[0]), titled[1], "title"
     for slot, target in here.get("ranges", {}).items():
         if isinstance(node.get(slot), (dict, list)):
             yield from walk_schema(node[slot], target, schema, _join(path, slot))
@@ -104,8 +116,11 @@ def load_instances(text: str, file: str) -> list | None:
 
 
 def nested_claims(documents: DataFrame, target_class: str | None = None, schema: Mapping | None = None) -> DataFrame:
-    """Claims of documents (file, value: YAML or JSON text); see CLAIMS. By schema if a
-    target class is given, else by names. An unreadable document has one row with a null path."""
+    """Claims of documents (file, value: YAML or JSON text); see CLAIMS. By schema if a target
+    class is given, and then with their `kind` (excerpt or title), else by names. An unreadable
+    document has one row with a null path."""
+    schema_of_rows = CLAIMS + (", kind string" if target_class else "")
+    names = [c.split()[0] for c in schema_of_rows.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,16 +128,16 @@ def nested_claims(documents: DataFrame, target_class: str | None = None, schema:
             for file, value in zip(batch["file"], batch["value"], strict=True):
                 data = load_instances(value or "", file)
                 if data is None:
-                    rows.append((file, None, None, None, None))
+                    rows.append((file, *[None] * (len(names) - 1)))
                     continue
                 many = len(data) > 1
                 for k, instance in enumerate(data):
                     start = f"[{k}]" if many else ""
                     found = walk_schema(instance, target_class, schema or {}, start) if target_class else walk_names(instance, start)
-                    rows += [(file, path, text, rid, title) for path, text, rid, title in found]
-            yield pd.DataFrame(rows, columns=["file", "path", "supporting_text", "reference_id", "expected_title"], dtype=object)
+                    rows += [(file, *claim) for claim in found]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return documents.select("file", "value").mapInPandas(run, CLAIMS)
+    return documents.select("file", "value").mapInPandas(run, schema_of_rows)
 
 
 def evidence_rows(df: DataFrame, items: str) -> DataFrame:

@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.functions import jsonpath
+from claimlens.functions import jsonpath, text
 
 #: Content types that leave room for a full text (fixed values).
 LACKING = ("abstract_only", "unavailable", "summary", "no_pmc", "pmc_restricted")
 PROVIDERS = ("pmc", "epmc_preprint", "unpaywall", "openalex")
 MIN_TEXT = 500
+#: What PMC's own answers must exceed, untrimmed, to be offered at all.
 MIN_PMC_TEXT = 1000
 
 
@@ -33,8 +34,7 @@ def first_usable(candidates: DataFrame, providers: Sequence[str] = PROVIDERS) ->
     """Per reference_id: the candidate of the first provider in order whose stripped text is
     long enough, and whether any failed. One aggregation with partial sums, no sort."""
     rank = F.array_position(F.array(*[F.lit(p) for p in providers]), F.col("provider"))
-    floor = F.when(F.col("provider") == "pmc", MIN_PMC_TEXT).otherwise(MIN_TEXT)
-    usable = ~F.coalesce(F.col("error"), F.lit(False)) & (F.length(F.trim(F.col("text"))) >= floor)
+    usable = ~F.coalesce(F.col("error"), F.lit(False)) & (F.length(text.strip(F.col("text"))) >= MIN_TEXT)
     c = candidates.withColumn("rank", rank).where("rank > 0")
     return c.groupBy("reference_id").agg(
         F.min_by(F.struct("provider", "text", "url", "format", "license", "oa_status"), F.when(usable, F.col("rank"))).alias("best"),
@@ -142,13 +142,21 @@ def declared_candidates(payloads: DataFrame, providers: Mapping[str, Mapping]) -
 
 
 def acquire(candidates: DataFrame, files: DataFrame, max_bytes: int = 50 * 1024 * 1024) -> DataFrame:
-    """candidates with the text of landed files (url, content: binary, content_type); what
-    is missing, too large or unreadable is an error."""
+    """candidates with the text of landed files (url, content: binary, content_type, and
+    perhaps status: the answer's code, or null).
+
+    An error, to be tried again, is a URL of which nothing has landed, bytes of a known format
+    that can't be read, or a candidate that was one and still has no text. Definitive, and no error, are answers other than 200, files over
+    max_bytes, unknown formats and candidates without a URL: they just have no text."""
     from claimlens.sources.formats import extracted_text, resolve_format
 
-    held = files.where(F.length("content") <= max_bytes).select(F.col("url").alias("_url"), F.col("content").alias("_bytes"), F.col("content_type").alias("_type"))
+    status = F.col("status") if "status" in files.columns else F.lit(None).cast("int")
+    usable = (F.coalesce(status, F.lit(200)) == 200) & (F.length("content") <= max_bytes)
+    held = files.select(F.col("url").alias("_url"), F.when(usable, F.col("content")).alias("_bytes"), F.col("content_type").alias("_type"), F.lit(True).alias("_landed"))
     j = candidates.join(held, F.col("url") == F.col("_url"), "left")
     kind = resolve_format(F.col("_bytes"), F.col("_type"), F.col("url"), F.col("format"))
-    text = F.when(F.col("text").isNotNull(), F.col("text")).otherwise(extracted_text(F.col("_bytes"), kind, F.col("_type")))
-    out = j.withColumn("_text", text)
-    return out.select("reference_id", "provider", F.col("_text").alias("text"), "url", kind.alias("format"), "license", "oa_status", F.col("_text").isNull().alias("error"))
+    out = j.withColumn("_kind", kind).withColumn("_text", F.when(F.col("text").isNotNull(), F.col("text")).when(F.col("_kind").isNotNull(), extracted_text(F.col("_bytes"), F.col("_kind"), F.col("_type"))))
+    missed = F.col("url").isNotNull() & F.col("_landed").isNull()
+    unread = F.col("_bytes").isNotNull() & F.coalesce(F.col("_kind").isin("pdf", "html", "xml", "text"), F.lit(False)) & F.col("_text").isNull()
+    error = F.col("_text").isNull() & (F.coalesce(F.col("error"), F.lit(False)) | missed | unread)
+    return out.select("reference_id", "provider", F.col("_text").alias("text"), "url", F.col("_kind").alias("format"), "license", "oa_status", error.alias("error"))

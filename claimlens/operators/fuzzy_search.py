@@ -2,24 +2,25 @@
 
 Only documents that queries name are read. They are cut into sentences once each and meet
 their queries by key. Sentences that share no significant word with a query can't score and
-are dropped before the costly ratio. That runs over the rest in Arrow batches, where the
-sentences of a query stand together: as a score is at most twice the overlap, and a ratio that
-can't reach the best so far is given up early, few are computed to the end. The best is one
-aggregate per query of what the batches found, so a document that many queries name is split
-like any skewed join, and no task holds a whole group.
+are dropped before the costly ratio. That runs over the rest in Arrow batches, all pairs of a
+batch at once: first those with enough common words, then those of the others that may still
+beat the best of their query in the batch, as a score is at most twice the overlap. The best
+is one aggregate per query of what the batches found, so a document that many queries name is
+split like any skewed join, and no task holds a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from claimlens.functions import text
-from claimlens.functions.fuzzy import partial_ratio
+from claimlens.functions.fuzzy import partial_ratios
 from claimlens.plans.stage import staged
 
 MIN_WORDS = 5
@@ -27,52 +28,26 @@ MIN_OVERLAP = 50.0
 EXCELLENT = 95.0
 
 
-def _best_of(asked: str, found: list[tuple[int, float, str, int]], best: tuple[float, int], min_overlap: float) -> tuple[list[tuple[int, float]], tuple[float, int]]:
-    """(row, ratio) of the sentences (pos, overlap, text, row) that may be the best of a query,
-    and the (effective score, -pos) of its best so far: the first that is excellent, else the
-    one that beats what is known."""
-    top = None
-    for pos, overlap, sentence, row in sorted(f for f in found if f[1] >= min_overlap):
-        ratio = partial_ratio(asked, sentence, min(EXCELLENT, best[0]))
-        if ratio >= EXCELLENT:
-            return [(row, ratio)], best
-        if (ratio, -pos) > best:
-            best, top = (ratio, -pos), (row, ratio)
-    for pos, overlap, sentence, row in sorted((f for f in found if f[1] < min_overlap), key=lambda f: (-f[1], f[0])):
-        share = overlap / min_overlap
-        if 100.0 * share < best[0]:
-            break
-        ratio = partial_ratio(asked, sentence, min(100.0, best[0] / share) - 1e-6)
-        if (ratio * overlap / min_overlap, -pos) > best:
-            best, top = (ratio * overlap / min_overlap, -pos), (row, ratio)
-    return [top] if top else [], best
-
-
 def _scored(met: DataFrame, key: str, min_overlap: float) -> DataFrame:
     """Rows of (key, q_norm, pos, sentence, s_norm, overlap) that may decide, with their ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, best = None, (0.0, 0)
         for batch in batches:
-            column = lambda name: batch.column(batch.schema.names.index(name)).to_pylist()  # noqa: B023, E731
-            keys, asked, rest = column(key), column("q_norm"), list(zip(column("pos"), column("overlap"), column("s_norm"), range(batch.num_rows), strict=True))
-            rows: list[tuple[int, float]] = []
-            at = 0
-            while at < len(keys):
-                end = at
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != last:
-                    last, best = keys[at], (0.0, 0)
-                more, best = _best_of(asked[at], rest[at:end], best, min_overlap)
-                rows += more
-                at = end
-            if rows:
-                kept = batch.take(pa.array([r[0] for r in rows]))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([r[1] for r in rows])], names=[*batch.schema.names, "ratio"])
+            column = lambda name: batch.column(batch.schema.names.index(name))  # noqa: B023, E731
+            asked, sentences, overlap = column("q_norm").to_numpy(False), column("s_norm").to_numpy(False), column("overlap").to_numpy()
+            _, query = np.unique(column("_query").to_numpy(), return_inverse=True)
+            score = np.zeros(len(overlap))
+            best = np.zeros(query.max(initial=-1) + 1)
+            enough = np.flatnonzero(overlap >= min_overlap)
+            score[enough] = partial_ratios(asked[enough], sentences[enough])
+            np.maximum.at(best, query[enough], score[enough])
+            rest = np.flatnonzero((overlap < min_overlap) & (100.0 * overlap / min_overlap >= best[query]))
+            score[rest] = partial_ratios(asked[rest], sentences[rest])
+            kept = pa.array(np.sort(np.concatenate([enough, rest])))
+            yield pa.RecordBatch.from_arrays([*batch.take(kept).columns[:-1], pa.array(score).take(kept)], names=[*batch.schema.names[:-1], "ratio"])
 
     found = met.select(key, "q_norm", "pos", "sentence", "s_norm", "overlap")
-    return found.mapInArrow(run, StructType([*found.schema.fields, StructField("ratio", DoubleType())]))
+    return found.withColumn("_query", F.xxhash64(key)).mapInArrow(run, StructType([*found.schema.fields, StructField("ratio", DoubleType())]))
 
 
 def fuzzy_search(queries: DataFrame, contents: DataFrame, threshold: float = 85.0, max_chars: int | None = None, min_overlap: float = MIN_OVERLAP, key: str = "claim_id") -> DataFrame:

@@ -48,11 +48,12 @@ def ellipsis_insertion(queries: DataFrame, contents: DataFrame, key: str = "clai
     flat = contents.select("ref_key", text.normalize_whitespace(F.col("content")).alias("t_norm"))
     q = queries.where(~F.contains("query", F.lit("..."))).select(key, "query", "ref_key", text.split_fragments(F.col("query")).alias("fragments")).where(F.size("fragments") >= 2)
     q = q.join(flat, "ref_key").where(~F.contains("t_norm", text.normalize_whitespace(F.col("query"))))
-    parts = q.select(key, "ref_key", "t_norm", F.size("fragments").alias("n"), F.posexplode("fragments").alias("ord", "fragment"))
-    parts = parts.withColumn("f_norm", text.normalize_whitespace(F.col("fragment"))).withColumn("at", F.position(F.col("f_norm"), F.col("t_norm")))
-    placed = parts.select(key, "ref_key", "ord", "fragment", "n", F.col("at").alias("pos"), F.length("f_norm").alias("long"), "t_norm")
+    # Each fragment is looked for beside the text; the text itself isn't repeated for them.
+    at = F.transform("fragments", lambda f: F.struct(f.alias("fragment"), F.position(text.normalize_whitespace(f), F.col("t_norm")).alias("pos"), F.length(text.normalize_whitespace(f)).alias("long")))
+    parts = q.select(key, "ref_key", F.size("fragments").alias("n"), at.alias("f")).select(key, "ref_key", "n", F.posexplode("f").alias("ord", "f"))
+    placed = parts.select(key, "ref_key", "ord", "f.fragment", "n", "f.pos", "f.long")
     if fuzzy:
-        placed = staged(placed.select(key, "ref_key", "ord", "fragment", "n", "pos", "long"))
+        placed = staged(placed)
         lost = placed.where("pos = 0").select(F.struct(key, "ord").alias("part"), F.col("fragment").alias("query"), "ref_key")
         met = fuzzy_search(lost, contents, FRAGMENT_THRESHOLD, key="part").where("found").select(F.col(f"part.{key}").alias(key), F.col("part.ord").alias("ord"), text.normalize_whitespace(F.col("best_match")).alias("m_norm"))
         stand_in = placed.where("pos = 0").select(key, "ord", "ref_key").join(met, [key, "ord"]).join(flat, "ref_key").select(key, "ord", F.position("m_norm", "t_norm").alias("m_pos"), F.length("m_norm").alias("m_long"))
@@ -65,8 +66,8 @@ def ellipsis_insertion(queries: DataFrame, contents: DataFrame, key: str = "clai
 
 
 def attempt_repair(queries: DataFrame, contents: DataFrame, config: RepairConfig | None = None, literal_brackets: tuple[str, ...] = ()) -> DataFrame:
-    """One row per failed quote of (claim_id, query, reference_id, ref_key): claim_id,
-    is_repaired, repaired_text, actions, message. contents: ref_key, content (null: unverifiable)."""
+    """One row per failed quote of (claim_id, query, reference_id, ref_key), claim_ids being
+    unique: claim_id, is_repaired, repaired_text, actions, message. contents: ref_key, content (null: unverifiable)."""
     config = config or RepairConfig()
     contents = contents.select("ref_key", "content")
     known = contents.where("content is not null").select("ref_key", text.normalize_text(F.col("content")).alias("content_norm"))
@@ -114,18 +115,19 @@ def attempt_repair(queries: DataFrame, contents: DataFrame, config: RepairConfig
 
 def repair(claims: DataFrame, refs: DataFrame, config: RepairConfig | None = None, validation: ValidationConfig | None = None) -> DataFrame:
     """One row per claim: claim_id, reference_id, original_text, was_valid, is_repaired,
-    repaired_text, actions, message, path. Valid and skipped claims have no actions."""
+    repaired_text, actions, message, path. Valid and skipped claims have no actions. Claims are
+    rows: where a claim_id repeats, so do its results."""
     config, validation = config or RepairConfig(), validation or ValidationConfig()
     rid = F.col("reference_id")
     listed = rid.isin(*config.skip_references) if config.skip_references else F.lit(False)
     checked = validate(claims, refs, validation, suggest=False).select("claim_id", "is_valid", "reference_id", "supporting_text", "path").withColumn("listed", F.coalesce(listed, F.lit(False)))
-    checked = staged(checked)
+    checked = staged(checked.withColumn("_row", F.monotonically_increasing_id()))
     key = ids.normalize_reference_id(rid, validation.reference_prefix_map)
-    failed = checked.where("not is_valid and not listed").select("claim_id", F.col("supporting_text").alias("query"), "reference_id", F.coalesce(key, F.lit("")).alias("ref_key"))
+    failed = checked.where("not is_valid and not listed").select(F.col("_row").alias("claim_id"), F.col("supporting_text").alias("query"), "reference_id", F.coalesce(key, F.lit("")).alias("ref_key"))
     # What failures name is far less than the store, and is read several times.
     contents = staged(refs.select(key.alias("ref_key"), "content").join(failed.select("ref_key").distinct(), "ref_key", "left_semi"))
     tried = attempt_repair(failed, contents, config, validation.literal_bracket_patterns)
-    j = checked.join(tried, "claim_id", "left")
+    j = checked.join(tried.withColumnRenamed("claim_id", "_row"), "_row", "left")
     message = F.when(F.col("listed"), F.concat(F.lit("Skipped - reference "), rid, F.lit(" is in skip list"))).when(F.col("is_valid"), "Already valid").otherwise(F.col("message"))
     actions = F.coalesce("actions", F.array().cast(f"array<{ACTION}>"))
     if config.trusted_low_similarity:

@@ -14,13 +14,20 @@ from claimlens.functions import ids
 from claimlens.operators import extract
 from claimlens.operators.repair import repair
 from claimlens.operators.report import files_report, repair_report, validation_report
-from claimlens.operators.validate import failures, validate
+from claimlens.operators.validate import failures, validate, validate_typed
 from claimlens.plans.config import RepairConfig, ValidationConfig
+from claimlens.plans.stage import staged
 
 
 def with_ids(claims: DataFrame) -> DataFrame:
-    """Claims with a claim_id from what they are, so that a retried task gives the same one."""
-    return claims.select("*", F.xxhash64(*[F.col(c) for c in ("file", "path", "supporting_text", "reference_id")]).alias("claim_id"))
+    """Claims with a claim_id from what they are, so that a retried task gives the same one.
+    Where a file says the same twice in one place, two claims share an id."""
+    return claims.select("*", F.xxhash64(*[F.col(c) for c in ("file", "path", "supporting_text", "reference_id", "expected_title")]).alias("claim_id"))
+
+
+def _files_of(claims: DataFrame) -> DataFrame:
+    """(claim_id, file), each claim_id once: it tells the file."""
+    return claims.select("claim_id", "file").dropDuplicates(["claim_id"])
 
 
 def claims_of(spark: SparkSession, path: str, target_class: str | None = None, schema: Mapping | None = None) -> DataFrame:
@@ -30,13 +37,15 @@ def claims_of(spark: SparkSession, path: str, target_class: str | None = None, s
 
 
 def validate_data(spark: SparkSession, path: str, refs: DataFrame, config: ValidationConfig | None = None, target_class: str | None = None, schema: Mapping | None = None) -> dict[str, DataFrame]:
-    """results, findings (failures only), files (findings per file) and report of data files."""
+    """results, findings (failures only), files (findings per file) and report of data files.
+    By schema, instances that have a title and a reference but no quote have their title validated."""
     claims = claims_of(spark, path, target_class, schema)
     readable = claims.where("path is not null")
-    results = validate(readable, refs, config)
-    found = failures(results.join(readable.select("claim_id", "file"), "claim_id")).withColumn("file", F.lit(None).cast("string"))
-    per_file = files_report(results.where("not is_valid").join(readable.select("claim_id", "file"), "claim_id"), claims)
-    return {"results": results, "findings": found.drop("file"), "files": per_file, "report": validation_report(results), "unreadable": claims.where("path is null").select("file")}
+    results = validate_typed(readable, refs, config) if target_class else validate(readable, refs, config)
+    results = staged(results)  # four tables are made of them
+    found = failures(results)
+    per_file = files_report(results.where("not is_valid").join(_files_of(readable), "claim_id"), claims)
+    return {"results": results, "findings": found, "files": per_file, "report": validation_report(results), "unreadable": claims.where("path is null").select("file")}
 
 
 def validate_text_file(spark: SparkSession, path: str, refs: DataFrame, config: ValidationConfig | None = None) -> DataFrame:
@@ -106,7 +115,7 @@ def automatic_fixes(results: DataFrame, claims: DataFrame, threshold: float | No
     with a threshold, of at least that score."""
     good = lambda a: a["can_auto_fix"] & (a["similarity_score"] >= threshold if threshold is not None else F.lit(True))
     fixed = results.where(F.col("is_repaired") & F.exists("actions", good)).select("claim_id", "repaired_text")
-    return fixed.join(claims.select("claim_id", "file", "path"), "claim_id").select("file", "path", "repaired_text")
+    return fixed.dropDuplicates(["claim_id"]).join(claims.select("claim_id", "file", "path").dropDuplicates(["claim_id"]), "claim_id").select("file", "path", "repaired_text")
 
 
 def repair_data(spark: SparkSession, path: str, refs: DataFrame, config: RepairConfig | None = None, validation: ValidationConfig | None = None) -> dict[str, DataFrame]:

@@ -161,6 +161,26 @@ def validate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(validate(d.claims(spark, sf_dir), d.references(spark, sf_dir), suggest=False))
 
 
+@query(f"{_VALIDATED} union all select * from results where claim_id % 5 = 0")
+def repeated_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose id and all else repeat, with suggestions: a result for each row, no more."""
+    c = d.claims(spark, sf_dir)
+    return _flat(validate(c.unionByName(c.where("claim_id % 5 = 0")), d.references(spark, sf_dir)))
+
+
+@query(
+    f"""with {_validation_sql("ERROR", None)}, one(ref) as (select 'DOC:' || min(doc_id) from documents where doc_id % 11 <> 5),
+t as (select content_norm from norms, one where ref_key = ref),
+parted as (select claim_id, list_transform(parts, lambda p: {d.sql_norm("p")}) as parts from k)
+select claim_id, len(parts) > 0 and len(list_filter(parts, lambda p: not contains(content_norm, p))) = 0 as is_valid from parted, t"""
+)
+def quotes_of_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All quotes held against one document: their parts are searched in one pass over its text."""
+    one = d.table(spark, sf_dir, "documents").where("doc_id % 11 <> 5").agg(F.min("doc_id")).first()[0]
+    c = d.claims(spark, sf_dir).withColumns({"reference_id": F.lit(f"DOC:{one}"), "expected_title": F.lit(None).cast("string")})
+    return validate(c, d.references(spark, sf_dir), suggest=False, many=16).select("claim_id", "is_valid")
+
+
 @query(f"{_SKIPPED} select claim_id, is_valid, severity, message from results")
 def skip_and_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(d.claims(spark, sf_dir), d.references(spark, sf_dir), SKIPPING, suggest=False).select("claim_id", "is_valid", "severity", "message")
@@ -288,13 +308,45 @@ _SLOTS = (
 )
 
 
-@query("with t(class, role, names) as (values ('c', 'excerpt', 'quote,supporting_text'), ('c', 'reference', 'cited,seen'), ('d', 'title', 'name,exact,title'), ('d', 'excerpt', 'exact,reference'), ('d', 'reference', 'reference,reference_id'), ('e', 'excerpt', 'reference_id,supporting_text'), ('e', 'title', 'supporting_text'), ('e', 'reference', 'reference,reference_id')) select * from t")
+@query(
+    """with t(kind, role, names) as (values ('c', 'excerpt', 'quote,supporting_text'), ('c', 'reference', 'cited,seen'), ('d', 'title', 'name,exact,title'), ('d', 'excerpt', 'exact,reference'), ('d', 'reference', 'reference,reference_id'), ('e', 'excerpt', 'reference_id,supporting_text'), ('e', 'title', 'supporting_text'), ('e', 'reference', 'reference,reference_id'))
+select kind || doc_id as class, role, names from documents join t on kind = ['c', 'd', 'e'][doc_id % 3 + 1]"""
+)
 def field_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles are independent of each other; fallback names follow in their own order."""
-    slots = spark.createDataFrame([(c, n, o, list(i), u) for c, n, o, i, u in _SLOTS], "class string, name string, ord int, implements array<string>, slot_uri string")
+    """A class for each document. Roles are independent of each other; fallback names follow in their own order."""
+    kinds = {k: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).alias("ord"), F.array(*[F.lit(i) for i in im]).cast("array<string>").alias("implements"), F.lit(u).cast("string").alias("slot_uri")) for c, n, o, im, u in _SLOTS if c == k]) for k in "cde"}
+    k = F.col("doc_id") % 3
+    kind = F.when(k == 0, "c").when(k == 1, "d").otherwise("e")
+    held = F.when(k == 0, kinds["c"]).when(k == 1, kinds["d"]).otherwise(kinds["e"])
+    slots = d.table(spark, sf_dir, "documents").select(F.concat(kind, F.col("doc_id").cast("string")).alias("class"), F.inline(held))
     return fields.class_slots(slots).select("class", "role", F.array_join("names", ",").alias("names"))
 
 
+_EVIDENCE = {"Talk": {"ranges": {"turns": "Turn"}}, "Turn": {"roles": {"excerpt": ["quote"], "reference": ["cited", "reference"], "title": ["title"]}}}
+
+
+@query(
+    """with t as (select *, row_number() over (partition by conv_id order by turn) - 1 as k from conversations),
+u as (select *, conv_id || '/' || k as own, 'turns[' || k || '].' as place from t)
+select conv_id::varchar as file, place || case when k % 3 = 2 then 'title' else 'quote' end as path, case when k % 3 < 2 then text end as supporting_text,
+  case when k % 2 = 0 then 'R:' else 'C:' end || own as reference_id, case when k % 3 = 0 then case when k % 2 = 0 then 'of ' || own end else 'T ' || own end as expected_title, case when k % 3 = 2 then 'title' else 'excerpt' end as kind
+from u where k % 3 = 2 or text <> ''"""
+)
+def typed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as instances of a class, by schema: with a quote and a reference's own title, with a
+    title slot beside them, and with a title alone."""
+    c = d.table(spark, sf_dir, "conversations").withColumn("s", F.col("conv_id").cast("string"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+
+    def instance(x, k):
+        own = F.concat(F.col("s"), F.lit("/"), k.cast("string"))
+        ref = F.struct(F.concat(F.lit("R:"), own).alias("id"), F.concat(F.lit("of "), own).alias("title"))
+        return F.struct(F.when(k % 3 < 2, x["text"]).alias("quote"), F.when(k % 3 > 0, F.concat(F.lit("T "), own)).alias("title"), F.when(k % 2 == 1, F.concat(F.lit("C:"), own)).alias("cited"), ref.alias("reference"), F.lit("no").alias("other"))
+
+    files = c.groupBy("s").agg(turns.alias("t")).select(F.concat("s", F.lit(".json")).alias("file"), F.to_json(F.struct(F.transform("t", instance).alias("turns"))).alias("value"))
+    return extract.nested_claims(files, "Talk", _EVIDENCE).withColumn("file", F.replace("file", F.lit(".json"), F.lit("")))
+
+
 # Sources and documents
 
 
@@ -316,7 +368,7 @@ def jsonpath_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CANDIDATES = """c as (select 'DOC:' || doc_id as reference_id, p.provider, p.rank, case when (doc_id + p.rank) % 3 = 0 then text else repeat('short text ', ((doc_id * p.rank * 7) % 120)::int) end as t, (doc_id + p.rank) % 9 = 0 as error
   from documents, (values ('pmc', 1), ('epmc_preprint', 2), ('unpaywall', 3), ('openalex', 4)) p(provider, rank)),
-u as (select *, not error and length(trim(t)) >= case when provider = 'pmc' then 1000 else 500 end as usable from c)"""
+u as (select *, not error and length(trim(t)) >= 500 as usable from c)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,17 +340,20 @@ def pmc_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select 'U' || doc_id as reference_id, case doc_id % 3 when 0 then md5('caf' || chr(233) || ' ' || doc_id) when 1 then md5('plain ' || doc_id) end as text_md5, case doc_id % 3 when 0 then 'html' when 1 then 'txt' end as format, doc_id % 3 = 2 as error from documents"""
+    r"""with d as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat, doc_id % 5 < 2 and strlen(case when doc_id % 5 = 0 then replace(replace(text, '&', '&amp;'), '<', '&lt;') || repeat('x', 39) else text end) > 3000 as large from documents)
+select 'U' || doc_id as reference_id, case when doc_id % 5 = 0 and not large then md5('caf' || chr(233) || ' ' || flat) when doc_id % 5 = 1 and not large then md5(text) end as text_md5,
+  case when doc_id % 5 = 0 then 'html' when doc_id % 5 = 1 then 'txt' end as format, doc_id % 5 = 4 as error from d"""
 )
 def acquired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed files by their format and charset; what is too large is an error."""
-    k, null = _id() % 3, F.lit(None).cast("string")
+    """Landed files of whole documents by their format and charset. Too large a file and another
+    answer than 200 are no errors, a file that never landed is one."""
+    k, null = _id() % 5, F.lit(None).cast("string")
     docs = _docs(spark, sf_dir)
     cands = docs.select(_prefixed("U").alias("reference_id"), F.lit("unpaywall").alias("provider"), null.alias("text"), _prefixed("http://f/").alias("url"), F.when(k == 1, "txt").alias("format"), null.alias("license"), null.alias("oa_status"), F.lit(False).alias("error"))
-    page = F.encode(F.concat(F.lit("<html><body><p>café "), _s(), F.lit("</p></body></html>")), "ISO-8859-1")
-    content = F.when(k == 0, page).when(k == 1, F.encode(F.concat(F.lit("plain "), _s()), "UTF-8")).otherwise(F.encode(F.repeat(F.lit("x"), 300), "UTF-8"))
-    files = docs.select(_prefixed("http://f/").alias("url"), content.alias("content"), F.when(k == 0, "text/html; charset=ISO-8859-1").alias("content_type"))
-    got = fulltext.acquire(cands, files, max_bytes=200)
+    page = F.encode(F.concat(F.lit("<html><body><p>café "), _escaped(F.col("text")), F.lit("</p></body></html>")), "UTF-8")
+    content = F.when(k == 0, page).otherwise(F.encode("text", "UTF-8"))
+    files = docs.where(k != 4).select(_prefixed("http://f/").alias("url"), content.alias("content"), F.when(k == 0, "text/html; charset=UTF-8").alias("content_type"), F.when(k == 2, 404).otherwise(200).alias("status"))
+    got = fulltext.acquire(cands, files, max_bytes=3000)
     return got.select("reference_id", F.md5("text").alias("text_md5"), "format", "error")
 
 

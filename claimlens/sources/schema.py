@@ -81,3 +81,9 @@ def resolved(spark: SparkSession, path: str | Path) -> dict[str, dict]:
         for r in class_slots(spark.createDataFrame(rows, SLOTS), PREFIXES | prefixes).collect():
             out[r["class"]]["roles"][r["role"]] = list(r["names"])
     return out
+
+
+def root_class(path: str | Path) -> str | None:
+    """The class that the schema marks as tree_root, if it is the only one."""
+    roots = [name for name, conf in load_schema(path)["classes"].items() if (conf or {}).get("tree_root")]
+    return roots[0] if len(roots) == 1 else None

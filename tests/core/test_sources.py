@@ -153,7 +153,7 @@ classes:
   Evidence: {mixins: [Quoted], slots: [cited, note], slot_usage: {note: {implements: dcterms:title}}}
 """)
     (tmp_path / "main.yaml").write_text("""
-imports: [base, missing, linkml:types]
+imports: [base, missing, odd:types]
 slots:
   note: {range: string}
 classes:
@@ -168,8 +168,62 @@ classes:
     assert (claim.path, claim.supporting_text, claim.reference_id, claim.expected_title) == ("evidence[0].quote", "q", "P:1", "T")
 
 
+TYPED = {"Top": {"ranges": {"e": "E"}}, "E": {"roles": {"excerpt": ["quote", "snippet"], "reference": ["cited", "reference"], "title": ["title", "name"]}}}
+
+
+def test_title_claims_by_schema(spark):
+    rows = [
+        {"quote": "q", "cited": {"id": "P:1", "title": "B"}, "title": "A"},  # the slot's title before the reference's
+        {"quote": "q", "snippet": ["r", ""], "cited": {"id": "P:2", "title": "B"}},
+        {"title": "T", "cited": "P:3"},  # a title alone
+        {"title": "", "name": "N", "reference": {"reference_id": "P:4"}},
+        {"title": "T", "cited": {"note": "no id"}, "reference": "P:5"},  # the first reference has no id
+        {"quote": "q", "title": "T", "cited": {"note": "no id"}, "reference": "P:6"},
+        {"quote": "q", "title": "T"},
+        {"quote": None, "title": 3, "cited": "P:7"},
+    ]
+    docs = spark.createDataFrame([("a.json", json.dumps({"e": rows})), ("bad.json", "{")], "file string, value string")
+    got = [(r.path, r.supporting_text, r.reference_id, r.expected_title, r.kind) for r in extract.nested_claims(docs, "Top", TYPED).collect()]
+    assert got == [
+        ("e[0].quote", "q", "P:1", "A", "excerpt"), ("e[1].quote", "q", "P:2", "B", "excerpt"), ("e[1].snippet", "r", "P:2", "B", "excerpt"),
+        ("e[2].title", None, "P:3", "T", "title"), ("e[3].name", None, "P:4", "N", "title"), ("e[5].quote", "q", "P:6", "T", "excerpt"), (None, None, None, None, None),
+    ]
+
+
+def test_validate_data_by_schema_from_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "s.yaml").write_text("""
+classes:
+  Top: {tree_root: true, attributes: {e: {range: E, multivalued: true}}}
+  E: {attributes: {supporting_text: {}, title: {}, reference: {}}}
+""")
+    (tmp_path / "d.yaml").write_text("e:\n- {title: Wrong, reference: 'PMID:1'}\n- {title: A title, reference: 'PMID:1'}\n- {supporting_text: some text, reference: 'PMID:1'}\n- {supporting_text: some text, reference: 'PMID:1'}\n- {supporting_text: nowhere, reference: 'PMID:1'}\n")
+    refs = str(tmp_path / "refs.parquet")
+    spark.createDataFrame([("PMID:1", "A Title.", "some text", "summary")], "reference_id string, title string, content string, content_type string").write.parquet(refs)
+    asked = ["--refs", refs, "validate-data", str(tmp_path / "d.yaml")]
+    for more in (["--schema", str(tmp_path / "s.yaml")], ["--schema", str(tmp_path / "s.yaml"), "--target-class", "Top"]):
+        assert main([*asked, *more], spark) == 1
+        said = sorted(capsys.readouterr().out.splitlines())
+        assert said == ["[ERROR] e[0].title: Title mismatch for PMID:1: expected 'Wrong' but got 'A Title.'", "[ERROR] e[4].supporting_text: Text part not found as substring: 'nowhere'"]
+    for wrong in (["--target-class", "Top"], ["--schema", str(tmp_path / "s.yaml"), "--target-class", "No"]):
+        with pytest.raises(SystemExit):
+            main([*asked, *wrong], spark)
+
+
+def test_what_is_an_error_in_acquisition(spark):
+    """Only what may go better another time is retried."""
+    schema = "reference_id string, provider string, text string, url string, format string, license string, oa_status string, error boolean"
+    names = ["ok", "large", "status", "odd", "lost", "no_url", "given", "failed"]
+    rows = [(n, "unpaywall", "t" if n == "given" else None, None if n == "no_url" else f"http://f/{n}", None, None, None, n == "failed") for n in names]
+    page = b"<html><body><p>some words</p></body></html>"
+    files = [("ok", page, 200), ("large", page + b" " * 500, 200), ("status", page, 404), ("odd", b"\x01\x02", None), ("failed", page, 200)]
+    landed = spark.createDataFrame([(f"http://f/{n}", bytearray(b), "text/html" if n != "odd" else None, s) for n, b, s in files], "url string, content binary, content_type string, status int")
+    got = {r.reference_id: (r.text, r.error) for r in fulltext.acquire(spark.createDataFrame(rows, schema), landed, max_bytes=200).collect()}
+    assert {n for n, (_, e) in got.items() if e} == {"lost"}
+    assert got["ok"][0] == "some words" and got["given"][0] == "t" and got["large"][0] is None and got["status"][0] is None
+
+
 def test_full_text_chain(spark):
-    rows = [("A", "pmc", "x" * 600, False), ("A", "unpaywall", "u" * 600, False), ("A", "openalex", "o" * 900, False), ("B", "pmc", None, True), ("C", "pmc", "short", False)]
+    rows = [("A", "pmc", "x" * 400 + " " * 300, False), ("A", "unpaywall", "u" * 600, False), ("A", "openalex", "o" * 900, False), ("B", "pmc", None, True), ("C", "pmc", "short", False)]
     cands = spark.createDataFrame([(r, p, t, "u", "xml", None, None, e) for r, p, t, e in rows], "reference_id string, provider string, text string, url string, format string, license string, oa_status string, error boolean")
     refs = spark.createDataFrame([(i, "abs", "abstract_only" if i != "D" else "full_text_xml") for i in "ABCDE"], "reference_id string, content string, content_type string")
     for c in ("full_text_provider", "full_text_url", "oa_status", "license"):

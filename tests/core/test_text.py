@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.functions import fields, ids, jsonpath, text
-from claimlens.functions.fuzzy import _best_window, partial_ratio, ratio, token_sort_ratio
+from claimlens.functions import fields, fuzzy, ids, jsonpath, text
+from claimlens.functions.fuzzy import partial_ratio, partial_ratios, ratio, ratios, token_sort_ratio
 
 
 def column(spark, values, expr):
@@ -118,15 +118,28 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_ratios_equal_the_plain_table():
+def plain_partial(a, b):
+    """Window by window."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    best = 0.0
+    for s, t in [(a, b), (b, a)] if len(a) == len(b) else [sorted((a, b), key=len)]:
+        windows = [t[max(0, e - len(s)) : e] for e in range(1, len(s) + len(t))]
+        best = max(best, *(200 * lcs(s, w) / (len(s) + len(w)) for w in windows if w))
+    return best
+
+
+@pytest.mark.parametrize("cells", [1, 300, 1 << 16])
+def test_ratios_equal_the_plain_table(monkeypatch, cells):
+    """In batches of any size, with characters beyond the basic plane, and of all lengths."""
     import random
 
-    rng = random.Random(1)
-    for _ in range(400):
-        a = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 12)))
-        b = "".join(rng.choice("abc ") for _ in range(rng.randint(len(a), 25)))
-        assert ratio(a, b) == pytest.approx(200 * lcs(a, b) / (len(a) + len(b)))
-        windows = [b[max(0, e - len(a)) : e] for e in range(1, len(a) + len(b))]
-        assert _best_window(a, b) == pytest.approx(max(200 * lcs(a, w) / (len(a) + len(w)) for w in windows))
+    monkeypatch.setattr(fuzzy, "CELLS", cells)
+    rng = random.Random(cells)
+    a, b = (["".join(rng.choice("abc é日😀\uffff") for _ in range(rng.randint(0, most))) for _ in range(300)] for most in (14, 25))
+    assert ratios(a, b).tolist() == pytest.approx([200 * lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)])
+    assert partial_ratios(a, b).tolist() == pytest.approx([plain_partial(x, y) for x, y in zip(a, b, strict=True)])
     assert partial_ratio("protein x", "the protein x here") == 100.0 and partial_ratio("", "a") == 0.0
-    assert token_sort_ratio("b a", "a b") == 100.0
+    assert token_sort_ratio("b a", "a b") == 100.0 and ratio("", "") == 100.0
+    long = "ab" * 20_000
+    assert partial_ratio("abcab", long) == pytest.approx(100 * 8 / 9)

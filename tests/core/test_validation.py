@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from claimlens.functions import text
 from claimlens.functions.fuzzy import partial_ratio
 from claimlens.operators.fuzzy_search import fuzzy_search
+from claimlens.operators.quote_parts import held_parts
 from claimlens.operators.repair import ellipsis_insertion, repair
 from claimlens.operators.report import format_report, repair_report, validation_report
-from claimlens.operators.validate import failures, validate, validate_title
+from claimlens.operators.validate import failures, validate, validate_title, validate_typed
 from claimlens.plans.config import RepairConfig, ValidationConfig, load_config
 
 CONTENT = (
@@ -58,6 +59,46 @@ def test_validate(spark, refs):
     assert (n.total_validations, n.valid_count, n.error_count, n.warning_count, n.is_valid) == (9, 4, 4, 1, False)
 
 
+def test_repeated_claims_have_a_result_each(spark, refs):
+    once = claims(spark, [("Protein X functions in cell cycle regulations and plays critical role", "PMID:1"), ("CO2 levels were measured", "PMID:1"), ("x", "PMID:9")])
+    twice = once.unionByName(once)
+    for made in (validate(twice, refs), validate(twice, refs, many=1), validate(twice, refs, suggest=False), repair(twice, refs)):
+        rows = made.collect()
+        assert sorted(r.claim_id for r in rows) == [0, 0, 1, 1, 2, 2]
+        assert len({str(r) for r in rows}) == 3
+
+
+def test_many_quotes_of_a_document(spark, refs):
+    """The same results, however many claims make a document's quotes be searched together."""
+    asked = claims(spark, [c[0] for c in CASES] * 3 + [("x [2Fe-2S] ... binds", "PMID:3"), ("", "PMID:1"), (None, "PMID:1"), ("a", "PMID:1")])
+    apart, together = (sorted(map(str, validate(asked, refs, suggest=False, many=n).collect())) for n in (10**6, 1))
+    assert apart == together and len(apart) == 31
+
+
+def test_parts_in_blocks(spark):
+    rng = random.Random(2)
+    texts = {k: "".join(rng.choice("ab cé日") for _ in range(2000)) for k in "xy"}
+    parts = {(k, "".join(rng.choice("ab cé日") for _ in range(rng.randint(0, 7)))) for k in "xyz" for _ in range(400)}
+    asked = spark.createDataFrame([*parts, *parts, ("x", None)], "ref_key string, part string")
+    held = spark.createDataFrame([*texts.items(), ("z", None)], "ref_key string, text string")
+    want = sorted((k, p) for k, p in parts if k in texts and p in texts[k])
+    for size in (10**6, 100, 1):
+        assert sorted(map(tuple, held_parts(asked, held, size).collect())) == want
+    assert held_parts(asked.limit(0), held).collect() == []
+
+
+def test_typed_claims(spark, refs):
+    rows = [(1, "Protein X functions", "PMID:1", None, "p", "excerpt"), (2, None, "PMID:1", "a title", "p", "title"), (3, None, "PMID:1", "other", "p", "title"), (4, "x y", "PMID:9", None, "p", None)]
+    made = validate_typed(spark.createDataFrame(rows, "claim_id long, supporting_text string, reference_id string, expected_title string, path string, kind string"), refs)
+    got = {r.claim_id: (r.kind, r.is_valid, r.message) for r in made.collect()}
+    assert got == {
+        1: ("excerpt", True, "Supporting text validated successfully in PMID:1"),
+        2: ("title", True, "Title validated successfully for PMID:1"),
+        3: ("title", False, "Title mismatch for PMID:1: expected 'other' but got 'A Title.'"),
+        4: ("excerpt", False, "Could not fetch reference: PMID:9"),
+    }
+
+
 def test_literal_brackets(spark, refs):
     c = claims(spark, [("[2Fe-2S] cluster", "PMID:3")])
     assert not validate(c, refs, ValidationConfig(literal_bracket_patterns=(r"\d",)), suggest=False).where("not is_valid").count()
@@ -103,16 +144,6 @@ def plain_search(query, content, threshold, cols):
     return best >= threshold and share >= 50, best, match
 
 
-def test_partial_ratio_with_a_floor():
-    """The same from the floor on, and below it where the ratio is."""
-    rng = random.Random(4)
-    for _ in range(3000):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 25))) for _ in range(2))
-        whole, floor = partial_ratio(a, b), rng.choice([0, 20, 50, 66.7, 80, 95, 100])
-        got = partial_ratio(a, b, floor)
-        assert got == whole if whole >= floor else got < floor
-
-
 def test_fuzzy_search_equals_a_loop(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
     contents = docs.select(F.col("doc_id").cast("string").alias("ref_key"), F.col("text").alias("content"))
