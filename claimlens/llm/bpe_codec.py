@@ -9,8 +9,8 @@ other, and no merge makes a pair of a smaller rank (checked when a vocabulary is
 word undergoes the merges that it would undergo alone.
 
 How text is normalised and cut into words is the vocabulary's own business: the tokenizers
-library's normalizer and pre-tokenizer for that file are used for it, on the block's distinct
-strings between spaces. Vocabulary files of byte-level BPE whose words leave white space out are
+library's normalizer and pre-tokenizer for that file are used for it, or for ASCII the same
+expression, on the block's distinct strings between spaces. Vocabulary files of byte-level BPE whose words leave white space out are
 read, with or without a word-end suffix; their path is a parameter.
 """
 
@@ -23,12 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 
 from claimlens.llm.shared import pick
-from claimlens.llm.text_units import Numbers, Parts, offsets, spread, text_blocks
+from claimlens.llm.text_units import Parts, offsets, spread, text_blocks
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: Bytes of text whose pairs are indexed together.
+BLOCK_BYTES = 10 << 20
 #: Characters that are normalised and cut into words in one call.
 CALL_CHARS = 1 << 17
 #: Lists of fewer positions are merged one by one, longer ones as arrays.
@@ -60,6 +63,10 @@ class Vocabulary:
         self.splitter = Tokenizer.from_str(text)
         if spec.get("decoder") or [w for w, _ in self.splitter.pre_tokenizer.pre_tokenize_str(" a  b ")] != ["a", "b"]:
             raise ValueError(f"{path}: white space is part of the words")
+        # Lower case and a cut by an expression: for ASCII, both are the same everywhere.
+        steps, cuts = (spec.get("normalizer") or {}).get("normalizers", []), spec["pre_tokenizer"].get("pretokenizers", [{}])
+        usual = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and [n["type"] for n in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        self.pattern = regex.compile(cuts[0]["pattern"]["Regex"] + "| ") if usual else None
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path}: added tokens with rules of their own")
@@ -88,48 +95,65 @@ class Vocabulary:
             self.inner[ord(c)], self.last[ord(c)] = ids.get(c, -1), ids.get(c + suffix, -1)
         if min(self.inner[[ord(c) for c in letters]].min(), self.last[[ord(c) for c in letters]].min()) < 0:
             raise ValueError(f"{path}: a byte has no symbol")
-        self.strings: list[str] = [""] * self.size
+        strings: list[str | None] = [None] * self.size
         for s, k in [*ids.items(), *self.added.items()]:
-            self.strings[k] = s
+            strings[k] = s
+        self.strings, self.known = pa.array(strings, pa.string()), np.array([s is not None for s in strings])
 
     # Words
 
     def words_of(self, strings: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words of strings without spaces, and without added tokens: the distinct words,
-        the number of words of each string, and the words' numbers, in order. Strings are
-        joined by spaces, at which any word ends; those that hold white space of another kind,
-        which might vanish between two strings, go alone."""
+        """The words of strings without spaces, and without added tokens: distinct words, the
+        number of words of each string, and the words' numbers, in order.
+
+        Strings are joined by spaces, at which any word ends. Printable ASCII is cut by the
+        vocabulary's own expression, where that is known to be all; the rest by the library, of
+        which strings that hold white space of another kind, which might vanish between two
+        strings, go alone."""
+        simple = [k for k, s in enumerate(strings) if s and s.isascii() and s.isprintable()] if self.pattern else []
+        cut = pa.array(self.pattern.findall(" ".join([strings[k] for k in simple]).lower()) if simple else [], pa.string()).dictionary_encode()
+        words, of_word = cut.dictionary.to_pylist(), cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         counts = np.zeros(len(strings), np.int64)
-        found: list[np.ndarray] = []
-        numbers = Numbers()
-        plain = [k for k, s in enumerate(strings) if s.split() == [s]]
-        alone = set(range(len(strings))).difference(plain)
-        runs: list[list[int]] = [[]]
+        if simple:
+            space = words.index(" ") if " " in words else len(words)
+            between = of_word == space
+            counts[simple] = np.bincount(np.cumsum(between)[~between], minlength=len(simple))
+            of_word = of_word[~between]
+            of_word -= of_word > space
+            words = [w for w in words if w != " "]
+
+        held = set(simple)
+        other = [k for k in range(len(strings)) if k not in held]
+        plain = {k for k in other if strings[k].split() == [strings[k]]}
+        runs: list[list[int]] = [[k] for k in other if k not in plain and strings[k]]
+        run: list[int] = []
         chars = 0
-        for k in plain:
-            if chars >= CALL_CHARS:
-                runs.append([])
-                chars = 0
-            runs[-1].append(k)
+        for k in [k for k in other if k in plain]:
+            run.append(k)
             chars += len(strings[k]) + 1
-        runs = [r for r in runs if r] + [[k] for k in sorted(alone)]
-        in_order: list[int] = []
+            if chars >= CALL_CHARS:
+                runs.append(run)
+                run, chars = [], 0
+        runs.append(run)
+        more: list[str] = []
         for run in runs:
-            text = self.splitter.normalizer.normalize_str(" ".join([strings[k] for k in run])) if self.splitter.normalizer else " ".join([strings[k] for k in run])
-            cut = self.splitter.pre_tokenizer.pre_tokenize_str(text)
-            found.append(np.fromiter((numbers[w] for w, _ in cut), np.int64, len(cut)))
-            in_order += run
-            if len(run) == 1:
-                counts[run[0]] = len(cut)
-                continue
-            ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
-            at = np.searchsorted(ends, np.fromiter((span[0] for _, span in cut), np.int64, len(cut)), side="right")
-            counts[run] = np.bincount(at, minlength=len(run))
-        flat = np.concatenate(found) if found else np.empty(0, np.int64)
-        order = np.array(in_order, np.int64)
+            text = " ".join([strings[k] for k in run])
+            if self.splitter.normalizer:
+                text = self.splitter.normalizer.normalize_str(text)
+            found = self.splitter.pre_tokenizer.pre_tokenize_str(text)
+            more += [w for w, _ in found]
+            if len(run) > 1:
+                ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+                at = np.searchsorted(ends, np.fromiter((span[0] for _, span in found), np.int64, len(found)), side="right")
+                counts[run] = np.bincount(at, minlength=len(run))
+            elif run:
+                counts[run[0]] = len(found)
+        cut = pa.array(more, pa.string()).dictionary_encode()
+        of_word = np.concatenate([of_word, cut.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(words)])
+        order = np.array([*simple, *(k for run in runs for k in run)], np.int64)
         begins = np.zeros(len(strings), np.int64)
-        begins[order] = offsets(counts[order])[:-1] if len(order) else 0
-        return list(numbers), counts, flat[spread(begins, counts)]
+        begins[order] = offsets(counts[order])[:-1]
+        return words + cut.dictionary.to_pylist(), counts, of_word[spread(begins, counts)]
 
     # Merging
 
@@ -227,17 +251,14 @@ class Vocabulary:
         for other in "\n\t\r":
             texts = pc.replace_substring(texts, other, " ")
         parts = Parts(texts)
-        # An added token inside a part ends the words around it.
-        pieces: list[str] = []
-        marks: list[int] = []
-        n_pieces = np.ones(len(parts.distinct), np.int64)
-        for k, s in enumerate(parts.distinct):
-            found = self.cut.split(s) if self.cut is not None and self.cut.search(s) else [s]
-            n_pieces[k] = len(found)
-            pieces += found
-            marks += [self.added[x] if at % 2 else -1 for at, x in enumerate(found)]
-        special = np.array(marks, np.int64)
-        words, n_words, of_word = self.words_of(["" if m >= 0 else p for p, m in zip(pieces, marks, strict=True)])
+        pieces, n_pieces, special = parts.distinct, np.ones(len(parts.distinct), np.int64), np.full(len(parts.distinct), -1, np.int64)
+        whole = " ".join(pieces)
+        if any(token in whole for token in self.added):  # one inside a part ends the words around it
+            cut = [self.cut.split(s) for s in pieces]
+            pieces = [x for found in cut for x in found]
+            n_pieces = np.array(list(map(len, cut)), np.int64)
+            special = np.array([self.added[x] if at % 2 else -1 for found in cut for at, x in enumerate(found)], np.int64)
+        words, n_words, of_word = self.words_of(pieces if (special < 0).all() else ["" if m >= 0 else p for p, m in zip(pieces, special.tolist(), strict=True)])
         length, ids = self.merged(words)
         # The ids of each word, then of each piece, then of each part, then of each text.
         own = length[of_word]
@@ -251,9 +272,15 @@ class Vocabulary:
         n_ids = np.diff(begin)
         return parts.sums(n_ids), ids[spread(begin[:-1][parts.flat], n_ids[parts.flat])]
 
-    def decoded(self, ids: list[int]) -> str:
+    def decoded(self, lists: pa.Array) -> pa.Array:
         """As the library decodes, special tokens included. Ids outside the vocabulary say nothing."""
-        return " ".join([self.strings[k] for k in ids if k is not None and 0 <= k < self.size and self.strings[k]])
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < self.size)
+        known[known] = self.known[ids[known]]
+        counts = np.diff(np.r_[0, np.cumsum(known)][offsets(counts)])
+        said = self.strings.take(pa.array(ids[known]))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets(counts), pa.int32()), said), " ")
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -271,14 +298,26 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     like others. A text of any length is encoded whole. An empty table gives an empty result;
     further columns are ignored, whatever they are called. A task holds a block of texts."""
 
+    return _encoded(docs, path, False)
+
+
+def encode_and_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """encode() and decode() in one pass over the rows: (doc_id, ids, decoded)."""
+    return _encoded(docs, path, True)
+
+
+def _encoded(docs: DataFrame, path: str, decoded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(path)
-        for table, texts in text_blocks(batches, 1):
+        for table, texts in text_blocks(batches, 1, BLOCK_BYTES):
             counts, ids = held.encoded(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets(counts), pa.int32()), pa.array(ids, pa.int32()))
-            yield from pa.table({"doc_id": table.column(0), "ids": lists}).to_batches(max_chunksize=4096)
+            made = pa.table({"doc_id": table.column(0), "ids": lists})
+            for batch in made.to_batches(max_chunksize=2048):
+                yield batch.append_column("decoded", held.decoded(batch.column(1))) if decoded else batch
+            pa.default_memory_pool().release_unused()
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -289,7 +328,6 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(path)
         for batch in batches:
-            texts = [held.decoded(x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held.decoded(batch.column(1))], ["doc_id", "ids", "decoded"])
 
     return pick(rows, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -78,7 +78,7 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents")))
+    rows = bpe_codec.encode_and_decode(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,14 +13,6 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 6 << 20
 
 
-class Numbers(dict):
-    """Numbers for strings, from 0 on in the order in which they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        return number
-
-
 def text_blocks(batches: Iterable[pa.RecordBatch], column: int, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, pa.Array]]:
     """The rows of a partition in blocks of about `size` bytes of text, in order: a table of
     the rows, and their texts (null: empty)."""
