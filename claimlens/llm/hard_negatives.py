@@ -239,7 +239,9 @@ def _search(anchors: DataFrame, cells: DataFrame, keys: list[str], lists: int, b
             state = anchors.join(kth, "vec_id", "left").withColumn("kths", F.transform("lows", lambda low, i: F.coalesce(F.get(F.map_values(F.map_filter("kth", lambda w, _: w == i)), 0), low))).drop("kth")
         visits = cut(_visits(state, bounds, begin, end).select("anchor", *keys))
         if not visits.isEmpty():
-            made = _scored(_tiles(visits, anchors, cells, sizes, keys, tile_rows), keys, k, same)
+            # Rows below the kth score so far are nobody's: they stay in their tiles.
+            asking = state.withColumn("lows", F.zip_with("lows", "kths", lambda low, kth: F.greatest(low, kth)))
+            made = _scored(_tiles(visits, asking, cells, sizes, keys, tile_rows), keys, k, same)
             both = made if found is None else made.unionByName(found.drop("place"))
             found = cut(both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
         elif found is None:
