@@ -1,16 +1,20 @@
 """Operator 2. PII by bootstrapped contextual extraction.
 
-Base patterns find e-mails, IP addresses, payment cards and phone numbers; together with
-strings that can only be secrets they are the seeds. The words around an identifier-like
-token are its lexical patterns. A graph of patterns and instances is scored in rounds (after
-DIPRE and Snowball): a pattern is worth the mean score of its instances, an instance that of
-its best pattern, seeds being worth 1 and tokens that a base pattern has rejected (a card that
-fails Luhn) 0. Patterns of high confidence then mark the other tokens they surround, so that
-identifiers of no known format are found by the company they keep.
+Base patterns find e-mails, IP addresses, payment cards and phone numbers: these are the seeds,
+worth 1, and what a base pattern has rejected (a card that fails Luhn) is worth 0. Any other
+token that may be an identifier has evidence of its own, which grows with the changes between
+letters and digits in it: next to none for numbers, dates and names, nearly 1 for keys and
+hashes. The words around such tokens are their lexical patterns. A graph of patterns and
+instances is scored in rounds (after DIPRE and Snowball): a pattern is worth the mean of its
+instances, times the share of its words' occurrences in the corpus that stand beside such
+tokens, so that words which surround ordinary text, too, teach nothing; an instance is worth
+its best pattern, or its own evidence if that is more. Patterns of high confidence then mark
+all tokens that they surround, whatever these look like.
 
 A token is what stands between white space, without the punctuation at its ends and without
 a leading name and = or :, if it holds a digit or @ and has MIN_TOKEN characters or more.
-Identifiers of several words, or of letters alone, are not discovered.
+Identifiers of several words, or of letters alone, are not discovered. Strings that can only be
+secrets are reported apart where no pattern has discovered them; they teach nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.shared import cut, numbered, pick
+from claimlens.llm.shared import cut, fits_broadcast, numbered, pick
 
 KINDS = ("email", "ip", "card", "phone", "secret", "other")
 SECRET, OTHER = KINDS.index("secret"), KINDS.index("other")
@@ -36,7 +40,9 @@ DOUBT = 1.0
 MIN_TOKEN = 5
 #: Longer words are no context: they don't recur.
 MAX_WORD = 40
-#: A secret that is a seed: one run of so many ASCII letters and digits, with so many of each.
+#: Changes between letters and digits that may occur in any name; each one more halves the doubt.
+COMMON_CHANGES = 2
+#: A secret that is reported apart: one run of so many ASCII letters and digits, with so many of each.
 SECRET_LENGTH, SECRET_MIX = 20, 4
 #: Trusted patterns that one pass over the rows holds; more patterns, more passes.
 PATTERN_BLOCK = 500_000
@@ -49,6 +55,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]\S*")
 _RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{%d,}+" % SECRET_LENGTH)
 _EDGE = ".,;:!?\"'`()[]{}<>|"
+_QUOTES = "\"'`"
+_SIGNS = _EDGE + "=#"
+_CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -113,9 +122,15 @@ def secret_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return found
 
 
+def own_evidence(value: str) -> float:
+    """How far a token looks like a key by itself."""
+    return 1 - 2.0 ** -max(0, len(_CHANGE.findall(value)) - COMMON_CHANGES)
+
+
 def rejected_spans(text: str) -> list[tuple[int, int]]:
-    """(start, end) of what looks like a card but fails Luhn."""
-    return [m.span() for m in _CARD.finditer(text) if 14 <= len(d := _digits(m.group())) <= 19 and not _luhn(d)]
+    """(start, end) of what looks like a card but fails Luhn, and isn't part of a longer token."""
+    whole = lambda a, b: not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
+    return [m.span() for m in _CARD.finditer(text) if 14 <= len(d := _digits(m.group())) <= 19 and not _luhn(d) and whole(*m.span())]
 
 
 def _word(text: str, at: int, step: int) -> tuple[str, int]:
@@ -129,19 +144,20 @@ def _word(text: str, at: int, step: int) -> tuple[str, int]:
         start = at
         while 0 <= at < n and not text[at].isspace() and abs(at - start) <= MAX_WORD:
             at += step
-        word = (text[start:at] if step > 0 else text[at + 1 : start + 1]).strip(_EDGE + "=#").lower()
+        word = (text[start:at] if step > 0 else text[at + 1 : start + 1]).strip(_SIGNS).lower()
         if word:
             return (word if len(word) <= MAX_WORD else ""), at
     return "", at
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: the word before, the two before, the one after, both sides."""
+    """Lexical patterns around a span: the word before, the two before, the one after, both
+    sides; of words with letters and without digits."""
     one, at = _word(text, start - 1, -1)
     two, _ = _word(text, at, -1) if one else ("", at)
     after, _ = _word(text, end, 1)
     made = [f"L {one}" if one else "", f"LL {two} {one}" if one and two else "", f"R {after}" if after else "", f"LR {one} {after}" if one and after else ""]
-    return [p for p in made if p and not any(c.isdigit() or c == "@" for c in p)]
+    return [p for p in made if p and not any(c.isdigit() or c == "@" for c in p) and all(any(map(str.isalpha, w)) for w in p.split(" ")[1:])]
 
 
 def tokens(text: str, seeds: list[tuple[int, int, int]], rejected: list[tuple[int, int]]) -> Iterator[tuple[int, int, float | None]]:
@@ -167,6 +183,8 @@ def tokens(text: str, seeds: list[tuple[int, int, int]], rejected: list[tuple[in
             a = head + 1
         while a < b and text[a] in _EDGE:
             a += 1
+        if a and text[a - 1] in _QUOTES:  # a quoted token ends with its quote
+            b = text.find(text[a - 1], a, b) % (b + 1)
         while b > a and text[b - 1] in _EDGE:
             b -= 1
         while k < len(covered) and covered[k][1] <= a:
@@ -179,14 +197,14 @@ def marks_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     """Base spans, secrets, and (start, end, worth, patterns) of each token that has patterns."""
     base = base_spans(text)
     secrets = secret_spans(text, base)
-    found = [(a, b, worth, contexts(text, a, b)) for a, b, worth in tokens(text, base + secrets, rejected_spans(text))]
+    found = [(a, b, worth, contexts(text, a, b)) for a, b, worth in tokens(text, base, rejected_spans(text))]
     return base, secrets, [m for m in found if m[3]]
 
 
 _SPANS = "array<struct<start:long,kind:int,end:long>>"
-_FOUND = f"doc_id long, base {_SPANS}, secrets {_SPANS}, marks array<struct<start:long,end:long,instance:long,worth:double,patterns:array<string>>>"
+_FOUND = f"doc_id long, base {_SPANS}, secrets {_SPANS}, marks array<struct<start:long,end:long,instance:long,worth:double,own:double,patterns:array<string>>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_MARKS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("worth", pa.float64()), ("patterns", pa.list_(pa.string()))]))
+_MARKS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("worth", pa.float64()), ("own", pa.float64()), ("patterns", pa.list_(pa.string()))]))
 
 
 def _spans(found: list[tuple[int, int, int]]) -> list[dict]:
@@ -203,35 +221,49 @@ def _scan(docs: DataFrame) -> DataFrame:
                 value = lambda a, b: int.from_bytes(hashlib.blake2b(text[a:b].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)  # noqa: B023, E731
                 out["base"].append(_spans(base))
                 out["secrets"].append(_spans(secrets))
-                out["marks"].append([{"start": a, "end": b, "instance": value(a, b), "worth": worth, "patterns": p} for a, b, worth, p in marks])
+                out["marks"].append([{"start": a, "end": b, "instance": value(a, b), "worth": worth, "own": own_evidence(text[a:b]), "patterns": p} for a, b, worth, p in marks])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array(out["base"], _SPAN), "secrets": pa.array(out["secrets"], _SPAN), "marks": pa.array(out["marks"], _MARKS)})
 
     return docs.mapInArrow(run, _FOUND)
 
 
-def pattern_scores(marks: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(pattern, confidence) from marks of (pattern, instance, worth: 1, 0 or null). Each pair
-    counts once, so that copies of a text prove nothing more. Both joins are equi-joins whose
-    frequent keys the planner splits; sums are partial before each shuffle."""
-    edges = cut(marks.groupBy("pattern", "instance").agg(F.max("worth").alias("fixed")))
-    wide = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support))
-    edges = cut(edges.join(wide, "pattern").select("pattern", "instance", "fixed", "n"))
+def word_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n): how often the `text`s of the corpus hold each of these words (word), without
+    punctuation at its ends and in lower case. Counts are partial before the shuffle."""
+    said = texts.select(F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word")).select(F.btrim("word", F.lit(_SIGNS)).alias("word"))
+    return said.join(fits_broadcast(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def pattern_scores(marks: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(pattern, confidence) from marks of (pattern, instance, worth: 1, 0 or null, own) and the
+    corpus (text). Each pair counts once, so that copies of a text prove nothing more. Both joins
+    are equi-joins whose frequent keys the planner splits; sums are partial before each shuffle.
+
+    A pattern's words occur beside marked tokens as often as the pattern does, and elsewhere in
+    the rest of the occurrences of the rarest of them: of two words together, that is less than
+    their true share."""
+    edges = cut(marks.groupBy("pattern", "instance").agg(F.max("worth").alias("fixed"), F.max("own").alias("own"), F.count("*").alias("times")))
+    wide = cut(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= min_support))
+    parts = cut(wide.select("pattern", "times", F.explode(F.slice(F.split("pattern", " "), 2, 2)).alias("word")))
+    counts = cut(word_counts(texts, cut(parts.select("word").distinct())))
+    shares = parts.join(counts, "word", "left").groupBy("pattern").agg(F.least(F.lit(1.0), F.max("times") / F.min(F.coalesce("n", "times"))).alias("share"))
+    edges = cut(edges.join(wide.join(shares, "pattern").select("pattern", "n", "share"), "pattern").select("pattern", "instance", "fixed", "own", "n", "share"))
     # A value that is a seed somewhere is one everywhere; so is a rejected one, if it's no seed.
-    fixed = cut(edges.groupBy("instance").agg(F.max("fixed").alias("fixed")))
-    worth = fixed.select("instance", F.coalesce("fixed", F.lit(0.0)).alias("worth"))
+    known = cut(edges.groupBy("instance").agg(F.max("fixed").alias("fixed"), F.max("own").alias("own")))
+    worth = known.select("instance", F.coalesce("fixed", "own").alias("worth"))
     for k in range(rounds):
-        scored = cut(edges.join(worth, "instance").groupBy("pattern").agg((F.sum("worth") / (F.max("n") + DOUBT)).alias("confidence")))
+        scored = cut(edges.join(worth, "instance").groupBy("pattern").agg((F.sum("worth") / (F.max("n") + DOUBT) * F.max("share")).alias("confidence")))
         if k + 1 < rounds:
             best = edges.join(scored, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-            worth = cut(fixed.join(best, "instance").select("instance", F.coalesce("fixed", "best").alias("worth")))
+            worth = cut(known.join(best, "instance").select("instance", F.coalesce("fixed", F.greatest("own", "best")).alias("worth")))
     return scored
 
 
-def _trusted(found: DataFrame, rounds: int, min_support: int, confidence: float, block: int) -> Iterator[frozenset]:
+def _trusted(found: DataFrame, texts: DataFrame, rounds: int, min_support: int, confidence: float, block: int) -> Iterator[frozenset]:
     """The patterns that discover, in blocks of bounded size; the driver holds one at a time."""
-    marks = found.select(F.explode("marks").alias("m")).select("m.instance", "m.worth", F.explode("m.patterns").alias("pattern"))
+    marks = found.select(F.explode("marks").alias("m")).select("m.instance", "m.worth", "m.own", F.explode("m.patterns").alias("pattern"))
     held: list[str] = []
-    for row in cut(pattern_scores(marks, rounds, min_support).where(F.col("confidence") >= confidence)).toLocalIterator():
+    for row in cut(pattern_scores(marks, texts, rounds, min_support).where(F.col("confidence") >= confidence)).toLocalIterator():
         held.append(row["pattern"])
         if len(held) == block:
             yield frozenset(held)
@@ -247,16 +279,17 @@ def _joined(spans: Column) -> Column:
 
 def pii_spans(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE, block: int = PATTERN_BLOCK) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans),
-    base_sha256, spans (all, as kind:start:end by start), n_secret, n_other (discovered),
-    n_spans (all), items (array of start, kind, end).
+    base_sha256, spans (all, as kind:start:end by start), n_secret (not discovered), n_other
+    (discovered), n_spans (all), items (array of start, kind, end).
 
     Offsets count code points of the whole text, however long, ends are exclusive. Null and
     empty texts have no spans. Null and repeated ids are rows like others, each judged by its
     own text. An empty table gives an empty result; further columns are ignored, whatever
     they are called."""
-    found = cut(_scan(pick(docs, "doc_id", "text")))
+    docs = pick(docs, "doc_id", "text")
+    found = cut(_scan(docs))
     rows = found.withColumn("new", F.array().cast(_SPANS))
-    for patterns in _trusted(found, rounds, min_support, confidence, block):
+    for patterns in _trusted(found, docs, rounds, min_support, confidence, block):
         held = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -268,9 +301,9 @@ def pii_spans(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPP
 
         rows = rows.mapInArrow(run, rows.schema)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    new = F.array_distinct("new")
-    items = F.sort_array(F.concat("base", "secrets", new))
-    rows = rows.select("doc_id", "base", "secrets", new.alias("new"), items.alias("items"))
+    rows = rows.withColumn("new", F.array_distinct("new"))
+    apart = F.filter("secrets", lambda s: ~F.exists("new", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    rows = rows.withColumn("secrets", apart).withColumn("items", F.sort_array(F.concat("base", "secrets", "new")))
     return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("items")).alias("spans"), F.size("secrets").cast("long").alias("n_secret"), F.size("new").cast("long").alias("n_other"), F.size("items").cast("long").alias("n_spans"), "items")
 
 
@@ -291,10 +324,11 @@ def mask(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
     Each row's text is masked where it stands, in the pass that finds its spans: no row is
     looked up again, so that null and repeated ids are masked like others. Null texts stay."""
     plain, at = numbered(docs)
-    found = cut(_scan(plain.select(F.lit(None).cast("long").alias("doc_id"), F.col(at("text")).alias("text"))).where(F.size("marks") > 0))
+    texts = plain.select(F.lit(None).cast("long").alias("doc_id"), F.col(at("text")).alias("text"))
+    found = cut(_scan(texts).where(F.size("marks") > 0))
     k = docs.columns.index("text")
     rows = plain.withColumn("_new", F.array().cast(_SPANS))
-    blocks = list(_broadcast(docs, _trusted(found, rounds, min_support, confidence, block))) or [None]
+    blocks = list(_broadcast(docs, _trusted(found, texts, rounds, min_support, confidence, block))) or [None]
     for n, held in enumerate(blocks):
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=n + 1 == len(blocks)) -> Iterator[pa.RecordBatch]:
@@ -306,7 +340,9 @@ def mask(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
                     seen = seen + _spans([(a, OTHER, b) for a, b, worth, patterns in marks if worth is None and not trusted.isdisjoint(patterns)])
                     new.append(seen)
                     if last and text is not None:
-                        text = masked(text, [*base, *secrets, *((s["start"], s["kind"], s["end"]) for s in seen)])
+                        discovered = [(s["start"], s["kind"], s["end"]) for s in seen]
+                        secrets = [s for s in secrets if not any(a < s[2] and s[0] < b for a, _, b in discovered)]
+                        text = masked(text, [*base, *secrets, *discovered])
                     texts.append(text)
                 columns = [*batch.columns[:-1], pa.array(new, _SPAN)]
                 columns[k] = pa.array(texts, pa.string())

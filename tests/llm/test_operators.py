@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -206,32 +206,72 @@ def test_pii_discovers_what_stands_like_seeds(spark):
         assert got[i].base_sha256 == sha(",".join(plain_spans(t or "")))
 
 
-def plain_scores(marks):
+def plain_scores(marks, texts):
     """Pattern scores by the definition, on sets."""
-    edges, fixed = defaultdict(set), {}
-    for pattern, instance, worth in marks:
+    edges, fixed, own, times = defaultdict(set), {}, defaultdict(float), Counter()
+    for pattern, instance, worth, evidence in marks:
         edges[pattern].add(instance)
+        times[pattern] += 1
+        own[instance] = max(own[instance], evidence)
         if worth is not None:
             fixed[instance] = max(worth, fixed.get(instance, 0))
     edges = {p: v for p, v in edges.items() if len(v) >= pii.MIN_SUPPORT}
+    said = Counter(w.strip(pii._SIGNS).lower() for t in texts for w in t.split())
+    share = {p: min(1.0, times[p] / min(said[w] or times[p] for w in p.split(" ")[1:])) for p in edges}
     kept = {i for v in edges.values() for i in v}
-    worth = {i: fixed.get(i, 0.0) for i in kept}
+    worth = {i: fixed.get(i, own[i]) for i in kept}
     for _ in range(pii.ROUNDS):
-        scores = {p: sum(worth[i] for i in v) / (len(v) + pii.DOUBT) for p, v in edges.items()}
-        worth = {i: fixed.get(i, max(scores[p] for p, v in edges.items() if i in v)) for i in kept}
+        scores = {p: sum(worth[i] for i in v) / (len(v) + pii.DOUBT) * share[p] for p, v in edges.items()}
+        worth = {i: fixed.get(i, max([own[i], *(scores[p] for p, v in edges.items() if i in v)])) for i in kept}
     return scores
 
 
 def test_pattern_scores_equal_brute_force(spark):
     rng = random.Random(3)
     worth = {i: rng.choice([1.0, 1.0, 0.0, None]) for i in range(60)}
-    marks = [(f"p{rng.randrange(12)}", i := rng.randrange(60), worth[i]) for _ in range(600)]
-    df = spark.createDataFrame(marks, "pattern string, instance long, worth double")
-    got = {r.pattern: r.confidence for r in pii.pattern_scores(df).collect()}
-    want = plain_scores(marks)
+    own = {i: rng.choice([0.0, 0.5, 0.75, 1.0]) for i in range(60)}
+    kinds = ["L a", "R b", "LL a b", "LR c d", "L d", "R none", "LL c e", "L e", "LR a e", "R c", "L f", "LL f f"]
+    marks = [(rng.choice(kinds), i := rng.randrange(60), worth[i], own[i]) for _ in range(600)]
+    texts = [" ".join(rng.choice(["a", "B.", "(c)", "d=", "e", "f", "other", "\n"]) for _ in range(rng.randint(0, 90))) for _ in range(8)]
+    df = spark.createDataFrame(marks, "pattern string, instance long, worth double, own double")
+    got = {r.pattern: r.confidence for r in pii.pattern_scores(df, spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = plain_scores(marks, texts)
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def plain_discovery(texts):
+    """All spans by the definition, text by text."""
+    found = [pii.marks_of(t or "") for t in texts]
+    marks = [(p, (t or "")[a:b], worth, pii.own_evidence((t or "")[a:b])) for t, (_, _, ms) in zip(texts, found, strict=True) for a, b, worth, ps in ms for p in ps]
+    trusted = {p for p, c in plain_scores(marks, [t for t in texts if t]).items() if c >= pii.CONFIDENCE}
+    out = []
+    for base, secrets, ms in found:
+        new = {(a, pii.OTHER, b) for a, b, worth, ps in ms if worth is None and trusted & set(ps)}
+        out.append(sorted({*base, *new, *(s for s in secrets if not any(a < s[2] and s[0] < b for a, _, b in new))}))
+    return [",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans) for spans in out], trusted
+
+
+def test_discovery_equals_brute_force_and_finds_what_is_planted(spark):
+    """Over a whole table: every planted token is discovered by its context, no clean text is marked."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    clean = ["Bericht der 2019/2020 Gruppe", "vu en 2019-2020 de suite", "see the table la 10:30:00 ici", "in 12345 of 67890 and 2021-03-04 for 99999 en 88888 de 77777"]
+    rows += [(-k - 1, t) for k, t in enumerate(clean)]
+    got = {r.doc_id: r for r in pii.pii_spans(docs(spark, rows)).collect()}
+    want, trusted = plain_discovery([t for _, t in rows])
+    assert {i: got[i].spans for i, _ in rows} == {i: w for (i, _), w in zip(rows, want, strict=True)}
+    assert "L token" in trusted and not trusted & {f"{side} {w}" for side in "LR" for w in ("der", "of", "in", "la", "en", "and", "de", "the")}
+    for k in range(len(clean)):
+        assert got[-k - 1].spans == ""
+    for i, t in rows:
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', t or ""):
+            assert f"other:{m.start(1)}:{m.end(1)}" in got[i].spans.split(",")
+
+
+def test_own_evidence():
+    assert [pii.own_evidence(x) for x in ("2019/2020", "covid-19", "B2B", "10:30:00", "DE893704004405320130")] == [0.0] * 5
+    assert pii.own_evidence("C6H12O6") == 0.875 and pii.own_evidence("04dbebab91ab85687d33eeaaf9ac699e1188f962") > 0.99
+
+
 def test_contexts_cross_quotes_and_names():
     for text in ('my token = "abc123def456" here', "my token='abc123def456' here", "my token: abc123def456 here"):
         base, secrets, marks = pii.marks_of(text)
@@ -244,11 +284,13 @@ def test_pii_discovers_secrets_and_no_rejected_cards(spark):
     rng = random.Random(8)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(12)]
     rows = [(k, f'so token = "{h}" is w{k} and number 4111111111111112 w') for k, h in enumerate(hexes)]
-    rows += [(50, 'so token = "ab12cd" is it'), (51, "number 4111111111111112 is no card"), (52, "number 4111 1111 1111 1111 is one")]
+    rows += [(50, 'so token = "ab12cd" is it'), (51, "number 4111111111111112 is no card"), (52, "number 4111 1111 1111 1111 is one"), (53, f"once {hexes[0][:20]}1a2b alone")]
     got = {r.doc_id: r for r in pii.pii_spans(docs(spark, rows)).collect()}
     for k, h in enumerate(hexes):
-        assert got[k].spans == f"secret:12:52" and got[k].n_secret == got[k].n_spans == 1, h
+        assert got[k].spans == "other:12:52" and got[k].n_other == got[k].n_spans == 1 and got[k].n_secret == 0, h
     assert got[50].spans == "other:12:18" and got[51].spans == "" and got[52].spans == "card:7:26"
+    assert got[53].spans == "secret:5:29" and got[53].n_secret == 1  # no context has it; it is reported apart
+    assert {r[1] for r in pii.mask(docs(spark, rows)).where("doc_id in (50, 53)").collect()} == {'so token = "[other]" is it', "once [secret] alone"}
 
 
 def test_pii_of_long_texts_and_many_pattern_blocks(spark):
