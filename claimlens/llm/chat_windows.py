@@ -45,8 +45,8 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = H
     (array of start, length in code points of formatted, from 0), tokens, over_budget.
 
     `tokens` names a column with the tokens of each turn as formatted, counted by the model's
-    own tokenizer; the budget is kept in those (null: 0). Without it they are estimated as the
-    turn's formatted characters by four, rounded up, which is too few for text without spaces. The system
+    own tokenizer; the budget is kept in those, a turn costing 1 at least. Without it, and where
+    it is null, they are estimated as the turn's formatted characters by four, rounded up, which is too few for text without spaces. The system
     turn is the conversation's first turn if its role is system. Null texts and roles are
     empty. Turns stand by turn (null first), then role and text, so that ties and repeated
     rows keep a fixed order; all are kept. A null conv_id is a conversation like others. An
@@ -55,7 +55,8 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = H
     Turns of a conversation meet in a window function, which streams over spilled rows and
     holds a few turns at a time; only a single window's texts are gathered into a row."""
     t = pick(turns, "conv_id", "turn", "role", "text", *([tokens] if tokens else []))
-    counted = F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else F.lit(None).cast("long")
+    # greatest() would pass over a null.
+    counted = F.when(F.col(tokens).isNotNull(), F.greatest(F.col(tokens).cast("long"), F.lit(1))) if tokens else F.lit(None).cast("long")
     t = t.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), counted.alias("counted"))
     t = t.withColumn("mark", _turn(F.col("role"), F.col("text"))).withColumn("tokens", F.coalesce("counted", F.ceil(F.length("mark") / CHARS_PER_TOKEN))).drop("counted")
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

@@ -19,15 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.llm.shared import filter_texts, pick
 
-#: Bounds of the sample that the fit uses: labelled rows of each class, and characters of each.
+#: Bounds of the sample that the fit uses: labelled rows of each class, all whole, and bytes of all of them.
 #: The curve is fitted to rows that `CROSS` further pairs of dictionaries haven't seen. What is scored is scored whole.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 4096
+SAMPLE_BYTES = 12_000_000
 CROSS = 3
 DICTIONARY_BYTES = 65536
 SPAN = 256
@@ -153,21 +153,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> QualityModel:
-    """Learn from the labelled rows that aren't held out: at most `sample_rows` of each class,
-    by a hash of the id, and of each a run of `sample_chars` characters that starts anywhere,
-    so that the driver gets a few megabytes however large the tables are. Ids or labels that
-    are null, and labels other than 0 and 1, teach nothing; further columns are ignored."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """Learn from the labelled rows that aren't held out: whole texts in the order of a hash of
+    their id, at most `sample_rows` of each class, and so many of them as have `sample_bytes`
+    together, so that the driver gets a few megabytes however large the tables are. An id that
+    repeats teaches one text, of the smallest hash. Ids or labels that are null, and labels
+    other than 0 and 1, teach nothing; further columns are ignored."""
     labels = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     rank = F.xxhash64(F.lit("quality"), "doc_id")
     chosen = None
     for q in (0, 1):
         one = labels.where(F.col("quality") == q).orderBy(rank, "doc_id").limit(sample_rows)
         chosen = one if chosen is None else chosen.unionByName(one)
-    span = F.substring(F.col("text"), F.pmod(rank, F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1, F.lit(sample_chars))
-    # 2 * sample_rows ids at most: a bound that doesn't grow.
-    found = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", span.alias("text"), rank.alias("rank")).where("text <> ''")
-    rows = sorted({(r["rank"], r["doc_id"], r["quality"], r["text"]) for r in found.collect()})
+    # 2 * sample_rows ids at most: a bound that doesn't grow. Repeats are reduced before they are collected.
+    found = pick(docs, "doc_id", "text").where("text <> ''").join(F.broadcast(chosen.distinct()), "doc_id")
+    found = found.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    so_far = F.sum(F.octet_length("t.text")).over(Window.partitionBy("quality").orderBy(rank, "doc_id"))
+    found = found.select("doc_id", "quality", rank.alias("rank"), "t.text", so_far.alias("bytes")).where(F.col("bytes") <= sample_bytes)
+    rows = sorted((r["rank"], r["doc_id"], r["quality"], r["text"]) for r in found.collect())
     y = np.array([r[2] for r in rows], dtype=float)
     # The classes are sampled at different rates; the offset undoes that.
     total = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -216,6 +219,6 @@ def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
     return filter_texts(docs, judge)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """fit() and score() over the same documents."""
-    return score(docs, fit(docs, labels, sample_rows))
+    return score(docs, fit(docs, labels, sample_rows, sample_bytes))

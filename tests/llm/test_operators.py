@@ -444,6 +444,15 @@ def test_chat_round_trip(spark):
     assert {w.over_budget for w in by_words.collect()} == {w.tokens > 200 for w in by_words.collect()}
 
 
+def test_chat_tokens_that_are_null_or_none(spark):
+    """A null count falls back to the estimate, and no turn is free: a long conversation is cut all the same."""
+    rows = [(1, k, "user", "word " * 300) for k in range(50)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    free = chat.chat_windows(plain.withColumn("n", F.lit(None).cast("int")), tokens="n")
+    assert sorted(map(str, free.collect())) == sorted(map(str, chat.chat_windows(plain).collect())) and free.count() > 10
+    assert chat.chat_windows(plain.withColumn("n", F.lit(0)), budget=20, history_tokens=5, tokens="n").agg(F.max("tokens")).first()[0] <= 20
+
+
 # 5
 
 
@@ -685,6 +694,20 @@ def test_scores_equal_plain_compression(spark):
     assert set(got) == {i for i, _ in rows} and all(abs(got[i] - plain(t)) < 1e-6 for i, t in rows)
 
 
+def test_quality_sample_is_whole_texts_within_its_bound(spark):
+    """Rows that repeat an id teach one text, and the bound counts whole texts in hash order."""
+    rng = random.Random(6)
+    good, bad = ("".join(rng.choice("etaoin ") for _ in range(9000)) for _ in range(2))
+    rows = [(i, (good if i % 2 else bad.upper())[i : i + 8000]) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once, again = (quality.fit(docs(spark, r), labels) for r in (rows, rows * 3))
+    assert once.weights == again.weights
+    few = quality.fit(docs(spark, rows), labels, sample_bytes=30_000)
+    assert few.weights != once.weights
+    got = {r.doc_id: r.score for r in quality.score(docs(spark, rows), once).collect()}
+    assert min(got[i] for i in range(1, 40, 2)) > max(got[i] for i in range(0, 40, 2))
+
+
 # 9
 
 
