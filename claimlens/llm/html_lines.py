@@ -1,14 +1,17 @@
 """Operator 5. HTML main text by line-block distribution (after Chen Xin's cx-extractor).
 
 Markup is stripped and every block element becomes a line with a size: the length of its text
-without anchors. Lines of elements that are never main text (menus, footers, forms, adverts,
-comments and the like) have size 0 and stand between empty lines. Sums of sizes over a
-sliding window of lines surge where the main text starts and dive where it ends; the lines
-between are kept, and so are the lines elsewhere in the blocks that hold them, as an advert or
-a list of links within a text doesn't end it. On pages without a surge the highest windows
-count as one. Text in <article> or <main> weighs `NAMED_WEIGHT` times as much: it surges at
-any length and other text only at as many times the characters, unless a run of other text
-outweighs all of it; then no element counts as named.
+without anchors. Elements stand apart by empty lines where they divide the page. Sums of sizes
+over a sliding window of lines surge where the main text starts and dive where it ends; the
+lines between are kept, and so are the lines elsewhere in the blocks that hold them, as an
+advert or a list of links within a text doesn't end it. On pages without a surge the highest
+windows count as one.
+
+Tags and names only weigh. Text in <article> or <main> weighs NAMED_WEIGHT times as much: it
+surges at any length and other text only at as many times the characters, unless a run of other
+text outweighs all of it; then no element counts as named. Text of elements whose tag or name
+is that of a menu, footer, form, advert, comment or the like weighs a sixteenth, and so
+surges only if it is long beyond measure.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ WINDOW = 3
 #: A window surges at this many characters, or at the page's highest sum if that is less, where no element names the main text; text outside a named element, at NAMED_WEIGHT times as many.
 SURGE = 50
 NAMED_WEIGHT = 4
+#: The part of its size that text apart counts with.
+APART_SHARE = 16
 
 # Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Blocks that hold text, but never the main one, and elements whose content isn't text of the page at all.
+#: Blocks that hold text, but hardly the main one, and elements whose content isn't text of the page at all.
 APART = frozenset("aside dialog fieldset footer form menu nav".split())
 SILENT = frozenset("applet audio button canvas datalist embed head iframe input label legend map noscript object option script select style svg template textarea title video".split())
 NAMED = frozenset("article main".split())
@@ -48,7 +53,9 @@ UNWANTED = frozenset(
     "recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget widgets".split()
 )
 #: Words that may join them in a name ("ad-slot", "comment-list") without making it one of something else ("notice-period").
-PLAIN = frozenset("area articles aside bar block body bottom box button buttons card center column container content dialog fixed footer form global group header icons inner item items left link links list main media message more page panel post posts primary print right secondary section sidebar site slot stories sticky text thread top unit user view wrap wrapper".split())
+PLAIN = frozenset("area articles aside bar block body bottom box button buttons card center column dfp google gpt container content dialog fixed footer form global group header icons inner item items left link links list main media message more page panel post posts primary print right secondary section sidebar site slot stories sticky text thread top unit user view wrap wrapper".split())
+#: Of these, the ones that tell an advert even on a single paragraph.
+ADVERT = frozenset("ad ads advert adverts advertisement advertising cookie cookies newsletter promo promoted promotion sponsor sponsored subscribe subscription".split())
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -70,7 +77,8 @@ class _Lines(HTMLParser):
     def line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, 0, False, APART_FROM_ALL) if self.apart else (text, max(0, len(text) - self.anchor), self.named > 0, self.block))
+            size = max(0, len(text) - self.anchor)
+            self.lines.append((text, size // APART_SHARE, False, APART_FROM_ALL) if self.apart else (text, size, self.named > 0, self.block))
         self.text, self.anchor = [], 0
 
     def gap(self) -> None:
@@ -143,8 +151,8 @@ class _Lines(HTMLParser):
                 return True
             if name in ("class", "id", "role", "aria-label") and value and tag not in HEADINGS:
                 for one in value.split() if name != "aria-label" else [value]:
-                    words = {w.lower() for w in _NAME.findall(one)}
-                    if words & UNWANTED and words <= UNWANTED | PLAIN:
+                    words = {w.lower() for w in _NAME.findall(one) if len(w) > 1}
+                    if words & (ADVERT if tag == "p" else UNWANTED) and words <= UNWANTED | PLAIN:
                         return True
         return False
 

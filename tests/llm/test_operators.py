@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import numpy as np
 import pytest
@@ -523,15 +524,6 @@ def test_names_of_text_are_kept(page, text):
     assert html.main_text(page) == text
 
 
-def lines_of(page):
-    parser = html._Lines()
-    parser.feed(page)
-    parser.close()
-    parser.pop(0)
-    parser.line()
-    return parser.lines
-
-
 def test_surge_and_dive_equal_the_definition():
     """A line is kept if a window that surges starts at it or before it, and no window without text between."""
     rng = random.Random(13)
@@ -545,12 +537,58 @@ def test_surge_and_dive_equal_the_definition():
         assert html.between(lines, size, False) == want
 
 
-def test_the_distribution_decides_on_the_pages(spark):
-    """Menus, adverts and footers are lines like others: without surge and dive they'd be in the text."""
-    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
-    for page in pages:
-        everything = "\n\n".join(line[0] for line in lines_of(page) if line[0])
-        assert html.main_text(page) and html.main_text(page) in everything and len(html.main_text(page)) < len(everything)
+def plain_main_text(page):
+    """The method for pages without nested containers, by regular expressions: every line's size, the windows' sums, surge and dive."""
+    page = re.sub(r"(?s)<!--.*?-->|<(script|style|title)\b.*?</\1>", "", page)
+    lines, text, links, inside, apart, link = [], "", 0, False, False, False
+
+    def line():
+        nonlocal text, links
+        said = " ".join(text.split())
+        if said:
+            size = len(said) - links
+            lines.append((said, 4 * len(said) if inside else size // 16 if apart else size, inside))
+        text, links = "", 0
+
+    for tag, name, said in re.findall(r"(<(/?\w+)[^>]*>)|([^<]+)", page):
+        name = name.lower()
+        if not tag:
+            said = unescape(said)
+            text += said
+            links += len(" ".join(said.split())) if link else 0
+            continue
+        link = name == "a" or link and name != "/a"
+        if name == "br":
+            text += " "
+        elif name.strip("/") in html.BLOCKS:
+            line()
+            if name in ("nav", "footer") or 'class="ad"' in tag:
+                apart = True
+            if name.strip("/") in ("nav", "footer", "div", "article"):
+                inside = name == "article"
+                apart = apart and name[0] != "/"
+                lines += [("", 0, inside)] * 3
+    line()
+    sums = [sum(n for _, n, i in lines[k : k + 3] if i == lines[k][2]) for k in range(len(lines))]
+    kept, on = [], False
+    for k, (said, n, i) in enumerate(lines):
+        on = (on and sums[k] > 0 and i == lines[k - 1][2]) or (n > 0 and sums[k] >= (1 if i else 200))
+        kept += [said] if on and said else []
+    return "\n\n".join(kept)
+
+
+def test_main_text_equals_brute_force_and_the_sums_decide(spark, monkeypatch):
+    """On every page of a table: the plain method's text; and without surge and dive another one."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    found = [html.main_text(p) for p in pages]
+    assert found == [plain_main_text(p) for p in pages] and all(found)
+    monkeypatch.setattr(html, "between", lambda lines, size, named: [bool(line[0]) and n > 0 for line, n in zip(lines, size, strict=True)])
+    assert not any(html.main_text(p) == t for p, t in zip(pages, found, strict=True))
+
+
+def test_names_of_paragraphs_and_adverts():
+    page = "<article><p>First words of it, long enough.</p><p class='social'>Social life.</p><div class='gpt-ad-300x250'>Buy this</div><p class='advert'>Or this</p><p>Last.</p></article>"
+    assert html.main_text(page) == "First words of it, long enough.\n\nSocial life.\n\nLast."
 
 
 def test_long_pages_are_read_whole():
