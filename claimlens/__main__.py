@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions import ids
 from claimlens.operators.repair import repair
-from claimlens.operators.report import format_report
+from claimlens.operators.report import format_report, report_lines
 from claimlens.operators.validate import validate
 from claimlens.plans import lifecycle
 from claimlens.plans.config import load_config
@@ -95,7 +95,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             n += 1
         return 1 if n or made["unreadable"].count() else 0
     made = lifecycle.repair_data(spark, args.path, refs, fixing, config)
-    print(format_report(made["results"], verbose=args.verbose))
+    for r in report_lines(made["results"], verbose=args.verbose).toLocalIterator():
+        print(r["line"])
     if args.apply:
         print(f"{lifecycle.write_back(made['changed'], fixing.create_backup)} files changed")
     report = made["report"].first()

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.operators.json_walk import json_claims, parsed_json
 from claimlens.plans.config import ValidationConfig
+from claimlens.plans.stage import staged
 
 CLAIMS = "file string, path string, supporting_text string, reference_id string, expected_title string"
 
@@ -119,6 +121,14 @@ def nested_claims(documents: DataFrame, target_class: str | None = None, schema:
     """Claims of documents (file, value: YAML or JSON text); see CLAIMS. By schema if a target
     class is given, and then with their `kind` (excerpt or title), else by names. An unreadable
     document has one row with a null path."""
+    made: DataFrame | None = None
+    if target_class is None:
+        # JSON is walked in the JVM; what its parser doesn't take, and YAML, in Python.
+        parsed = staged(parsed_json(documents.where(F.col("file").endswith(".json"))))
+        made = json_claims(parsed.where("node is not null"))
+        documents = documents.where(~F.col("file").endswith(".json")).select("file", "value").unionByName(parsed.where("node is null").select("file", "value"))
+        if documents.isEmpty():
+            return made
     schema_of_rows = CLAIMS + (", kind string" if target_class else "")
     names = [c.split()[0] for c in schema_of_rows.split(", ")]
 
@@ -137,7 +147,8 @@ def nested_claims(documents: DataFrame, target_class: str | None = None, schema:
                     rows += [(file, *claim) for claim in found]
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return documents.select("file", "value").mapInPandas(run, schema_of_rows)
+    walked = documents.select("file", "value").mapInPandas(run, schema_of_rows)
+    return walked if made is None else made.unionByName(walked)
 
 
 def evidence_rows(df: DataFrame, items: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,32 +55,48 @@ _TITLES = (
 )
 
 
-def format_report(results: DataFrame, lines_per_section: int | None = None, verbose: bool = False) -> str:
-    """The report as text for a terminal: all actions by claim, or the first lines_per_section
-    of each section and how many more there are. The driver reads one partition at a time."""
-    out = ["=" * 60, "Repair Report", "=" * 60, ""]
+_COUNTS = (("Total items", "total_items"), ("Already valid", "already_valid_count"), ("Auto-fixes", "auto_fixed_count"), ("Suggestions", "suggested_count"), ("Removals", "removal_count"), ("Unverifiable", "unverifiable_count"))
+
+
+def _lines_of_actions(sections: DataFrame, verbose: bool) -> DataFrame:
+    """Each action as an array of report lines."""
+    cut = lambda c, n: F.concat(F.substring(F.col(c), 1, n), F.lit("..."))
+    name = F.col("section")
+    head = F.concat(F.lit("  "), F.coalesce("reference_id", F.lit("None")), F.when(F.coalesce("path", F.lit("")) != "", F.concat(F.lit(" at "), "path")).otherwise(""), F.lit(":"))
+    percent = F.concat(F.lit("    Similarity: "), F.bround(F.col("similarity_score") * 100, 0).cast("int").cast("string"), F.lit("%"))
+    snippet = F.concat(F.lit("    Snippet: '"), cut("original_text", 60), F.lit("'"))
+    change = F.concat(F.lit("    '"), cut("original_text", 50), F.lit("' → '"), F.coalesce(cut("repaired_text", 50), F.lit("N/A...")), F.lit("'"))
+    suggestion = F.concat(F.lit("    Suggestion: '"), cut("repaired_text", 80), F.lit("'"))
+    more = F.when(name == "fixes", change).when((name == "suggestions") & F.lit(verbose) & (F.col("repaired_text") != ""), suggestion)
+    other = F.array_compact(F.array(head, F.concat(F.lit("    "), F.col("description")), more))
+    return sections.select("section", "claim_id", "ord", F.when(name == "removals", F.array(head, percent, snippet)).otherwise(other).alias("lines"))
+
+
+def report_lines(results: DataFrame, lines_per_section: int | None = None, verbose: bool = False) -> DataFrame:
+    """The report as a table of its lines, in order: (part, place, claim_id, ord, n, line), sorted
+    by these. All actions by claim, or the first lines_per_section of each section and how many
+    more there are. Nothing is gathered; the sort is a range partitioning."""
     sections = repair_sections(results)
-    sizes = {r["section"]: r["count"] for r in sections.groupBy("section").count().collect()}
-    for name, title in _TITLES:
-        if not sizes.get(name):
-            continue
-        rows = sections.where(F.col("section") == name).orderBy("claim_id", "ord")
-        out.append(title)
-        for r in (rows if lines_per_section is None else rows.limit(lines_per_section)).toLocalIterator():
-            out.append(f"  {r.reference_id}{f' at {r.path}' if r.path else ''}:")
-            if name == "removals":
-                out += [f"    Similarity: {r.similarity_score * 100:.0f}%", f"    Snippet: '{r.original_text[:60]}...'"]
-                continue
-            out.append(f"    {r.description}")
-            if name == "fixes":
-                out.append(f"    '{r.original_text[:50]}...' → '{(r.repaired_text or 'N/A')[:50]}...'")
-            elif name == "suggestions" and verbose and r.repaired_text:
-                out.append(f"    Suggestion: '{r.repaired_text[:80]}...'")
-        if lines_per_section is not None and sizes[name] > lines_per_section:
-            out.append(f"  ... and {sizes[name] - lines_per_section} more")
-        out.append("")
-    n = repair_report(results).first()
-    out += ["-" * 60, "Summary:"]
-    for label, value in (("Total items", n.total_items), ("Already valid", n.already_valid_count), ("Auto-fixes", n.auto_fixed_count), ("Suggestions", n.suggested_count), ("Removals", n.removal_count), ("Unverifiable", n.unverifiable_count)):
-        out.append(f"  {label}: {value}")
-    return "\n".join(out)
+    part = F.array_position(F.array(*[F.lit(n) for n, _ in _TITLES]), F.col("section")).cast("int")
+    actions = _lines_of_actions(sections, verbose).withColumn("part", part)
+    sizes = actions.groupBy("part").agg(F.count("*").alias("size"))
+    if lines_per_section is not None:
+        order = Window.partitionBy("part").orderBy("claim_id", "ord")
+        actions = actions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lines_per_section)
+    null = F.lit(None).cast("long")
+    titles = F.element_at(F.array(*[F.lit(t) for _, t in _TITLES]), F.col("part"))
+    body = actions.select("part", F.lit(1).alias("place"), F.col("claim_id").cast("long").alias("claim_id"), "ord", F.posexplode("lines").alias("n", "line"))
+    fixed = lambda df, place, lines: df.select("part", F.lit(place).alias("place"), null.alias("claim_id"), F.lit(0).alias("ord"), F.posexplode(lines).alias("n", "line"))
+    limit = F.lit(lines_per_section if lines_per_section is not None else 2**31 - 1)
+    ends = F.array_compact(F.array(F.when(F.col("size") > limit, F.concat(F.lit("  ... and "), (F.col("size") - limit).cast("string"), F.lit(" more"))), F.lit("")))
+    summary = F.array(F.lit("-" * 60), F.lit("Summary:"), *[F.concat(F.lit(f"  {label}: "), F.col(c).cast("string")) for label, c in _COUNTS])
+    head = F.array(*[F.lit(x) for x in ("=" * 60, "Repair Report", "=" * 60, "")])
+    totals = repair_report(results)
+    every = [body, fixed(sizes, 0, F.array(titles)), fixed(sizes, 2, ends), fixed(totals.withColumn("part", F.lit(0)), 0, head), fixed(totals.withColumn("part", F.lit(9)), 0, summary)]
+    return reduce(DataFrame.unionByName, every).orderBy("part", "place", "claim_id", "ord", "n")
+
+
+def format_report(results: DataFrame, lines_per_section: int | None = None, verbose: bool = False) -> str:
+    """The lines of report_lines() as one text, for a terminal: ask for few lines per section, or
+    read the table's lines, where there may be many."""
+    return "\n".join(r["line"] for r in report_lines(results, lines_per_section, verbose).toLocalIterator())

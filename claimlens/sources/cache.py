@@ -149,21 +149,45 @@ def _plain(text: str) -> dict:
     return json.loads(text)
 
 
-def write_markdown(refs: DataFrame, path: str) -> None:
-    """One file per reference in a folder that all executors share."""
+def write_files_whole(rows: Iterator, folder: str) -> None:
+    """Write rows (file, value) into a folder. A file appears under its name once whole; a task
+    that breaks off leaves what was there, and one that runs again writes the same."""
+    import os
+    import uuid
+
+    for r in rows:
+        part = os.path.join(folder, f".{r['file']}.{uuid.uuid4().hex}")
+        try:
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(r["value"])
+            os.replace(part, os.path.join(folder, r["file"]))
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+
 
-    def write(rows: Iterator) -> None:
-        from pathlib import Path
+def write_folder(files: DataFrame, folder: str) -> None:
+    """Files (file, value) in a folder that all executors share, each whole or not at all."""
+    import os
+    from urllib.parse import unquote, urlparse
 
-        for r in rows:
-            Path(path, r["file"]).write_text(r["value"], encoding="utf-8")
+    where = unquote(urlparse(folder).path)
+    os.makedirs(where, exist_ok=True)
+    files.select("file", "value").foreachPartition(lambda rows: write_files_whole(rows, where))
 
-    to_markdown(refs).foreachPartition(write)
+
+def write_markdown(refs: DataFrame, path: str) -> None:
+    """One cache file per reference in a folder that all executors share."""
+    write_folder(to_markdown(refs), path)
 
 
-def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
-    """The store with new references in place of those of the same id."""
-    return store.join(new.select("reference_id"), "reference_id", "left_anti").unionByName(new)
+def upsert(store: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The store with new references in place of those of the same id. Of new records of one id
+    the one counts that is last by the column `order`, else by its text as JSON."""
+    whole = F.struct(*new.columns)
+    last = F.max_by(whole, F.struct(F.col(order), F.to_json(whole)) if order else F.to_json(whole))
+    once = new.groupBy(F.col("reference_id").alias("_id")).agg(last.alias("r")).select("r.*")
+    return store.join(once.select("reference_id"), "reference_id", "left_anti").unionByName(once)
 
 
 def lookup(refs: DataFrame, reference_ids: list[str], form: str = "json") -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, parsers, extraction, full text, write-back, streams and the command line."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,59 @@ def test_nested_claims(spark):
     assert [(r.path, r.supporting_text) for r in extract.nested_claims(docs.where("file = 'a.json'"), "Top", by_class).collect()] == [("members[0].has_evidence[0].supporting_text", "s2")]
 
 
+def test_json_in_the_jvm_equals_the_walk_in_python(spark):
+    """Random trees of any depth: the same claims level by level as by recursion."""
+    rng = random.Random(11)
+    keys = ["evidence", "has_evidence", "supporting_text", "snippet", "reference", "reference_id", "title", "reference_title", "id", "x-y", "é"]
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 6 or depth and kind < 0.5:
+            return {k: tree(depth - 1) for k in rng.sample(keys, rng.randint(2, 9))}
+        if depth and kind < 0.65:
+            return [tree(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice(["", "quote \"q\" é", "P:1", "t", 0, 3, 2.5, True, False, None, [], {}])
+
+    deep = {"supporting_text": "far down", "reference": "P:2"}
+    for _ in range(5):
+        deep = {"a": [deep]}
+    texts = [json.dumps(tree(6), ensure_ascii=rng.random() < 0.5) for _ in range(300)] + [json.dumps(deep), "[]", "3", "null", '"s"', '[{"supporting_text": "q", "reference": "P:3"}]', "{bad", "", '{"supporting_text": "a", "supporting_text": "b", "reference": "P:4"}']
+    docs = spark.createDataFrame([(f"{k}.json", t) for k, t in enumerate(texts)] + [("n.json", None)], "file string, value string")
+    want = []
+    for k, t in [*enumerate(texts), ("n", "")]:
+        data = extract.load_instances(t, "x.json")
+        if data is None:
+            want.append((f"{k}.json", None, None, None, None))
+            continue
+        for n, one in enumerate(data):
+            want += [(f"{k}.json", *c[:3], c[3] if isinstance(c[3], str) else None) for c in extract.walk_names(one, f"[{n}]" if len(data) > 1 else "")]
+    got = [tuple(r) for r in extract.nested_claims(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(w[2] is not None for w in want) > 40
+    only = extract.nested_claims(docs.where("file = '300.json'"))
+    assert [r.reference_id for r in only.collect()] == ["P:2"] and "Python" not in only._jdf.queryExecution().toString() and "MapInPandas" not in only._jdf.queryExecution().toString()
+
+
+def test_cache_files_appear_whole_and_records_replace_each_other(spark, tmp_path):
+    """No part of a file is left where a writer breaks off, and of two new records the later one counts."""
+    refs = spark.createDataFrame([("P:1", "old", "1"), ("P:2", "kept", "1")], "reference_id string, content string, year string")
+    new = spark.createDataFrame([("P:1", "newer", "3"), ("P:1", "new", "2"), ("P:3", "added", "1")], "reference_id string, content string, year string")
+    got = {r.reference_id: r.content for r in cache.upsert(refs, new, "year").collect()}
+    assert got == {"P:1": "newer", "P:2": "kept", "P:3": "added"} and cache.upsert(refs, new, "year").count() == 3
+    full = refs.select("reference_id", "content", F.lit("summary").alias("content_type"), *[F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("journal", "string"))])
+    cache.write_markdown(full, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["P_1.md", "P_2.md"]
+
+    class Broken(dict):
+        def __getitem__(self, key):
+            if key == "value":
+                return "text" + 3  # breaks off while a file is being written
+            return dict.__getitem__(self, key)
+
+    with pytest.raises(TypeError):
+        cache.write_files_whole(iter([Broken(file="P_1.md")]), str(tmp_path))
+    assert "old" in (tmp_path / "P_1.md").read_text() and len(list(tmp_path.iterdir())) == 2
+
+
 def test_schemas_with_imports_and_mixins(spark, tmp_path):
     (tmp_path / "base.yaml").write_text("""
 prefixes: {my: 'http://purl.org/dc/terms/', odd: {prefix_reference: 'http://odd/'}}
