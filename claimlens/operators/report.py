@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
-def validation_report(results: DataFrame) -> DataFrame:
-    """One row of counts; is_valid if there is no error (warnings pass)."""
-    return results.agg(
-        F.count("*").alias("total_validations"),
+def _validation_counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("total_validations"),
         F.count_if("is_valid").alias("valid_count"),
         F.count_if(~F.col("is_valid")).alias("invalid_count"),
         F.count_if(F.col("severity") == "ERROR").alias("error_count"),
         F.count_if(F.col("severity") == "WARN").alias("warning_count"),
         (F.count_if(F.col("severity") == "ERROR") == 0).alias("is_valid"),
-    )
+    ]
+
+
+def validation_report(results: DataFrame) -> DataFrame:
+    """One row of counts; is_valid if there is no error (warnings pass)."""
+    return results.agg(*_validation_counts())
+
+
+def with_validation_report(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """The results, and their report, which is filled in while they are written or collected:
+    `.get` then has it as a dictionary. No further pass over the claims is made for it."""
+    observation = Observation("validation_report")
+    return results.observe(observation, *_validation_counts()), observation
 
 
 def files_report(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -25,18 +36,28 @@ def files_report(findings: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("file").distinct().join(findings.groupBy("file").agg(F.count("*").alias("results")), "file", "left").fillna(0, ["results"])
 
 
-def repair_report(results: DataFrame) -> DataFrame:
-    """One row of counts over repair results."""
+def _repair_counts() -> list[Column]:
     has = lambda cond: F.exists("actions", cond)
-    return results.agg(
-        F.count("*").alias("total_items"),
+    return [
+        F.count(F.lit(1)).alias("total_items"),
         F.count_if("was_valid").alias("already_valid_count"),
         F.count_if("is_repaired").alias("repaired_count"),
         F.count_if(F.col("is_repaired") & has(lambda a: a["can_auto_fix"])).alias("auto_fixed_count"),
         F.count_if(~F.col("was_valid") & has(lambda a: a["confidence"] == "MEDIUM")).alias("suggested_count"),
         F.count_if(has(lambda a: a["action_type"] == "REMOVAL")).alias("removal_count"),
         F.count_if(has(lambda a: a["action_type"] == "UNVERIFIABLE")).alias("unverifiable_count"),
-    )
+    ]
+
+
+def repair_report(results: DataFrame) -> DataFrame:
+    """One row of counts over repair results."""
+    return results.agg(*_repair_counts())
+
+
+def with_repair_report(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """As with_validation_report(), for repair results."""
+    observation = Observation("repair_report")
+    return results.observe(observation, *_repair_counts()), observation
 
 
 def repair_sections(results: DataFrame) -> DataFrame:

@@ -91,6 +91,32 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return parse_references(first)
 
 
+def read_named(reference_ids: DataFrame, folder: str) -> DataFrame:
+    """References of a cache folder that all executors share, for the ids (reference_id, normal
+    form) of a table: tasks open the files of these ids and no others, of any other number in
+    the folder. An id's .md file counts before its .txt file; ids without either have no row."""
+    import os
+    from urllib.parse import unquote, urlparse
+
+    where = unquote(urlparse(folder).path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for stem in batch["stem"]:
+                for suffix in (".md", ".txt"):
+                    try:
+                        with open(os.path.join(where, stem + suffix), encoding="utf-8") as f:
+                            found.append(f.read())
+                        break
+                    except FileNotFoundError:
+                        continue
+            yield pd.DataFrame({"value": found}, dtype=object)
+
+    stems = reference_ids.select(cache_name(F.col("reference_id"), "").alias("stem")).where("stem <> ''").distinct()
+    return parse_references(stems.mapInPandas(run, "value string"))
+
+
 def parse_references(values: DataFrame) -> DataFrame:
     """REFERENCE rows from a column `value` of file contents; what can't be read is left out."""
     names = T._parse_datatype_string(REFERENCE).fieldNames()

@@ -45,3 +45,43 @@ def rates(events: DataFrame, window: str = "10 minutes", late: str = "1 hour") -
     """Verdicts per window of their time `ts`; rows later than `late` are dropped with the window's state."""
     seen = events.withWatermark("ts", late)
     return seen.groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("claims"), F.count_if("is_valid").alias("valid")).select(F.col("w.start").alias("start"), "claims", "valid")
+
+
+#: What is known of a reference's full text, by the attempts so far.
+RETRY = "reference_id string, attempts int, last_error string, state string"
+
+
+def missing_once(claims: DataFrame, refs: DataFrame, config: ValidationConfig | None = None) -> DataFrame:
+    """(reference_id, source) of the references that a stream of claims names and the store lacks,
+    each once in the stream's life: what has been asked for is state, which a restart keeps."""
+    return unresolved(claims, refs, config).dropDuplicates(["reference_id"])
+
+
+def retries(attempts: DataFrame, most: int = 5) -> DataFrame:
+    """RETRY rows for a stream of attempts to get a full text (reference_id, usable, error: null
+    if none): a row for each reference that a batch says something new of, with its state.
+
+    'found' once an attempt was usable, 'none' after one that neither failed nor was usable, and
+    both for good; 'retry' while all have failed, and 'given up' after `most` of them. Attempts
+    of a batch count together: an error only if none of them went through. Null ids are passed over."""
+    import pandas as pd
+
+    def step(key, batches, held):
+        count, error, state = held.get if held.exists else (0, None, "retry")
+        rows = pd.concat(list(batches))
+        if state in ("found", "none"):
+            return
+        count += 1
+        failed = rows["error"].notna()
+        if rows["usable"].fillna(False).any():
+            error, state = None, "found"
+        elif failed.any():
+            error = sorted(rows["error"][failed])[-1]
+            state = "given up" if count >= most else "retry"
+        else:
+            error, state = None, "none"
+        held.update((count, error, state))
+        yield pd.DataFrame({"reference_id": [key[0]], "attempts": [count], "last_error": [error], "state": [state]})
+
+    keyed = attempts.where("reference_id is not null").select("reference_id", "usable", "error").groupBy("reference_id")
+    return keyed.applyInPandasWithState(step, RETRY, "attempts int, last_error string, state string", "update", "NoTimeout")

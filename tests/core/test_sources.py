@@ -11,7 +11,7 @@ from claimlens.operators import extract, fulltext
 from claimlens.operators.containment import passage_containment
 from claimlens.plans import lifecycle, stage
 from claimlens.plans.config import RepairConfig
-from claimlens.sources import cache, custom, formats, payloads, schema
+from claimlens.sources import cache, custom, formats, payloads, schema, store
 from claimlens.streaming import claims as stream
 
 MD = """---
@@ -195,6 +195,65 @@ def test_cache_files_appear_whole_and_records_replace_each_other(spark, tmp_path
     assert "old" in (tmp_path / "P_1.md").read_text() and len(list(tmp_path.iterdir())) == 2
 
 
+def test_named_references_open_their_files_alone(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"P_{k}.md").write_text(f"---\nreference_id: P:{k}\n---\n## Content\n\ntext {k}\n")
+    (tmp_path / "P_7.txt").write_text("ID: P:7\n\nolder\n")
+    (tmp_path / "Q_1.txt").write_text("ID: Q:1\n\nlegacy\n")
+    for k in range(20, 300):  # whoever opened these would fail
+        (tmp_path / f"P_{k}.md").write_bytes(b"\xff\xfe\xff")
+    wanted = spark.createDataFrame([("P:7",), ("Q:1",), ("P:7",), ("no:1",), ("",), (None,)], "reference_id string")
+    opened = sorted((r.reference_id, r.content) for r in cache.read_named(wanted, f"file://{tmp_path}").collect())
+    assert opened == [("P:7", "text 7"), ("Q:1", "legacy")]
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    refs = spark.range(400).select(F.concat(F.lit("P:"), "id").alias("reference_id"), F.lit("old").alias("content"), F.lit(1).alias("version"))
+    store.write_store(refs.unionByName(refs.limit(1)), path, 16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    new = spark.createDataFrame([("P:1", "new", 2), ("P:1", "newest", 3), ("Q:1", "added", 1)], "reference_id string, content string, version int")
+    assert store.update_store(spark, path, new, 16, "version") == len({r[0] for r in new.select(store.bucket_of(F.col("reference_id"), 16)).collect()}) <= 2
+    got = {r.reference_id: r.content for r in store.read_store(spark, path).collect()}
+    assert len(got) == 401 == store.read_store(spark, path).count() and got["P:1"] == "newest" and got["Q:1"] == "added" and got["P:2"] == "old"
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    kept = {p for p, t in before.items() if after.get(p) == t}
+    assert len({p.parent for p in before}) - len({p.parent for p in kept}) <= 2
+    assert store.update_store(spark, path, new.limit(0), 16) == 0
+
+
+def test_retries_keep_their_state_over_restarts(spark, tmp_path):
+    """Two runs of one stream: what was found or gone through is done with, failures count on."""
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    schema = "reference_id string, usable boolean, error string"
+
+    def batch(k, rows):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("reference_id", "usable", "error"), r, strict=True))) for r in rows))
+        frame = stream.retries(spark.readStream.schema(schema).json(str(folder)), most=2)
+        q = frame.writeStream.foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = sorted(seen)
+        seen.clear()
+        return got
+
+    first = batch(1, [("A", False, "timeout"), ("A", True, None), ("B", False, "timeout"), ("C", False, None), ("D", False, "x"), (None, True, None)])
+    assert first == [("A", 1, None, "found"), ("B", 1, "timeout", "retry"), ("C", 1, None, "none"), ("D", 1, "x", "retry")]
+    second = batch(2, [("A", False, "again"), ("B", False, "down"), ("C", True, None), ("D", True, None), ("E", False, "y")])
+    assert second == [("B", 2, "down", "given up"), ("D", 2, None, "found"), ("E", 1, "y", "retry")]
+
+
+def test_missing_references_are_named_once(spark, tmp_path):
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    refs = spark.createDataFrame([("P:1",)], "reference_id string")
+    for k, ids_ in enumerate([["P:1", "P:2", "p:2"], ["P:2", "P:3"]]):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps({"claim_id": n, "supporting_text": "x", "reference_id": i}) for n, i in enumerate(ids_)))
+        frame = stream.missing_once(stream.read_claims(spark, str(folder)), refs)
+        frame.writeStream.foreachBatch(lambda df, _: seen.append(sorted(r.reference_id for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [s for s in seen if s] == [["P:2"], ["P:3"]]
+
+
 def test_schemas_with_imports_and_mixins(spark, tmp_path):
     (tmp_path / "base.yaml").write_text("""
 prefixes: {my: 'http://purl.org/dc/terms/', odd: {prefix_reference: 'http://odd/'}}

@@ -10,7 +10,7 @@ from claimlens.functions.fuzzy import partial_ratio
 from claimlens.operators.fuzzy_search import fuzzy_search
 from claimlens.operators.quote_parts import held_parts
 from claimlens.operators.repair import ellipsis_insertion, repair
-from claimlens.operators.report import format_report, repair_report, validation_report
+from claimlens.operators.report import format_report, repair_report, validation_report, with_repair_report, with_validation_report
 from claimlens.operators.validate import failures, validate, validate_title, validate_typed
 from claimlens.plans.config import RepairConfig, ValidationConfig, load_config
 
@@ -99,6 +99,15 @@ def test_typed_claims(spark, refs):
     }
 
 
+def test_reports_are_filled_while_results_are_written(spark, refs, tmp_path):
+    """The same counts as by a pass of their own."""
+    asked = claims(spark, [c[0] for c in CASES])
+    for made, report, counted in ((validate(asked, refs), validation_report, with_validation_report), (repair(asked, refs), repair_report, with_repair_report)):
+        results, seen = counted(made)
+        results.write.parquet(str(tmp_path / report.__name__))
+        assert seen.get == report(made).first().asDict() and seen.get
+
+
 def test_literal_brackets(spark, refs):
     c = claims(spark, [("[2Fe-2S] cluster", "PMID:3")])
     assert not validate(c, refs, ValidationConfig(literal_bracket_patterns=(r"\d",)), suggest=False).where("not is_valid").count()
