@@ -112,3 +112,52 @@ def sql_identifier(x: str) -> str:
     return rf"case when regexp_matches(trim({x}), '^https?://') then trim({x}) when regexp_matches(trim({x}), '^[A-Za-z_]+[:\s]+.+$') then trim(regexp_extract(trim({x}), '^([A-Za-z_]+)[:\s]+(.+)$', 2)) else trim({x}) end"
 
 
+def sql_fuzzy(threshold: float) -> str:
+    """CTEs that search the closest sentence for the rows of `asked` (claim_id, query, content):
+    `closest` (claim_id, query, found, score, best_match). They need WITH RECURSIVE.
+
+    `combed` compares the shorter string of each pair with all parts of the longer one: x and y
+    are their characters, x in reverse; h and v the strands that cross their rows and columns.
+    A step crosses an antidiagonal: strands turn where characters are equal or the one from the
+    left is later. `own` then is where a part must begin to lose a column."""
+    return f"""flat as (
+  select *, lower({sql_flat("query")}) as q_norm, {sql_words("query")} as q_words, lower({sql_flat("content")}) as t_norm from asked),
+judged as (
+  select *, case when contains(t_norm, q_norm) then 'exact' when len(string_split(q_norm, ' ')) < 5 then 'none' else 'search' end as state from flat),
+sentences as (
+  select claim_id, q_norm, q_words, unnest({sql_sentences("content")}) as sentence, unnest(range(len({sql_sentences("content")}))) as pos from judged where state = 'search'),
+overlapping as (
+  select *, lower({sql_flat("sentence")}) as s_norm, 100.0::double * len(list_intersect(q_words, {sql_words("sentence")})) / len(q_words) as overlap from sentences where len(q_words) > 0),
+met as (select *, row_number() over () as pair from overlapping where overlap > 0),
+pairs as (
+  select pair, case when length(q_norm) <= length(s_norm) then q_norm else s_norm end as a, case when length(q_norm) <= length(s_norm) then s_norm else q_norm end as b
+  from met where not contains(s_norm, q_norm) and not contains(q_norm, s_norm)
+  union all select pair, s_norm, q_norm from met where length(q_norm) = length(s_norm) and q_norm <> s_norm),
+spelled as (
+  select pair, length(a) as n, length(b) as m, list_reverse(list_transform(string_split(a, ''), lambda c: ord(c))) as x, list_transform(string_split(b, ''), lambda c: ord(c)) as y from pairs),
+combed as (
+  select pair, n, m, x, y, 0 as d, list_transform(range(n), lambda k: k::int) as h, list_transform(range(m), lambda k: (n + k)::int) as v from spelled
+  union all
+  select pair, n, m, x, y, d + 1,
+    h[1 : n - 1 - d + f] || list_transform(z, lambda t: case when t[1] = t[2] or t[3] > t[4] then t[4] else t[3] end) || h[n - d + l :],
+    v[1 : f] || list_transform(z, lambda t: case when t[1] = t[2] or t[3] > t[4] then t[3] else t[4] end) || v[l + 1 :]
+  from (
+    select *, list_zip(x[n - d + f : n - 1 - d + l], y[f + 1 : l], h[n - d + f : n - 1 - d + l], v[f + 1 : l]) as z
+    from (select *, greatest(0, d - n + 1) as f, least(m, d + 1) as l from combed where d < n + m - 1))),
+lost as (select pair, n, m, list_transform(v, lambda q: q - n) as own from combed where d = n + m - 1),
+shares as (
+  select pair, greatest(
+    list_max(list_transform(range(m - n + 1), lambda i: (n - len(list_filter(own[i + 1 : i + n], lambda q: q >= i)))::double / n)),
+    coalesce(list_max(list_transform(range(1, n), lambda w: (2 * (w - len(list_filter(own[1 : w], lambda q: q >= 0))))::double / (n + w))), 0),
+    coalesce(list_max(list_transform(range(1, n), lambda w: (2 * (w - len(list_filter(own, lambda q: q >= m - w))))::double / (n + w))), 0)) as share from lost),
+ratios as (select pair, 100.0::double * max(share) as ratio from shares group by 1),
+scored as (select met.*, coalesce(ratio, 100.0::double) as ratio, case when overlap >= 50 then coalesce(ratio, 100.0::double) else coalesce(ratio, 100.0::double) * overlap / 50.0::double end as effective from met left join ratios using (pair)),
+bests as (
+  select claim_id, arg_min(struct_pack(ratio := ratio, sentence := sentence), pos) filter (where ratio >= 95 and overlap >= 50) as first,
+    first(struct_pack(effective := effective, overlap := overlap, sentence := sentence) order by effective desc, pos) as top
+  from scored where effective > 0 group by 1),
+closest as (
+  select claim_id, query, state = 'exact' or first is not null or coalesce(top.effective >= {threshold} and top.overlap >= 50, false) as found,
+    case when state = 'exact' then 100.0::double when first is not null then first.ratio else coalesce(top.effective, 0.0::double) end as score,
+    case when state = 'exact' then query when first is not null then first.sentence else top.sentence end as best_match
+  from judged left join bests using (claim_id))"""

@@ -232,14 +232,26 @@ def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Search and repair
 
 
-@query()
+@query(
+    f"""with recursive {d.REFERENCES_SQL}, {d.CLAIMS_SQL},
+asked as (select claim_id, supporting_text as query, content from claims join refs on 'DOC:' || claim_id = refs.reference_id where content is not null),
+{d.sql_fuzzy(70.0)} select claim_id, query, found, score, best_match from closest"""
+)
 def fuzzy_best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = d.claims(spark, sf_dir).select("claim_id", F.col("supporting_text").alias("query"), F.concat(F.lit("DOC:"), F.col("claim_id").cast("string")).alias("ref_key"))
     contents = d.references(spark, sf_dir).where("content is not null").select(F.col("reference_id").alias("ref_key"), "content")
     return fuzzy_search(q, contents, threshold=70.0)
 
 
-@query()
+@query(
+    f"""with recursive {_validation_sql("WARN", "SRA")},
+asked as (select claim_id, supporting_text as query, content from v join refs r on v.ref_key = r.reference_id where compared and not v.found and len(parts) > 0),
+{d.sql_fuzzy(70.0)}
+select s.claim_id, s.is_valid, s.severity, s.message, case when s.found then 1.0::double when not s.found then coalesce(score, 0.0::double) / 100 end as similarity_score, best_match,
+  case when best_match is not null and score > 70 then case when score > 90 and lower(query) = lower(best_match) then 'Capitalization differs - try: "' || best_match || '"'
+    when score > 90 then 'Very close match (' || round_even(score, 0)::int || '%) - try: "' || best_match || '"' else 'Partial match found (' || round_even(score, 0)::int || '%): "' || best_match || '"' end end as suggested_fix
+from results s left join closest c using (claim_id)"""
+)
 def validate_with_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(d.claims(spark, sf_dir), d.references(spark, sf_dir), SKIPPING).select("claim_id", "is_valid", "severity", "message", "match.similarity_score", "match.suggested_fix", "match.best_match")
 
@@ -249,6 +261,52 @@ def repair_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(d.claims(spark, sf_dir), d.references(spark, sf_dir), validation=SKIPPING)
 
 
+_FRAGMENTS = r"list_filter(list_transform(string_split_regex(query, '[.!?]\s+'), lambda p: trim(p)), lambda p: p <> '')"
+_DECIDED = f"""with recursive {_validation_sql("WARN", "SRA")},
+checked as (select v.*, content, skipped or (v.found and title_ok) as was_valid from v left join refs r on v.ref_key = r.reference_id and not skipped),
+failed as (select claim_id, supporting_text as query, content, {d.sql_norm("content")} as whole, lower({d.sql_flat("content")}) as t from checked where not was_valid),
+cut_up as (
+  select *, {_FRAGMENTS} as fr from failed where content is not null and not contains(query, '...') and not contains(t, lower({d.sql_flat("query")}))),
+fragments as (select claim_id, content, t, len(fr) as n, unnest(fr) as fragment, unnest(range(len(fr))) as ord from cut_up where len(fr) >= 2),
+stood as (select *, instr(t, lower({d.sql_flat("fragment")})) as pos, length({d.sql_flat("fragment")}) as long from fragments),
+asked as (
+  select 'whole' || claim_id as claim_id, query, content from failed where content is not null
+  union all select claim_id || '/' || ord, fragment, content from stood where pos = 0),
+{d.sql_fuzzy(90.0)},
+placed as (
+  select s.claim_id, ord, fragment, n, case when c.found then instr(t, lower({d.sql_flat("best_match")})) else pos end as pos, case when c.found then length({d.sql_flat("best_match")}) else long end as long
+  from stood s left join closest c on c.claim_id = s.claim_id || '/' || ord),
+gaps as (select *, pos - lag(pos + long) over (partition by claim_id order by pos, ord) as gap from placed where pos > 0),
+joined as (select claim_id, string_agg(fragment, ' ... ' order by pos, ord) as spaced from gaps group by 1 having count(*) = max(n) and max(gap) > 50),
+inserted as (select claim_id, spaced from joined join failed using (claim_id) where len(list_filter({d.sql_parts("spaced")}, lambda p: not contains(whole, {d.sql_norm("p")}))) = 0),
+known as (
+  select f.claim_id, content is null as lost, spaced, coalesce(score, 0.0::double) as score, best_match, round_even(score, 0)::int || '%)' as percent
+  from failed f left join inserted using (claim_id) left join closest c on c.claim_id = 'whole' || f.claim_id),
+levels as (
+  select *, case when score / 100 >= 0.95 then 'HIGH' when score / 100 >= 0.8 then 'MEDIUM' when score / 100 >= 0.5 then 'LOW' else 'VERY_LOW' end as level,
+    best_match is null or score / 100 < 0.5 as removed from known),
+decided as (
+  select claim_id,
+    case when lost then 'UNVERIFIABLE VERY_LOW' when spaced is not null then 'ELLIPSIS_INSERTION MEDIUM' when level in ('HIGH', 'MEDIUM') and best_match is not null then 'FUZZY_CORRECTION ' || level
+      else concat_ws(', ', case when best_match is not null then 'FUZZY_CORRECTION ' || level end, case when removed then 'REMOVAL VERY_LOW' end) end as actions,
+    case when lost then null when spaced is not null then spaced when level in ('HIGH', 'MEDIUM') then best_match end as repaired_text,
+    not lost and (spaced is not null or (best_match is not null and level = 'HIGH')) as is_repaired,
+    case when lost then 'Reference content not available - cannot verify' when spaced is not null then 'Fixed via ellipsis insertion'
+      when level in ('HIGH', 'MEDIUM') and best_match is not null then 'Suggested fix via fuzzy matching (' || percent when removed then 'Flagged for removal - text not found in reference' else 'Could not find a suitable repair' end as message,
+    case when lost or spaced is not null or best_match is null then null when score >= 95 then 'Very close match (' || percent when score >= 80 then 'Close match (' || percent else 'Partial match (' || percent end as closeness
+  from levels)
+select c.claim_id, was_valid, coalesce(is_repaired, false) as is_repaired, repaired_text, coalesce(actions, '') as actions, coalesce(message, 'Already valid') as message, closeness from checked c left join decided using (claim_id)"""
+
+
+@query(_DECIDED)
+def repair_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of each claim: its actions by type and confidence, in order, and how close the closest sentence is."""
+    r = repair(d.claims(spark, sf_dir), d.references(spark, sf_dir), validation=SKIPPING)
+    said = F.array_join(F.transform("actions", lambda a: F.concat(a["action_type"], F.lit(" "), a["confidence"])), ", ")
+    close = F.get(F.filter("actions", lambda a: a["action_type"] == "FUZZY_CORRECTION"), 0)["description"]
+    return r.select("claim_id", "was_valid", "is_repaired", "repaired_text", said.alias("actions"), "message", close.alias("closeness"))
+
+
 _PAIRED = f"select doc_id, text, {d.sql_sentences('text')} as s from documents"
 
 
