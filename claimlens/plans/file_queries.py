@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions import text
-from claimlens.operators import extract, report
+from claimlens.operators import extract, fulltext, report
 from claimlens.operators.validate import suggested_fix
 from claimlens.plans import derived as d
 from claimlens.plans.stage import shared_dir
-from claimlens.sources import cache
+from claimlens.sources import cache, custom, payloads, store
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +149,66 @@ def suggested_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, t = F.col("doc_id"), F.col("text")
     best = F.when(i % 3 == 0, F.replace(t, F.lit("e"), F.lit("E"))).when(i % 3 == 1, F.concat(t, F.lit("!")))
     return d.table(spark, sf_dir, "documents").select("doc_id", F.md5(suggested_fix(t, best, (i % 101).cast("double"))).alias("fix_md5"))
+
+
+def _written(spark: SparkSession, files: dict[str, str]) -> str:
+    """A new folder in the shared one with these configuration files; its path."""
+    folder = Path(unquote(urlparse(shared_dir(spark)).path), f"config-{uuid.uuid4().hex}")
+    folder.mkdir(parents=True)
+    for name, value in files.items():
+        (folder / name).write_text(value, encoding="utf-8")
+    return str(folder)
+
+
+@query("""
+with s as (select n_nationkey as k, case when n_nationkey % 5 = 0 then 'v' when n_nationkey % 2 = 0 then 'u' else 't' end as field from nation)
+select 'N' || k || ':' || doc_id as reference_id, field || doc_id as title, md5(text) as content_md5, case when k % 5 > 0 and k % 2 = 0 then 'abstract_only' else 'summary' end as content_type
+from documents join s on doc_id % 27 = k
+""")
+def configured_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source for each nation, declared in files of a folder: of those of one prefix the later
+    file counts, and the main configuration before all; payloads of no source give no record."""
+    nations = sorted(r[0] for r in d.table(spark, sf_dir, "nation").select("n_nationkey").collect())  # configuration, which is the driver's
+    plain = {f"N{n}": {"fields": {"title": "$.t", "content": "$.x"}} for n in nations}
+    later = [{"prefix": f"N{n}", "fields": {"title": "$.u", "content": "$.x"}, "content_type": "abstract_only"} for n in nations if n % 2 == 0]
+    folder = _written(spark, {"b.yaml": yaml.safe_dump(later), "a.yml": yaml.safe_dump({"sources": plain}), "no.txt": "sources: {N1: {fields: {title: $.no}}}"})
+    main = {"sources": {f"N{n}": {"fields": {"title": "$.v", "content": "$.x"}} for n in nations if n % 5 == 0}}
+    sources = custom.load_custom_sources([folder], main)
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    prefix = F.concat(F.lit("N"), (i % 27).cast("string"))
+    body = F.to_json(F.struct(*[F.concat(F.lit(c), s).alias(c) for c in "tuv"], F.col("text").alias("x")))
+    landed = d.table(spark, sf_dir, "documents").select(F.concat(prefix, F.lit(":"), s).alias("reference_id"), prefix.alias("source"), body.alias("body"))
+    return payloads.parse_json_api(landed, sources).select("reference_id", "title", F.md5("content").alias("content_md5"), "content_type")
+
+
+@query("""
+select 'D:' || doc_id as reference_id, provider, case provider when 'one' then 'https://new/10.1/' || doc_id else 'https://two/' || doc_id || '/x' end as url
+from documents, (values ('one'), ('two')) p(provider) where provider = 'one' or doc_id % 4 > 0
+""")
+def configured_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to ask of providers declared in files: the later file's of one name, and none that
+    lacks a template or a field."""
+    first = {"providers": {"one": {"url_template": "https://old/{doi}", "text_field": "$.t"}, "two": {"url_template": "https://two/{pmid}/x", "location_field": "$.l"}, "none": {"url_template": "https://none/{doi}"}}}
+    second = {"providers": {"one": {"url_template": "https://new/{doi}", "location_field": "$.l"}}}
+    folder = _written(spark, {"first.yaml": yaml.safe_dump(first), "second.yaml": yaml.safe_dump(second)})
+    providers = custom.load_providers([f"{folder}/first.yaml", f"{folder}/second.yaml"])
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    who = d.table(spark, sf_dir, "documents").select(F.concat(F.lit("D:"), s).alias("reference_id"), F.concat(F.lit("10.1/"), s).alias("doi"), F.when(i % 4 > 0, s).alias("pmid"), F.lit(None).cast("string").alias("pmcid"))
+    return fulltext.declared_requests(who, providers)
+
+
+@query("""
+select 'DOC:' || doc_id as reference_id, md5(case when doc_id % 10 = 0 then text || ' newer' when doc_id % 10 = 1 then 'added ' || doc_id else text end) as content_md5 from documents
+""")
+def store_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store in buckets of nine tenths of the documents, and an update of two tenths, of which
+    some come twice: the later version counts."""
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    docs = d.table(spark, sf_dir, "documents").select(i, F.concat(F.lit("DOC:"), s).alias("reference_id"), F.col("text").alias("content"), F.lit(0).alias("version"))
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.write_store(docs.where("doc_id % 10 <> 1").drop("doc_id"), path, 16)
+    newer = docs.where("doc_id % 10 = 0").select("reference_id", F.concat("content", F.lit(" newer")).alias("content"), F.lit(2).alias("version"))
+    added = docs.where("doc_id % 10 = 1").select("reference_id", F.concat(F.lit("added "), s).alias("content"), F.lit(1).alias("version"))
+    between = newer.withColumns({"content": F.lit("zzz"), "version": F.lit(1)})
+    store.update_store(spark, path, newer.unionByName(added).unionByName(between), 16, "version")
+    return store.read_store(spark, path).select("reference_id", F.md5("content").alias("content_md5"))

@@ -6,6 +6,7 @@ JSON is read with JVM expressions; only repeated structures go through from_json
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from xml.etree import ElementTree
@@ -232,15 +233,20 @@ def parse_pubmed(payloads: DataFrame) -> DataFrame:
 
 def parse_json_api(payloads: DataFrame, sources: Mapping[str, Mapping]) -> DataFrame:
     """Payloads of config-declared sources: `fields` maps record columns to JSON paths, and
-    `extra_fields` names further ones, whose text follows the content in headed blocks."""
-    out = None
+    `extra_fields` names further ones, whose text follows the content in headed blocks. Sources
+    that are declared alike are parsed together, in one pass over the payloads."""
+    alike: dict[str, list[str]] = {}
     for prefix, conf in sources.items():
+        alike.setdefault(json.dumps([conf["fields"], conf.get("extra_fields"), conf.get("content_type")]), []).append(prefix)
+    out = None
+    for prefixes in alike.values():
+        conf = sources[prefixes[0]]
         fields = {k: jsonpath.first_match(F.col("body"), p) for k, p in conf["fields"].items() if k in ("title", "content", "journal", "year", "doi")}
         extra = jsonpath.extra_fields(F.col("body"), conf.get("extra_fields", {})) if conf.get("extra_fields") else None
         content = _some(fields.pop("content", F.lit(None).cast("string")))
         if extra is not None:
             content = _some(F.concat_ws("\n\n", content, _some(jsonpath.extra_content(extra))))
-        part = _record(payloads.where(F.col("source") == prefix), **fields, content=content, content_type=_content_type(content, conf.get("content_type", "summary")), metadata=extra)
+        part = _record(payloads.where(F.col("source").isin(*prefixes)), **fields, content=content, content_type=_content_type(content, conf.get("content_type", "summary")), metadata=extra)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else _record(payloads.limit(0))
 
