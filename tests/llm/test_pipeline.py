@@ -112,3 +112,17 @@ def test_stages_on_odd_rows(spark):
         if name != "mix":
             rows = [tuple(r) for r in stage(spark, docs, DATA).collect()]
             assert (None, None, "x", None, 1) in rows
+
+
+def test_run_applies_the_stages_in_turn(spark):
+    """run() over a whole table: what the stages give one after another, each on all its predecessor kept."""
+    got = pipeline.run(spark, DATA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, kept = docs.columns, [docs.count()]
+    for _, stage in pipeline.STAGES:
+        made = stage(spark, docs, DATA)
+        docs = spark.createDataFrame(made.collect(), made.schema)
+        kept.append(docs.count())
+    assert got.columns == docs.columns == [*columns, "copy"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    assert kept[0] > kept[1] > kept[2] >= kept[3] == kept[4] > 0
