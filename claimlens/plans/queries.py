@@ -424,17 +424,20 @@ def jsonpath_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.table(spark, sf_dir, "events").select("event_id", jsonpath.first_match(F.col("props"), "$.k").alias("k"), jsonpath.first_match(F.col("props"), "$..k").alias("deep"), jsonpath.extra_content(extra).alias("block"))
 
 
-_CANDIDATES = """c as (select 'DOC:' || doc_id as reference_id, p.provider, p.rank, case when (doc_id + p.rank) % 3 = 0 then text else repeat('short text ', ((doc_id * p.rank * 7) % 120)::int) end as t, (doc_id + p.rank) % 9 = 0 as error
+_CANDIDATES = """c as (select 'DOC:' || doc_id as reference_id, p.provider, p.rank, text || repeat(' more text', ((doc_id * p.rank * 7) % 120)::int) as t, (doc_id + p.rank) % 9 = 0 as error
   from documents, (values ('pmc', 1), ('epmc_preprint', 2), ('unpaywall', 3), ('openalex', 4)) p(provider, rank)),
-u as (select *, not error and length(trim(t)) >= 500 as usable from c)"""
+u as (select *, not error and length(trim(t)) >= 500 and (provider <> 'pmc' or length(t) > 1000) as usable from c)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each provider offers the whole text and an ending of its own; PMC, errors aside, nothing
+    up to its own floor."""
     ranks = F.posexplode(F.array(*[F.lit(p) for p in fulltext.PROVIDERS])).alias("r", "provider")
     c = d.table(spark, sf_dir, "documents").select("doc_id", "text", ranks).withColumn("rank", F.col("r") + 1)
-    offered = F.when((F.col("doc_id") + F.col("rank")) % 3 == 0, F.col("text")).otherwise(F.repeat(F.lit("short text "), (F.col("doc_id") * F.col("rank") * 7 % 120).cast("int")))
+    offered = F.concat("text", F.repeat(F.lit(" more text"), (F.col("doc_id") * F.col("rank") * 7 % 120).cast("int")))
     null = F.lit(None).cast("string")
-    return c.select(F.concat(F.lit("DOC:"), F.col("doc_id").cast("string")).alias("reference_id"), "provider", offered.alias("text"), F.concat(F.lit("u"), F.col("rank").cast("string")).alias("url"), F.lit("xml").alias("format"), null.alias("license"), null.alias("oa_status"), ((F.col("doc_id") + F.col("rank")) % 9 == 0).alias("error"))
+    c = c.select(F.concat(F.lit("DOC:"), F.col("doc_id").cast("string")).alias("reference_id"), "provider", offered.alias("text"), F.concat(F.lit("u"), F.col("rank").cast("string")).alias("url"), F.lit("xml").alias("format"), null.alias("license"), null.alias("oa_status"), ((F.col("doc_id") + F.col("rank")) % 9 == 0).alias("error"))
+    return c.where(F.col("error") | (F.col("provider") != "pmc") | (F.length("text") > fulltext.MIN_PMC_TEXT))
 
 
 @query(f"with {_CANDIDATES}, f as (select *, row_number() over (partition by reference_id order by rank) as n from u where usable) select reference_id, f.provider, length(f.t) as chars, n.usable, n.failed from (select reference_id, count(*) filter (where usable) as usable, bool_or(error) as failed from u group by 1) n left join (select * from f where n = 1) f using (reference_id)")
