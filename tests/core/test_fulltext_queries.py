@@ -1,5 +1,7 @@
 """The full-text queries against a plain loop over whole documents."""
 
+import hashlib
+
 import pytest
 
 from claimlens.operators import fulltext
@@ -46,3 +48,19 @@ def test_first_success_over_whole_texts(spark, documents):
     got = {r[0]: tuple(r[1:]) for r in queries.fulltext_first_success(spark, folder).collect()}
     assert got == want
     assert {w[0] for w in want.values()} == {*fulltext.PROVIDERS, None}
+
+
+def test_enrich_merges_whole_texts(spark, documents):
+    folder, texts = documents
+    want = {}
+    for i, text in texts.items():
+        usable, failed = chain(i, text)
+        content, kind, provider, attempted = text, "full_text_html", None, False
+        if i % 3 == 0:
+            kind, attempted = ("full_text_xml", True) if usable else ("abstract_only", not failed)
+            if usable:
+                provider, offer = usable[0]
+                content = f"{text.strip()}\n\n{offer.strip()}"
+        want[f"DOC:{i}"] = (kind, provider, attempted, hashlib.md5(content.encode()).hexdigest())
+    got = {r[0]: tuple(r[1:]) for r in queries.fulltext_enrich(spark, folder).collect()}
+    assert got == want
