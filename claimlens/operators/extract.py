@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.operators.json_walk import json_claims, parsed_json
@@ -29,10 +29,18 @@ def claims_from_lines(lines: DataFrame, config: ValidationConfig | None = None)
     return found.select("file", "line_number", F.col("m")["supporting_text"].alias("supporting_text"), F.col("m")["reference_id"].alias("reference_id"), "original_line")
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number from 1, line) of text files; a file is split in the JVM, its lines keep their numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"(\r\n|\r|\n)\z", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line")).select("file", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
+def text_lines(spark: SparkSession, path: str, text: Column | None = None) -> DataFrame:
+    """(file, line_number from 1, line) of text files. Files of any size are read in splits, line
+    by line; the counts of the splits before a line's own make its number.
+
+    With `text`, an expression over `file`, files of one value are the parts of one text: its
+    lines are numbered through them in the order of their names, and `file` is that value."""
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    lines = staged(at)  # the same ids for the counts and for the lines
+    splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("text", F.col("file") if text is None else text)
+    before = F.sum("n").over(Window.partitionBy("text").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = staged(splits.select("file", "split", "text", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift")))  # few rows: broadcast by their size
+    return lines.join(splits, ["file", "split"]).select(F.col("text").alias("file"), (F.col("id") + F.col("shift")).alias("line_number"), "line")
 
 
 def _first(node: Mapping, *names: str):

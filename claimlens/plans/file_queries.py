@@ -76,12 +76,16 @@ with f as (select lang, string_split_regex(string_agg(text, chr(10) order by doc
 select lang, unnest(range(1, len(lines) + 1)) as line_number, md5(unnest(lines)) as line_md5 from f
 """)
 def text_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, written to a text file for each language, and read back by line."""
+    """All documents, written as a text for each language, in files of ranges of documents, and
+    read back by line."""
     folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    docs = d.table(spark, sf_dir, "documents").select("lang", "doc_id", F.col("text").alias("value"))
-    docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(folder)
-    lines = extract.text_lines(spark, f"{folder}/*/*.txt")
-    return lines.select(F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), "line_number", F.md5("line").alias("line_md5"))
+    name = F.coalesce(F.concat(F.lit("x"), F.hex("lang")), F.lit("none"))  # any language as a folder's name
+    docs = d.table(spark, sf_dir, "documents").where("text is not null").select(name.alias("lang"), "doc_id", F.col("text").alias("value"))
+    order = "lang", F.asc_nulls_last("doc_id")
+    docs.repartitionByRange(*order).sortWithinPartitions(*order).select("lang", "value").write.partitionBy("lang").text(folder)
+    lines = extract.text_lines(spark, folder, F.regexp_extract("file", "lang=([^/]*)/", 1))
+    lang = F.when(F.col("file") != "none", F.unhex(F.substr("file", F.lit(2))).cast("string"))
+    return lines.select(lang.alias("lang"), "line_number", F.md5("line").alias("line_md5"))
 
 
 @query("""
