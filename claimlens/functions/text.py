@@ -94,7 +94,8 @@ def word_overlap(query: Column, target: Column) -> Column:
 def split_sentences(text: Column, min_length: int = 20) -> Column:
     """Sentences of at least min_length characters; their final mark is dropped where another follows."""
     flat = F.regexp_replace(text, SPACE + "+", " ")
-    return F.filter(F.transform(F.split(flat, "[.!?] "), F.trim), lambda s: F.length(s) >= min_length)
+    # Not F.trim itself: of its two parameters, transform() would fill the second with the place.
+    return F.filter(F.transform(F.split(flat, "[.!?] "), lambda s: F.trim(s)), lambda s: F.length(s) >= min_length)
 
 
 def split_fragments(text: Column) -> Column:
