@@ -26,3 +26,8 @@ def sentences(i):
 def test_sentences_are_whole(spark, documents):
     got = {r.doc_id: (r.n, r.sentences) for r in queries.split_sentences(spark, documents).collect()}
     assert got == {i: (12, "|".join(sentences(i))) for i in range(40)}
+
+
+def test_inserted_ellipses_join_whole_sentences(spark, documents):
+    got = {r.claim_id: r.repaired_text for r in queries.ellipsis_insertion(spark, documents).collect()}
+    assert got == {i: " ... ".join(sentences(i)[k] for k in (0, 4)) for i in range(40)}
