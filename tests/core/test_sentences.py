@@ -31,3 +31,9 @@ def test_sentences_are_whole(spark, documents):
 def test_inserted_ellipses_join_whole_sentences(spark, documents):
     got = {r.claim_id: r.repaired_text for r in queries.ellipsis_insertion(spark, documents).collect()}
     assert got == {i: " ... ".join(sentences(i)[k] for k in (0, 4)) for i in range(40)}
+
+
+def test_suggestions_are_whole_sentences(spark, documents):
+    # The documents whose quotes are scrambled, and whose references are there.
+    got = {r.claim_id: r.best_match for r in queries.validate_with_suggestions(spark, documents).where("best_match is not null").collect()}
+    assert got == {i: sentences(i)[1] for i in (23, 29, 35)}
